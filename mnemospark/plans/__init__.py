@@ -5,7 +5,7 @@ from .registry import OPERATORS, ORACLE, QUERIES
 
 def load_all() -> None:
     """Import every query module so that it registers its queries."""
-    from . import q_search  # noqa: F401
+    from . import q_ingest, q_search  # noqa: F401
 
 
 __all__ = ["OPERATORS", "ORACLE", "QUERIES", "load_all"]

@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def messages(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Chat messages with embeddings, derived from events, embeddings and
     benchmark: ``trans_id, timestamp, speaker, text, vec_id, embedding``.
 
@@ -33,7 +33,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     them while their statistics stay under the broadcast threshold and
     falls back to a sort-merge join above it.
     """
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", *extra)
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.col("text"))
     return (
@@ -46,6 +46,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("text"),
             F.col("vec_id"),
             F.col("embedding"),
+            *extra,
         )
     )
 
