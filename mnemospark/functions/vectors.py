@@ -166,15 +166,16 @@ def hamming(a_sig, b_sig) -> Column:
 
 # ---------------------------------------------------------------- parse / format / normalise
 
-def parse_vector(text) -> Column:
-    """``"[a, b, ...]"`` to ``array<double>`` element by element; a bad
-    element becomes NULL, ``[]`` gives an empty array, NULL stays NULL."""
+def parse_vector(text, dtype: str = "double") -> Column:
+    """``"[a, b, ...]"`` to ``array<dtype>`` element by element; a bad
+    element becomes NULL, ``[]`` gives an empty array, NULL stays NULL.
+    ``float`` restores stored single-precision values exactly."""
     t = _col(text)
     inner = F.trim(F.regexp_replace(F.trim(t), r"^\[|\]$", ""))
     parts = F.split(inner, ",")
     return F.when(t.isNull(), F.lit(None)).when(
-        inner == "", F.array().cast("array<double>")).otherwise(
-        F.transform(parts, lambda x: F.trim(x).try_cast("double")))
+        inner == "", F.array().cast(f"array<{dtype}>")).otherwise(
+        F.transform(parts, lambda x: F.trim(x).try_cast(dtype)))
 
 
 def vector_is_valid(text) -> Column:

@@ -3,7 +3,7 @@
 Layout of a store root::
 
     root/data/version=<n>/session_id=<s>/chunk=<c>/part-*.parquet
-    root/_versions/<n>/part-*.json       one row per version (manifest)
+    root/_versions/version=<n>/part-*.json   one row per version
 
 ``chunk = floor(epoch micros / chunk micros)`` (S14, epoch aligned).  A
 reader takes the newest version listed in ``_versions`` and prunes to
@@ -24,6 +24,7 @@ from ..operators import integrity as I
 from ..schema import SHORT_TERM_CHUNK_SECONDS, STORE_FIELDS
 
 WRITE_MODES = ("errorifexists", "overwrite", "append")
+MANIFEST_SCHEMA = "rows long, min_ts string, max_ts string, checksum string"
 
 
 def chunk_of(ts: Column | str, chunk_seconds: int) -> Column:
@@ -82,10 +83,9 @@ class MessageStore:
         return None if row is None or row["v"] is None else int(row["v"])
 
     def _record_version(self, version: int, rows: int, reason: str) -> None:
-        rec = {"version": version, "rows": rows, "reason": reason,
-               "created": dt.datetime.now(dt.timezone.utc).isoformat()}
-        (self.spark.createDataFrame([rec], "version long, rows long, reason string, created string")
-         .coalesce(1).write.mode("overwrite").json(f"{self.root}/_versions/{version}"))
+        rec = {"rows": rows, "reason": reason, "created": dt.datetime.now(dt.timezone.utc).isoformat()}
+        (self.spark.createDataFrame([rec], "rows long, reason string, created string")
+         .coalesce(1).write.mode("overwrite").json(f"{self.root}/_versions/version={version}"))
 
     def data_path(self, version: int) -> str:
         return f"{self.root}/data/version={version}"
@@ -125,7 +125,8 @@ class MessageStore:
         df = self.read()
         df.write.mode("errorifexists").option("compression", codec).parquet(dest)
         man = manifest(self.spark.read.parquet(dest))
-        (self.spark.createDataFrame([man]).coalesce(1).write.mode("overwrite").json(dest + "_manifest"))
+        (self.spark.createDataFrame([man], MANIFEST_SCHEMA).coalesce(1)
+         .write.mode("overwrite").json(dest + "_manifest"))
         return man
 
     def reset(self, keep: Column, snapshot_dest: str) -> int:
@@ -135,7 +136,7 @@ class MessageStore:
         current = self.current_version()
         if current is None:
             raise ValueError("empty store")
-        snap = self.spark.read.json(snapshot_dest + "_manifest").first().asDict()
+        snap = self.spark.read.schema(MANIFEST_SCHEMA).json(snapshot_dest + "_manifest").first().asDict()
         live = manifest(self.read())
         if {k: snap[k] for k in live} != live:
             raise ValueError("snapshot does not match the store; refusing to reset")
