@@ -180,12 +180,28 @@ def check_batch(batch: DataFrame, store: DataFrame | None = None, unknown_col: s
     stored_clash, candidates = _split_store_clashes(good, store)
     accepted, key_rejects, _ = resolve_keys(candidates)
     cols = batch.columns
-    rejected = (bad_rows.select(*cols, "reject_reason")
-                .unionByName(stored_clash.select(*cols, "reject_reason"))
-                .unionByName(key_rejects.select(*cols, "reject_reason")))
+    key_rejected = _pk_first(stored_clash.select(*cols, "reject_reason")
+                             .unionByName(key_rejects.select(*cols, "reject_reason")), accepted)
+    rejected = bad_rows.select(*cols, "reject_reason").unionByName(key_rejected.select(*cols, "reject_reason"))
     return accepted.select(*cols), rejected
 
 
+def _pk_first(rejected: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Reason order of a one-at-a-time insert: the primary key is checked
+    before the unique key.  A row rejected for its unique key whose
+    primary key is held by an earlier accepted row is a ``pk`` reject
+    (rounds can decide the unique clash first).  Accepted rows have
+    distinct primary keys, so the join adds no rows."""
+    held = accepted.select(*PRIMARY_KEY, F.col("seq").alias("_aseq"))
+    uk_rej = rejected.filter(F.col("reject_reason").isin(R_UK, R_UK_STORED))
+    other = rejected.filter(~F.col("reject_reason").isin(R_UK, R_UK_STORED))
+    fixed = (uk_rej.join(held, PRIMARY_KEY, "left")
+             .withColumn("reject_reason", F.when(F.col("_aseq") < F.col("seq"), F.lit(R_PK))
+                         .otherwise(F.col("reject_reason")))
+             .drop("_aseq"))
+    return other.unionByName(fixed)
+
+
 # ---------------------------------------------------------------- A2, A3
 
 def batch_ids(df: DataFrame, chunk_rows: int, seq_col: str = "seq") -> DataFrame:

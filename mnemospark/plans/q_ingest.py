@@ -42,7 +42,7 @@ def base_batch(spark, sf_dir) -> DataFrame:
 
 def fault_batch(spark, sf_dir) -> DataFrame:
     b = base_batch(spark, sf_dir)
-    t, et = F.col("event_type"), F.col("event_type")
+    et = F.col("event_type")
 
     def replay(kind: str, n: int, **cols) -> DataFrame:
         out = b.filter(et == kind).withColumn("seq", F.col("seq") + F.lit(n * REPLAY))
@@ -66,7 +66,6 @@ def fault_batch(spark, sf_dir) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    del t
     return I.keep_messages(out.drop("event_type"), BOT)
 
 
@@ -120,9 +119,15 @@ s2 as (select *, case when w then 'accept'
                       when bool_or(w) over (partition by timestamp, speaker, text) then 'unique' end as st from w2),
 accepted as (select * exclude (w, st, rr) from s1 where st = 'accept'
              union all select * exclude (w, st, rr) from s2 where st = 'accept'),
+keyrej as (select * exclude (w, st, rr), st as reject_reason from s1 where st in ('pk', 'unique')
+           union all select * exclude (w, st, rr), st from s2 where st in ('pk', 'unique')),
 rejected as (select * exclude (rr), rr as reject_reason from chk where rr is not null
-             union all select * exclude (w, st, rr), st from s1 where st in ('pk', 'unique')
-             union all select * exclude (w, st, rr), st from s2 where st in ('pk', 'unique'))
+             union all
+             select k.* exclude (reject_reason),
+                    case when k.reject_reason = 'unique' and exists (
+                           select 1 from accepted a where a.trans_id = k.trans_id and a.timestamp = k.timestamp
+                           and a.seq < k.seq) then 'pk' else k.reject_reason end
+             from keyrej k)
 """
 
 
