@@ -138,7 +138,7 @@ def _round(r: DataFrame) -> DataFrame:
 
 def resolve_keys(rows: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame, int]:
     """C4-C6 within a batch.  ``rows`` holds ``seq`` and the key columns
-    and passed every row rule.  Returns ``(accepted, rejected, rounds)``;
+    (pass only those: every round shuffles them) and passed every row rule.  Returns ``(accepted, rejected, rounds)``;
     rejected rows carry ``reject_reason``.  Runs until no row is left
     undecided (``max_rounds`` only for tests; exceeding it raises)."""
     ensure_checkpoint_dir(rows.sparkSession)
@@ -166,24 +166,38 @@ def resolve_keys(rows: DataFrame, max_rounds: int | None = None) -> tuple[DataFr
 
 
 def check_batch(batch: DataFrame, store: DataFrame | None = None, unknown_col: str | None = None,
-                corrupt_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+                corrupt_col: str | None = None, materialize: bool = False) -> tuple[DataFrame, DataFrame]:
     """Full ingest check of one batch (C1-C6) against an optional store.
 
     ``batch`` has the store columns and ``seq``.  Returns ``(accepted,
     rejected)``; ``accepted + rejected`` is the whole batch, rejected
     rows keep their columns and add ``reject_reason`` (the dead letter).
+
+    The key rounds run on the narrow key columns only; the decision of
+    every row is joined back to the full rows once, by ``seq``.  With
+    ``materialize`` the decided rows are checkpointed once so that both
+    outputs read the same files (use it when both are consumed).
     """
     checked = row_checks(batch, unknown_col, corrupt_col)
     drop = [c for c in (unknown_col, corrupt_col) if c]
     bad_rows = checked.filter(F.col("reject_reason").isNotNull()).drop(*drop)
     good = checked.filter(F.col("reject_reason").isNull()).drop("reject_reason", *drop)
-    stored_clash, candidates = _split_store_clashes(good, store)
-    accepted, key_rejects, _ = resolve_keys(candidates)
+    keys = good.select("seq", *KEY_COLS, *(["chunk"] if "chunk" in good.columns else []))
+    stored_clash, candidates = _split_store_clashes(keys, store)
+    acc_keys, key_rejects, _ = resolve_keys(candidates.select("seq", *KEY_COLS))
+    key_rejected = _pk_first(stored_clash.select("seq", *KEY_COLS, "reject_reason")
+                             .unionByName(key_rejects.select("seq", *KEY_COLS, "reject_reason")),
+                             acc_keys)
+    decisions = (acc_keys.select("seq", F.lit(None).cast("string").alias("reject_reason"))
+                 .unionByName(key_rejected.select("seq", "reject_reason")))
     cols = batch.columns
-    key_rejected = _pk_first(stored_clash.select(*cols, "reject_reason")
-                             .unionByName(key_rejects.select(*cols, "reject_reason")), accepted)
-    rejected = bad_rows.select(*cols, "reject_reason").unionByName(key_rejected.select(*cols, "reject_reason"))
-    return accepted.select(*cols), rejected
+    decided = good.join(decisions, "seq").select(*cols, "reject_reason")
+    if materialize:
+        decided = decided.checkpoint(eager=True)
+    accepted = decided.filter(F.col("reject_reason").isNull()).select(*cols)
+    rejected = (bad_rows.select(*cols, "reject_reason")
+                .unionByName(decided.filter(F.col("reject_reason").isNotNull())))
+    return accepted, rejected
 
 
 def _pk_first(rejected: DataFrame, accepted: DataFrame) -> DataFrame:

@@ -152,13 +152,30 @@ def with_score_metadata(topk: DataFrame) -> DataFrame:
 
 def batch_top_k(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metric: str = "cosine",
                 doc_id: str = "vec_id", query_id: str = "query_id", doc_vec: str = "embedding",
-                query_vec: str = "query_vec", max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """K4: top-k documents per query: ``query_id, doc_id, distance, rank``."""
-    scored = score_pairs(docs, queries, metric, doc_id, query_id, doc_vec, query_vec, max_broadcast_rows)
+                query_vec: str = "query_vec", max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+                method: str = "arrow") -> DataFrame:
+    """K4: top-k documents per query: ``query_id, doc_id, distance, rank``.
+
+    ``arrow`` (default): the size-checked query matrix is broadcast and
+    each partition scores its Arrow batches with numpy, keeping per query
+    only its best k rows (all ties at the k-th distance included); Spark
+    then ranks the few candidates exactly by ``(distance, id)``.  Only
+    ``queries x k`` rows per partition cross the shuffle and no
+    query-document pair is materialised as a row.
+    ``sql``: the same result as a broadcast join + JVM expressions
+    (every pair is a row; slower, but pure SQL).
+    """
+    if method == "sql":
+        scored = score_pairs(docs, queries, metric, doc_id, query_id, doc_vec, query_vec, max_broadcast_rows)
+        scored = scored.filter(F.col("distance").isNotNull())
+    elif method == "arrow":
+        from . import vector_batch
+        scored = vector_batch.candidates(docs, queries, k, metric, doc_id, query_id, doc_vec, query_vec,
+                                         max_broadcast_rows)
+    else:
+        raise ValueError("method must be 'arrow' or 'sql'")
     w = Window.partitionBy(query_id).orderBy("distance", doc_id)
-    return (scored.filter(F.col("distance").isNotNull())
-            .withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k))
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def score_pairs(docs: DataFrame, queries: DataFrame, metric: str = "cosine", doc_id: str = "vec_id",

@@ -40,33 +40,52 @@ def base_batch(spark, sf_dir) -> DataFrame:
     return m.withColumn("seq", F.col("trans_id"))
 
 
+# Replays per event type: (replay number n, new id offset in ID_SHIFT units or 0,
+# text prefix or None, speaker change, vector change).  Fixed fault plan.
+FAULTS = {
+    "click": [(1, 0, "edited: ", None, None)],
+    "error": [(1, 1, None, None, None)],
+    "purchase": [(1, 0, None, "alt", None), (2, 2, None, "alt", None)],
+    "signup": [(1, 3, None, "null", None), (2, 4, None, "bot", None)],
+    "view": [(1, 5, "resent: ", None, "short"), (2, 6, "no vector: ", None, "null"), (3, 7, "", None, None)],
+}
+
+
 def fault_batch(spark, sf_dir) -> DataFrame:
+    """One scan of the messages: each row is exploded into itself (n = 0)
+    and its replays, whose columns are then rewritten by (event type, n)."""
     b = base_batch(spark, sf_dir)
     et = F.col("event_type")
-
-    def replay(kind: str, n: int, **cols) -> DataFrame:
-        out = b.filter(et == kind).withColumn("seq", F.col("seq") + F.lit(n * REPLAY))
-        return out.withColumns(cols) if cols else out
-
-    tid, spk, txt, emb = F.col("trans_id"), F.col("speaker"), F.col("text"), F.col("embedding")
-    parts = [
-        b,
-        replay("click", 1, text=F.concat(F.lit("edited: "), txt)),
-        replay("error", 1, trans_id=tid + ID_SHIFT),
-        replay("purchase", 1, speaker=F.concat(spk, F.lit("_alt"))),
-        replay("purchase", 2, trans_id=tid + 2 * ID_SHIFT, speaker=F.concat(spk, F.lit("_alt"))),
-        replay("signup", 1, trans_id=tid + 3 * ID_SHIFT, speaker=F.lit(None).cast("string")),
-        replay("signup", 2, trans_id=tid + 4 * ID_SHIFT, speaker=F.lit(BOT)),
-        replay("view", 1, trans_id=tid + 5 * ID_SHIFT, text=F.concat(F.lit("resent: "), txt),
-               embedding=F.slice(emb, 1, DIM - 1)),
-        replay("view", 2, trans_id=tid + 6 * ID_SHIFT, text=F.concat(F.lit("no vector: "), txt),
-               embedding=F.lit(None).cast("array<float>")),
-        replay("view", 3, trans_id=tid + 7 * ID_SHIFT, text=F.lit("")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return I.keep_messages(out.drop("event_type"), BOT)
+    reps = F.array(F.lit(0))
+    for kind, faults in FAULTS.items():
+        reps = F.when(et == kind, F.array(F.lit(0), *[F.lit(f[0]) for f in faults])).otherwise(reps)
+    x = b.withColumn("_n", F.explode(reps))
+    n = F.col("_n")
+    tid_off, text, speaker, emb = F.lit(0), F.col("text"), F.col("speaker"), F.col("embedding")
+    for kind, faults in FAULTS.items():
+        for num, shift, prefix, spk, vec in faults:
+            hit = (et == kind) & (n == num)
+            if shift:
+                tid_off = F.when(hit, F.lit(shift)).otherwise(tid_off)
+            if prefix is not None:
+                text = F.when(hit, F.lit("") if prefix == "" else F.concat(F.lit(prefix), F.col("text"))) \
+                    .otherwise(text)
+            if spk == "alt":
+                speaker = F.when(hit, F.concat(F.col("speaker"), F.lit("_alt"))).otherwise(speaker)
+            elif spk == "null":
+                speaker = F.when(hit, F.lit(None).cast("string")).otherwise(speaker)
+            elif spk == "bot":
+                speaker = F.when(hit, F.lit(BOT)).otherwise(speaker)
+            if vec == "short":
+                emb = F.when(hit, F.slice(F.col("embedding"), 1, DIM - 1)).otherwise(emb)
+            elif vec == "null":
+                emb = F.when(hit, F.lit(None).cast("array<float>")).otherwise(emb)
+    out = x.withColumns({
+        "trans_id": F.col("trans_id") + tid_off.cast("long") * F.lit(ID_SHIFT),
+        "seq": F.col("seq") + n.cast("long") * F.lit(REPLAY),
+        "text": text, "speaker": speaker, "embedding": emb,
+    }).drop("_n", "event_type")
+    return I.keep_messages(out, BOT)
 
 
 def checked(spark, sf_dir):

@@ -108,12 +108,9 @@ class MessageStore:
         prepared = prepare(batch, session_id, self.chunk_seconds)
         current = self.current_version()
         store = self.read() if current is not None else None
-        accepted, rejected = I.check_batch(prepared, store)
-        accepted = accepted.checkpoint(eager=True)
-        rejected = rejected.checkpoint(eager=True)
-        n_rej = rejected.count()
-        if strict and n_rej:
-            raise ValueError(f"batch refused: {n_rej} rejected rows")
+        accepted, rejected = I.check_batch(prepared, store, materialize=True)
+        if strict and not rejected.isEmpty():
+            raise ValueError(f"batch refused: {rejected.count()} rejected rows")
         version = 0 if current is None else current
         write_rows(accepted, self.data_path(version), "append")
         if current is None:
