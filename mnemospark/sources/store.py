@@ -51,7 +51,7 @@ def _layout(df: DataFrame) -> DataFrame:
     return df.repartitionByRange("session_id", "chunk", "trans_id")
 
 
-def write_rows(df: DataFrame, path: str, mode: str = "append") -> None:
+def write_rows(df: DataFrame, path: str, mode: str = "append") -> None:  # noqa: D401
     """Write prepared rows.  ``errorifexists`` fails on an existing
     table, ``overwrite`` replaces it, ``append`` adds."""
     if mode not in WRITE_MODES:
@@ -100,11 +100,14 @@ class MessageStore:
         return self.spark.read.parquet(self.data_path(v))
 
     # ------------------------------------------------------------ write
-    def append(self, batch: DataFrame, session_id: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    def append(self, batch: DataFrame, session_id: str, strict: bool = False,
+               writer=None) -> tuple[DataFrame, DataFrame]:
         """S9/S8 + C1-C6: check a batch against the store and append the
         accepted rows.  ``strict``: any reject fails the whole batch and
-        nothing is written (one transaction per frame).  Returns the
-        accepted and rejected rows (the rejects are the dead letter)."""
+        nothing is written (one transaction per frame).  ``writer``
+        (S17): a user function ``(accepted, path) -> None`` that replaces
+        the default parquet append.  Returns the accepted and rejected
+        rows (the rejects are the dead letter)."""
         prepared = prepare(batch, session_id, self.chunk_seconds)
         current = self.current_version()
         store = self.read() if current is not None else None
@@ -112,7 +115,7 @@ class MessageStore:
         if strict and not rejected.isEmpty():
             raise ValueError(f"batch refused: {rejected.count()} rejected rows")
         version = 0 if current is None else current
-        write_rows(accepted, self.data_path(version), "append")
+        (writer or write_rows)(accepted, self.data_path(version))
         if current is None:
             self._record_version(0, accepted.count(), "create")
         return accepted, rejected

@@ -99,3 +99,15 @@ def test_relations_round_trip(spark):
     kept_t, kept_v, deleted = R.cascade_delete(t, v, F.col("speaker") == "user_1")
     n_del = t.filter(F.col("speaker") == "user_1").count()
     assert deleted.count() == n_del and kept_v.count() == v.count() - n_del
+
+
+def test_user_writer_hook(spark):
+    seen = []
+
+    def hook(df, path):
+        seen.append(df.count())
+        ST.write_rows(df, path, "append")
+
+    st = ST.MessageStore(spark, work_dir(spark, "t-hook"), LONG_TERM_CHUNK_SECONDS)
+    st.append(stamped(spark), "s", writer=hook)
+    assert seen == [stamped(spark).count()] and st.read().count() == seen[0]
