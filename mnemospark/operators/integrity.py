@@ -18,9 +18,9 @@ It is computed in rounds, all distributed:
 4. the rest go to the next round.
 
 Rows without any duplicate are decided in round one; each chain of
-replays adds a round.  Each round's status is checkpointed to the
-session's shared checkpoint folder, which cuts the lineage and lets a
-lost executor recompute from the last round only.
+replays adds a round.  Each round's status is written as a table in the
+session's shared folder, which cuts the lineage and lets a lost
+executor recompute from the last round only.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import PRIMARY_KEY, REQUIRED, STORE_FIELDS, UNIQUE_KEY
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 # Fixed reason codes (P19), one per rule.
 R_CORRUPT = "corrupt_record"
@@ -141,13 +141,12 @@ def resolve_keys(rows: DataFrame, max_rounds: int | None = None) -> tuple[DataFr
     (pass only those: every round shuffles them) and passed every row rule.  Returns ``(accepted, rejected, rounds)``;
     rejected rows carry ``reject_reason``.  Runs until no row is left
     undecided (``max_rounds`` only for tests; exceeding it raises)."""
-    ensure_checkpoint_dir(rows.sparkSession)
     accepted, rejected = [], []
     undecided = rows
     rounds = 0
     while True:
         rounds += 1
-        status = _round(undecided).checkpoint(eager=True)
+        status = materialize(_round(undecided), "key-round")
         accepted.append(status.filter(F.col("_status") == "accept").drop("_status"))
         rejected.append(status.filter(F.col("_status").isin(R_PK, R_UK))
                         .withColumnRenamed("_status", "reject_reason"))
@@ -166,7 +165,7 @@ def resolve_keys(rows: DataFrame, max_rounds: int | None = None) -> tuple[DataFr
 
 
 def check_batch(batch: DataFrame, store: DataFrame | None = None, unknown_col: str | None = None,
-                corrupt_col: str | None = None, materialize: bool = False) -> tuple[DataFrame, DataFrame]:
+                corrupt_col: str | None = None, materialize_out: bool = False) -> tuple[DataFrame, DataFrame]:
     """Full ingest check of one batch (C1-C6) against an optional store.
 
     ``batch`` has the store columns and ``seq``.  Returns ``(accepted,
@@ -175,7 +174,7 @@ def check_batch(batch: DataFrame, store: DataFrame | None = None, unknown_col: s
 
     The key rounds run on the narrow key columns only; the decision of
     every row is joined back to the full rows once, by ``seq``.  With
-    ``materialize`` the decided rows are checkpointed once so that both
+    ``materialize_out`` the decided rows are written once so that both
     outputs read the same files (use it when both are consumed).
     """
     checked = row_checks(batch, unknown_col, corrupt_col)
@@ -192,8 +191,8 @@ def check_batch(batch: DataFrame, store: DataFrame | None = None, unknown_col: s
                  .unionByName(key_rejected.select("seq", "reject_reason")))
     cols = batch.columns
     decided = good.join(decisions, "seq").select(*cols, "reject_reason")
-    if materialize:
-        decided = decided.checkpoint(eager=True)
+    if materialize_out:
+        decided = materialize(decided, "decided")
     accepted = decided.filter(F.col("reject_reason").isNull()).select(*cols)
     rejected = (bad_rows.select(*cols, "reject_reason")
                 .unionByName(decided.filter(F.col("reject_reason").isNotNull())))

@@ -90,3 +90,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     if not root:
         root = ensure_checkpoint_dir(spark).rstrip("/") + "/mnemospark-work"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` as a parquet table in the shared work
+    folder and reading it back: the plan runs once, later stages (and a
+    retry after a lost executor) start from the files."""
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)

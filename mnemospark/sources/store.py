@@ -111,7 +111,7 @@ class MessageStore:
         prepared = prepare(batch, session_id, self.chunk_seconds)
         current = self.current_version()
         store = self.read() if current is not None else None
-        accepted, rejected = I.check_batch(prepared, store, materialize=True)
+        accepted, rejected = I.check_batch(prepared, store, materialize_out=True)
         if strict and not rejected.isEmpty():
             raise ValueError(f"batch refused: {rejected.count()} rejected rows")
         version = 0 if current is None else current

@@ -21,7 +21,21 @@ MESSAGE_TEXT_MOD = 40
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}; expected one of {list(TABLES)}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per core.
+
+    A small input (one file, one row group) is read by a single task; the
+    round-robin split lets the CPU-heavy work after it use every core.  A
+    large input already has more partitions than cores and is returned
+    unchanged, so no shuffle is added at scale.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
 
 
 def messages(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
