@@ -287,7 +287,9 @@ def batch_two_stage_top_k(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_
            .select(query_id, doc_id, V.hamming("_dsig", "_qsig").alias("hamming")))
     w1 = Window.partitionBy(query_id).orderBy("hamming", doc_id)
     cand = ham.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= keep).drop("_r")
-    full = (cand.join(docs.select(doc_id, doc_vec), doc_id)
+    # At most n x keep candidate rows (n checked above): broadcast them, so
+    # the documents are scanned for their vectors without being shuffled.
+    full = (docs.select(doc_id, doc_vec).join(F.broadcast(cand), doc_id)
             .join(q_b.select(query_id, query_vec), query_id))
     scored = full.select(query_id, doc_id, "hamming",
                          V.distance(metric, F.col(doc_vec), F.col(query_vec)).alias("distance"))

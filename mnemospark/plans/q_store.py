@@ -88,7 +88,9 @@ from messages
 def snapshot_manifest(spark, sf_dir):
     root = work_dir(spark, "store")
     store = ST.MessageStore(spark, root, LONG_TERM_CHUNK_SECONDS, MODEL, DIM)
-    store.append(_stamped(spark, sf_dir).withColumn("seq", F.col("trans_id")), "s0")
+    rows = ST.prepare(_stamped(spark, sf_dir).withColumn("seq", F.col("trans_id")), "s0", LONG_TERM_CHUNK_SECONDS)
+    ST.write_rows(rows, store.data_path(0), "errorifexists")
+    store._record_version(0, -1, "load")
     snap = store.snapshot(root + "_snapshot", codec="zstd")
     live = ST.manifest(store.read())
     restored = spark.read.parquet(root + "_snapshot")
