@@ -22,13 +22,13 @@ def instruct_prefix(spark, sf_dir):
 
 @register("strip_think", "P12", """
 select conv_id, turn,
-       regexp_replace('<think>' || role || chr(10) || substring(text, 1, 40) || '</think>' || text || '<think>x</think>',
+       regexp_replace('<think>' || role || chr(10) || cast(turn as varchar) || '</think>' || text || '<think>x</think>',
                       '<think>.*?</think>', '', 'gs') as cleaned
 from conversations
 """)
 def strip_think(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    raw = F.concat(F.lit("<think>"), F.col("role"), F.lit("\n"), F.substring("text", 1, 40), F.lit("</think>"),
+    raw = F.concat(F.lit("<think>"), F.col("role"), F.lit("\n"), F.col("turn").cast("string"), F.lit("</think>"),
                    F.col("text"), F.lit("<think>x</think>"))
     return c.select("conv_id", "turn", X.strip_think(raw).alias("cleaned"))
 
@@ -55,34 +55,47 @@ def formatted(spark, sf_dir):
                     X.input_reply("text", F.concat(F.lit("noted, "), F.col("speaker"))).alias("reply"))
 
 
-@register("filename_audit", ("P23", "P24"), """
-with n as (select doc_id, substring(text, 1, 12) as name from documents),
-p as (select doc_id, name,
-        case when regexp_replace(name, '^\\.+', '') like '%.%' then regexp_extract(name, '^(.*)\\.[^.]*$', 1)
-             else name end as stem from n),
-t as (select doc_id, name, trim(name, ' ') as tn from n),
-ts as (select doc_id, name, tn,
-        case when regexp_replace(tn, '^\\.+', '') like '%.%' then regexp_extract(tn, '^(.*)\\.[^.]*$', 1) else tn end as tstem,
-        case when regexp_replace(tn, '^\\.+', '') like '%.%' then regexp_extract(tn, '(\\.[^.]*)$', 1) else '' end as text_
-       from t)
-select p.doc_id, p.name,
-  coalesce(length(p.name) > 0 and not p.name like '% ' and not p.name like '%.'
-    and upper(p.stem) not in ('CON','PRN','AUX','NUL','COM1','COM2','COM3','COM4','COM5','COM6','COM7','COM8','COM9',
-                              'LPT1','LPT2','LPT3','LPT4','LPT5','LPT6','LPT7','LPT8','LPT9')
-    and not regexp_matches(p.name, '[<>:"/\\\\|?*]'), false) as valid,
-  case when coalesce(length(ts.tstem) > 0 and not ts.tstem like '% ' and not ts.tstem like '%.'
-    and upper(case when regexp_replace(ts.tstem, '^\\.+', '') like '%.%' then regexp_extract(ts.tstem, '^(.*)\\.[^.]*$', 1)
-                   else ts.tstem end)
-        not in ('CON','PRN','AUX','NUL','COM1','COM2','COM3','COM4','COM5','COM6','COM7','COM8','COM9',
-                'LPT1','LPT2','LPT3','LPT4','LPT5','LPT6','LPT7','LPT8','LPT9')
-    and not regexp_matches(ts.tstem, '[<>:"/\\\\|?*]'), false)
-  then ts.tstem || case when lower(ts.text_) = '.csv' then ts.text_ else '.csv' end end as csv_name
-from p join ts on p.doc_id = ts.doc_id
+_SQL_NAMES = f"""
+n as (select 'page' as kind, page_id as id, regexp_extract(url, '[^/]*$', 0) as name from pages
+      union all
+      select 'file', doc_id, path from ({FILE_LISTING_SQL}))
+"""
+
+
+def _sql_valid(x: str) -> str:
+    stem = (f"case when regexp_replace({x}, '^\\.+', '') like '%.%' "
+            f"then regexp_extract({x}, '^(.*)\\.[^.]*$', 1) else {x} end")
+    reserved = ", ".join(f"'{r}'" for r in X.RESERVED_NAMES)
+    return (f"coalesce(length({x}) > 0 and not {x} like '% ' and not {x} like '%.' "
+            f"and upper({stem}) not in ({reserved}) "
+            f"and not regexp_matches({x}, '[<>:\"/\\\\|?*]'), false)")
+
+
+@register("filename_audit", ("P23", "P24"), f"""
+with {_SQL_NAMES},
+t as (select kind, id, name, trim(name, ' ') as tn from n),
+s as (select kind, id, name,
+        case when regexp_replace(tn, '^\\.+', '') like '%.%' then regexp_extract(tn, '^(.*)\\.[^.]*$', 1)
+             else tn end as tstem,
+        case when regexp_replace(tn, '^\\.+', '') like '%.%' then regexp_extract(tn, '(\\.[^.]*)$', 1)
+             else '' end as text_
+      from t)
+select kind, id, name, {_sql_valid('name')} as valid,
+       case when {_sql_valid('tstem')}
+            then tstem || case when lower(text_) = '.csv' then text_ else '.csv' end end as csv_name
+from s
 """)
 def filename_audit(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 12).alias("name"))
-    return d.select("doc_id", "name", X.valid_file_name("name").alias("valid"),
-                    X.force_extension("name", "csv").alias("csv_name"))
+    """File names from whole fields: the last URL segment of every page and
+    every exported file name of the listing."""
+    pages = table(spark, sf_dir, "pages").select(
+        F.lit("page").alias("kind"), F.col("page_id").alias("id"),
+        F.regexp_extract("url", "[^/]*$", 0).alias("name"))
+    files = file_listing(spark, sf_dir).select(F.lit("file").alias("kind"), F.col("doc_id").alias("id"),
+                                               F.col("path").alias("name"))
+    names = pages.unionByName(files)
+    return names.select("kind", "id", "name", X.valid_file_name("name").alias("valid"),
+                        X.force_extension("name", "csv").alias("csv_name"))
 
 
 @register("export_runs", ("S5", "A1", "P21", "P22"), f"""
