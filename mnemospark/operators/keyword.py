@@ -76,7 +76,7 @@ def snippets(top: DataFrame, docs: DataFrame, id_col: str, text_col: str, query:
     pos = F.array_min(F.filter(F.array(*[F.locate(t, low) for t in terms]), lambda p: p > 0))
     start = F.greatest(F.coalesce(pos, F.lit(1)) - F.lit(SNIPPET_BEFORE), F.lit(1))
     return (top.join(d, id_col)
-            .select(id_col, "score", F.coalesce(pos, F.lit(0)).alias("first_hit"),
+            .select(id_col, "score", F.coalesce(pos, F.lit(0)).cast("long").alias("first_hit"),
                     "_txt", start.alias("_start"))
             .select(id_col, "score", "first_hit",
                     F.expr(f"substring(_txt, _start, {SNIPPET_CHARS})").alias("snippet")))

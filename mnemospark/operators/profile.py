@@ -21,7 +21,7 @@ def chunk_catalog(df: DataFrame, chunk_col: str = "chunk", ts_col: str = "timest
 def dim_audit(df: DataFrame) -> DataFrame:
     """Rows per model and real vector length, with declared-length
     mismatches (C3)."""
-    dim = F.when(F.col("embedding").isNotNull(), F.size("embedding"))
+    dim = F.when(F.col("embedding").isNotNull(), F.size("embedding").cast("long"))
     mism = F.col("embedding").isNotNull() & (F.size("embedding") != F.col("embedding_dim"))
     return (df.groupBy("embedding_model", dim.alias("dim"))
             .agg(F.count(F.lit(1)).alias("rows"), F.count_if(mism).alias("mismatched")))

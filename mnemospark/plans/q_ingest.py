@@ -159,7 +159,7 @@ def ingest_accepted(spark, sf_dir):
     acc, _ = checked(spark, sf_dir)
     return as_ntz(acc.select("seq", "trans_id", "timestamp", "speaker", "text", "vec_id", "embedding_model",
                              "embedding_dim", F.when(F.col("embedding").isNotNull(), F.size("embedding"))
-                             .alias("emb_len")))
+                             .cast("long").alias("emb_len")))
 
 
 @register("ingest_rejected", ("S12", "P19", "C2", "C3", "C4", "C5", "C6"), f"""

@@ -100,7 +100,7 @@ h as (select e.vec_id, e.embedding, {sql_sign_hamming('e.embedding', 'q.embeddin
 cand as (select * from h order by hamming, vec_id limit 100),
 best as (select * from cand order by hamming, vec_id limit 50),
 r as (select b.vec_id, b.hamming, {SQL_DIST['cosine']('b.embedding', 'q.embedding')} as distance from best b, q)
-select vec_id, hamming, round(distance, 6) as distance from r order by distance, vec_id limit 5
+select vec_id, cast(hamming as integer) as hamming, round(distance, 6) as distance from r order by distance, vec_id limit 5
 """)
 def two_stage_topk(spark, sf_dir):
     q = vector_of(spark, sf_dir, PROBE_VEC_ID)

@@ -44,7 +44,7 @@ def split_compose(spark, sf_dir):
     t, v = _pair(spark, sf_dir)
     back = R.compose(t, v)
     return as_ntz(back.select("trans_id", "timestamp", "speaker", "vec_id", "embedding_model", "embedding_dim",
-                              F.size("embedding").alias("emb_len"), "index_type"))
+                              F.size("embedding").cast("long").alias("emb_len"), "index_type"))
 
 
 def _fk_pair(spark, sf_dir):

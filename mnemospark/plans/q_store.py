@@ -64,7 +64,7 @@ def csv_roundtrip(spark, sf_dir):
     path = work_dir(spark, "csv") + "/messages.csv"
     csv_io.write_csv(_stamped(spark, sf_dir), path, mode="errorifexists", compression="gzip")
     back = csv_io.read_csv(spark, path)
-    return as_ntz(back.select("trans_id", "timestamp", "speaker", "text", F.size("embedding").alias("emb_len"),
+    return as_ntz(back.select("trans_id", "timestamp", "speaker", "text", F.size("embedding").cast("long").alias("emb_len"),
                               r6(_vsum(F.col("embedding"))).alias("emb_sum")))
 
 
@@ -131,7 +131,7 @@ def parse_vectors(spark, sf_dir):
     txt = V.vector_to_text("embedding")
     txt = F.when(F.col("label") == 3, F.concat(F.lit("[x, "), F.substring(txt, 2, 1 << 30))).otherwise(txt)
     p = e.select("vec_id", txt.alias("t")).select("vec_id", "t", V.parse_vector("t", "float").alias("v"))
-    return p.select("vec_id", F.size("v").alias("n"),
+    return p.select("vec_id", F.size("v").cast("long").alias("n"),
                     F.size(F.filter("v", lambda x: x.isNull())).alias("n_bad"),
                     V.vector_is_valid("t").alias("valid"), r6(_vsum(F.col("v"))).alias("total"))
 

@@ -56,7 +56,7 @@ def stream_ingest(spark, sf_dir):
     stored = store.read()
     return as_ntz(stored.select("seq", "trans_id", "timestamp", "speaker", "text", "vec_id", "embedding_model",
                                 "embedding_dim", F.when(F.col("embedding").isNotNull(), F.size("embedding"))
-                                .alias("emb_len")))
+                                .cast("long").alias("emb_len")))
 
 
 @register("stream_dedupe", "T2", f"""
@@ -80,7 +80,7 @@ def stream_dedupe(spark, sf_dir):
 
 @register("stream_threads", "T3", """
 select conv_id as thread_id, count(*) as messages, max(turn) as last_turn,
-       sum(length(coalesce(text, ''))) as chars
+       cast(sum(length(coalesce(text, ''))) as bigint) as chars
 from conversations group by conv_id
 """)
 def stream_threads(spark, sf_dir):
