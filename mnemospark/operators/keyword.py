@@ -11,7 +11,6 @@ The final ranking is a ``TakeOrderedAndProject`` top-k.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

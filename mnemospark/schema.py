@@ -25,7 +25,7 @@ EXTRA_COLUMNS = [
     T.StructField("seq", T.LongType(), False),
     T.StructField("session_id", T.StringType(), False),
     T.StructField("chunk", T.LongType(), False),
-    T.StructField("sig", T.LongType(), True),
+    T.StructField("sig", T.ArrayType(T.LongType(), containsNull=False), True),
 ]
 STORED_SCHEMA = T.StructType(STORE_COLUMNS + EXTRA_COLUMNS)
 

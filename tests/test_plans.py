@@ -46,3 +46,21 @@ def test_two_stage_broadcasts_only_candidates(spark, q):
     p = plan_of(S.two_stage_top_k(emb, q, k=5))
     assert "BroadcastHashJoin" in p or "BroadcastExchange" in p
     assert p.count("TakeOrderedAndProject") >= 2
+
+
+def test_two_stage_on_stored_signatures_reads_ids_and_sigs(spark, q):
+    from pyspark.sql import functions as F
+
+    from mnemospark.operators import integrity as I
+    from mnemospark.schema import LONG_TERM_CHUNK_SECONDS
+    from mnemospark.session import work_dir
+    from mnemospark.sources import store as ST
+    path = work_dir(spark, "t-sig")
+    rows = I.stamp_provenance(messages(spark, SF_MID), "m", 64).withColumn("seq", F.col("trans_id"))
+    ST.write_rows(ST.prepare(rows, "s", LONG_TERM_CHUNK_SECONDS), path, "errorifexists")
+    stored = spark.read.parquet(path)
+    top = S.two_stage_top_k(stored, q, k=5, id_col="trans_id", sig_col="sig")
+    on_the_fly = S.two_stage_top_k(stored, q, k=5, id_col="trans_id")
+    assert [r.trans_id for r in top.collect()] == [r.trans_id for r in on_the_fly.collect()]
+    schemas = [ln for ln in plan_of(top).splitlines() if "ReadSchema" in ln or "FileScan" in ln]
+    assert any("sig" in ln and "embedding" not in ln for ln in schemas), schemas

@@ -111,3 +111,33 @@ def test_user_writer_hook(spark):
     st = ST.MessageStore(spark, work_dir(spark, "t-hook"), LONG_TERM_CHUNK_SECONDS)
     st.append(stamped(spark), "s", writer=hook)
     assert seen == [stamped(spark).count()] and st.read().count() == seen[0]
+
+
+def test_compressed_input_by_extension(spark):
+    import bz2
+    import gzip
+    path = work_dir(spark, "t-codec")
+    os.makedirs(path, exist_ok=True)
+    head = ("trans_id,timestamp,speaker,text,vec_id,embedding_model,embedding_dim,embedding,"
+            "index_type,index_measurement\n")
+    line = "1,2024-01-01T00:00:00.000000Z,s,\"a, \"\"b\"\"\",1,m,2,\"[1.5, 2]\",,\n"
+    with gzip.open(path + "/a.csv.gz", "wt") as f:
+        f.write(head + line)
+    with bz2.open(path + "/b.csv.bz2", "wt") as f:
+        f.write(head + line.replace("1,2024", "2,2024", 1))
+    rows = sorted(csv_io.read_csv(spark, path).collect(), key=lambda r: r.trans_id)
+    assert [(r.trans_id, r.text, r.embedding, r._corrupt) for r in rows] == \
+        [(1, 'a, "b"', [1.5, 2.0], None), (2, 'a, "b"', [1.5, 2.0], None)]
+
+
+def test_table_description_json(spark):
+    import json
+
+    from mnemospark.operators import profile as PR
+    prof = PR.table_profile("messages", messages(spark, SF_SMALL), keys={"pk": ["trans_id"]},
+                            comments={"text": "message body"})
+    desc = json.loads(PR.describe_json(prof).first()._j)
+    cols = [d["c"] for d in desc]
+    assert [c["column_name"] for c in cols] == messages(spark, SF_SMALL).columns
+    assert cols[0]["keys"] == "pk" and cols[0]["keys_unique"] is True
+    assert [c for c in cols if c["column_name"] == "text"][0]["comment"] == "message body"
