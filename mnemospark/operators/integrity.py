@@ -181,7 +181,10 @@ def check_batch(batch: DataFrame, store: DataFrame | None = None, unknown_col: s
     drop = [c for c in (unknown_col, corrupt_col) if c]
     bad_rows = checked.filter(F.col("reject_reason").isNotNull()).drop(*drop)
     good = checked.filter(F.col("reject_reason").isNull()).drop("reject_reason", *drop)
-    keys = good.select("seq", *KEY_COLS, *(["chunk"] if "chunk" in good.columns else []))
+    # The narrow key columns are written once: the store split and every
+    # round read them several times, the input is computed only here.
+    keys = materialize(good.select("seq", *KEY_COLS, *(["chunk"] if "chunk" in good.columns else [])),
+                       "batch-keys")
     stored_clash, candidates = _split_store_clashes(keys, store)
     acc_keys, key_rejects, _ = resolve_keys(candidates.select("seq", *KEY_COLS))
     key_rejected = _pk_first(stored_clash.select("seq", *KEY_COLS, "reject_reason")
