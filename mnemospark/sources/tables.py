@@ -43,16 +43,21 @@ def messages(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> D
     benchmark: ``trans_id, timestamp, speaker, text, vec_id, embedding``.
 
     ``timestamp`` is a UTC instant (the NTZ event time read as UTC).  The
-    two lookup sides are joined on computed keys; Catalyst broadcasts
-    them while their statistics stay under the broadcast threshold and
-    falls back to a sort-merge join above it.
+    join keys ``event_id % 500`` and ``event_id % 40`` only take values
+    below 500 and 40, so the lookup sides are cut to those id ranges
+    first (the filters reach the parquet scans) and broadcast: their size
+    is bounded by the key range of their id columns, whatever the size
+    of the tables.  A shuffle join on 500 distinct keys would put all
+    events into at most 500 tasks.
     """
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", *extra)
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.col("text"))
+    v = (table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+         .filter((F.col("vec_id") >= 0) & (F.col("vec_id") < MESSAGE_VECTOR_MOD)))
+    b = (table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.col("text"))
+         .filter((F.col("item_id") >= 0) & (F.col("item_id") < MESSAGE_TEXT_MOD)))
     return (
-        e.join(v, v.vec_id == F.col("event_id") % MESSAGE_VECTOR_MOD)
-        .join(b, b.item_id == F.col("event_id") % MESSAGE_TEXT_MOD)
+        e.join(F.broadcast(v), v.vec_id == F.col("event_id") % MESSAGE_VECTOR_MOD)
+        .join(F.broadcast(b), b.item_id == F.col("event_id") % MESSAGE_TEXT_MOD)
         .select(
             F.col("event_id").alias("trans_id"),
             F.col("ts").cast("timestamp").alias("timestamp"),
