@@ -17,7 +17,7 @@ SHORT_TERM_FROM = "2024-01-24 00:00:00"  # short-term store = messages from this
 
 def vector_of(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
     """One stored vector, fetched to the driver (a single bounded row)."""
-    row = (table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id)
+    row = (table(spark, sf_dir, "embeddings", spread_small=False).filter(F.col("vec_id") == vec_id)
            .select("embedding").first())
     if row is None:
         raise ValueError(f"vec_id {vec_id} not found")
@@ -25,7 +25,7 @@ def vector_of(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
 
 
 def probe_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    rows = (table(spark, sf_dir, "embeddings").filter(F.col("vec_id").isin(list(PROBE_PAIR)))
+    rows = (table(spark, sf_dir, "embeddings", spread_small=False).filter(F.col("vec_id").isin(list(PROBE_PAIR)))
             .select("vec_id", "embedding").collect())
     vecs = {r.vec_id: r.embedding for r in rows}
     a, b = vecs[PROBE_PAIR[0]], vecs[PROBE_PAIR[1]]

@@ -18,10 +18,11 @@ MESSAGE_VECTOR_MOD = 500
 MESSAGE_TEXT_MOD = 40
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread_small: bool = True) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}; expected one of {list(TABLES)}")
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if spread_small else df
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -51,9 +52,9 @@ def messages(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> D
     events into at most 500 tasks.
     """
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", *extra)
-    v = (table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    v = (table(spark, sf_dir, "embeddings", spread_small=False).select("vec_id", "embedding")
          .filter((F.col("vec_id") >= 0) & (F.col("vec_id") < MESSAGE_VECTOR_MOD)))
-    b = (table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.col("text"))
+    b = (table(spark, sf_dir, "benchmark", spread_small=False).select(F.col("item_id"), F.col("text"))
          .filter((F.col("item_id") >= 0) & (F.col("item_id") < MESSAGE_TEXT_MOD)))
     return (
         e.join(F.broadcast(v), v.vec_id == F.col("event_id") % MESSAGE_VECTOR_MOD)
