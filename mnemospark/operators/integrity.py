@@ -100,6 +100,21 @@ def unknown_fields(json_col: str, allowed: Sequence[str] = STORE_FIELDS) -> Colu
     return F.array_except(keys, F.array(*[F.lit(a) for a in allowed]))
 
 
+JSON_RECORD_SCHEMA = ("trans_id long, timestamp timestamp, speaker string, text string, vec_id long, "
+                      "embedding_model string, embedding_dim string, embedding array<float>, "
+                      "index_type string, index_measurement string, seq long")
+
+
+def json_records(df: DataFrame, json_col: str = "value") -> DataFrame:
+    """Parse JSON message records: the store columns (``embedding_dim`` as
+    text, so P3 decides), ``seq`` when present, ``_unknown`` for C1 and
+    ``_corrupt`` for text that is not a JSON object."""
+    parsed = F.from_json(F.col(json_col), JSON_RECORD_SCHEMA)
+    return df.select(parsed.alias("_r"), unknown_fields(json_col, STORE_FIELDS + ["seq"]).alias("_unknown"),
+                     F.when(F.from_json(F.col(json_col), "map<string,string>").isNull(), F.col(json_col))
+                     .alias("_corrupt")).select("_r.*", "_unknown", "_corrupt")
+
+
 # ---------------------------------------------------------------- C4-C6
 
 def _split_store_clashes(rows: DataFrame, store: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -192,7 +207,7 @@ def check_batch(batch: DataFrame, store: DataFrame | None = None, unknown_col: s
                              acc_keys)
     decisions = (acc_keys.select("seq", F.lit(None).cast("string").alias("reject_reason"))
                  .unionByName(key_rejected.select("seq", "reject_reason")))
-    cols = batch.columns
+    cols = [c for c in batch.columns if c not in drop]
     decided = good.join(decisions, "seq").select(*cols, "reject_reason")
     if materialize_out:
         decided = materialize(decided, "decided")

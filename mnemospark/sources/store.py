@@ -93,15 +93,21 @@ class MessageStore:
     # ------------------------------------------------------------ read
     def read(self) -> DataFrame:
         """The current version (empty store -> empty frame)."""
+        from pyspark.errors import AnalysisException
+
+        from ..schema import STORED_SCHEMA
         v = self.current_version()
         if v is None:
-            from ..schema import STORED_SCHEMA
             return self.spark.createDataFrame([], STORED_SCHEMA)
-        return self.spark.read.parquet(self.data_path(v))
+        try:
+            return self.spark.read.parquet(self.data_path(v))
+        except AnalysisException:  # a version that holds no rows has no files
+            return self.spark.createDataFrame([], STORED_SCHEMA)
 
     # ------------------------------------------------------------ write
     def append(self, batch: DataFrame, session_id: str, strict: bool = False,
-               writer=None) -> tuple[DataFrame, DataFrame]:
+               writer=None, unknown_col: str | None = None,
+               corrupt_col: str | None = None) -> tuple[DataFrame, DataFrame]:
         """S9/S8 + C1-C6: check a batch against the store and append the
         accepted rows.  ``strict``: any reject fails the whole batch and
         nothing is written (one transaction per frame).  ``writer``
@@ -111,7 +117,7 @@ class MessageStore:
         prepared = prepare(batch, session_id, self.chunk_seconds)
         current = self.current_version()
         store = self.read() if current is not None else None
-        accepted, rejected = I.check_batch(prepared, store, materialize_out=True)
+        accepted, rejected = I.check_batch(prepared, store, unknown_col, corrupt_col, materialize_out=True)
         if strict and not rejected.isEmpty():
             raise ValueError(f"batch refused: {rejected.count()} rejected rows")
         version = 0 if current is None else current
