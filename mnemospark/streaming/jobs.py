@@ -40,9 +40,12 @@ def _trigger(writer, available_now: bool, interval: str | None):
 def ingest_stream(source: DataFrame, store: MessageStore, dead_letter: str, all_records: str,
                   checkpoint: str, session_id: str, bot: str, model: str | None = None,
                   dim: int | None = None, available_now: bool = True,
-                  interval: str | None = None, json_col: str | None = None) -> StreamingQuery:
+                  interval: str | None = None, json_col: str | None = None,
+                  embed: bool | None = None) -> StreamingQuery:
     """Continuous ingest of a streaming DataFrame of messages.  With
-    ``json_col`` the source holds raw JSON records (C1 applies)."""
+    ``json_col`` the source holds raw JSON records (C1 applies).  ``embed``:
+    compute vectors for rows that have none (default: only when the
+    source has no ``embedding`` column; a stored NULL vector is allowed)."""
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         if json_col:
@@ -52,16 +55,23 @@ def ingest_stream(source: DataFrame, store: MessageStore, dead_letter: str, all_
             rows = rows.withColumn("seq", F.lit(batch_id).cast("long") * F.lit(1 << 40)
                                    + F.monotonically_increasing_id())
         rows = rows.persist()
-        # M1 for rows that arrive without a vector, P2 where provenance is missing.
+        # M1: embed the text of rows without a vector (by default only when
+        # the source carries no vector column); P2: stamp what is missing.
+        embed_rows = embed if embed is not None else "embedding" not in rows.columns
         model_, dim_ = model or f"hash-{EM.HASH_BUCKETS}", dim or EM.HASH_BUCKETS
         if "embedding" not in rows.columns:
             rows = rows.withColumn("embedding", F.lit(None).cast("array<float>"))
-        need = rows.filter(F.col("embedding").isNull()).select("seq", "text")
-        emb = EM.hash_embed(need, "seq", "text", out_col="_hash")
-        rows = rows.join(emb, "seq", "left").withColumn("embedding", F.coalesce("embedding", "_hash")).drop("_hash")
+        if embed_rows:
+            need = rows.filter(F.col("embedding").isNull()).select("seq", "text")
+            emb = EM.hash_embed(need, "seq", "text", out_col="_hash")
+            rows = (rows.join(emb, "seq", "left")
+                    .withColumn("embedding", F.coalesce("embedding", "_hash")).drop("_hash"))
         for c, v in (("embedding_model", F.lit(model_)), ("embedding_dim", F.lit(dim_).cast("int")),
                      ("index_type", F.lit(None).cast("string")), ("index_measurement", F.lit(None).cast("string"))):
-            rows = rows.withColumn(c, F.coalesce(F.col(c), v) if c in rows.columns else v)
+            if c not in rows.columns:
+                rows = rows.withColumn(c, v)
+            elif embed_rows:
+                rows = rows.withColumn(c, F.coalesce(F.col(c), v))
         try:
             (rows.withColumn("session_id", F.lit(session_id)).write.mode("overwrite")
              .parquet(f"{all_records}/session_id={session_id}/batch_id={batch_id}"))

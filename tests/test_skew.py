@@ -74,7 +74,7 @@ def test_json_stream_rejects_unknown_fields_and_embeds(spark):
     src = spark.readStream.schema("value string").text(root + "/src")
     store = MessageStore(spark, root + "/store", LONG_TERM_CHUNK_SECONDS, "hash-64", 64)
     J.ingest_stream(src, store, root + "/dl", root + "/all", root + "/ck", "s", "bot",
-                    json_col="value").awaitTermination()
+                    json_col="value", embed=True).awaitTermination()
     stored = store.read().collect()
     assert [r.trans_id for r in stored] == [1] and len(stored[0].embedding) == 64
     reasons = sorted(r.reject_reason for r in spark.read.parquet(root + "/dl").collect())
