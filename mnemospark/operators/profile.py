@@ -69,6 +69,17 @@ def table_profile(name: str, df: DataFrame, keys: dict[str, list[str]] | None =
     return stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def profile_all(tables: dict[str, DataFrame], keys: dict[str, dict[str, list[str]]] | None = None) -> DataFrame:
+    """A5 for every table of a catalogue: one profile per table, unioned."""
+    out = None
+    for name, df in tables.items():
+        p = table_profile(name, df, (keys or {}).get(name))
+        out = p if out is None else out.unionByName(p)
+    if out is None:
+        raise ValueError("no tables to profile")
+    return out
+
+
 def describe_json(profile: DataFrame) -> DataFrame:
     """P25: one JSON text per table: name plus the list of column dicts."""
     cols = F.struct("column_name", "data_type", "nullable", "keys", "keys_unique", "comment")

@@ -78,8 +78,15 @@ def _and(preds: Sequence[Column]) -> Column:
     return out
 
 
-def day_bounds(as_of: dt.datetime, days_ago: int) -> tuple[dt.datetime, dt.datetime]:
-    """The UTC calendar day ``days_ago`` days before ``as_of``."""
+def now(utc: bool = True) -> dt.datetime:
+    """The current time as a naive datetime, UTC (default) or local."""
+    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) if utc else dt.datetime.now()
+
+
+def day_bounds(as_of: dt.datetime | None, days_ago: int) -> tuple[dt.datetime, dt.datetime]:
+    """The UTC calendar day ``days_ago`` days before ``as_of``
+    (now when not given; pass it for repeatable results)."""
+    as_of = as_of or now()
     day = (as_of - dt.timedelta(days=days_ago)).date()
     start = dt.datetime(day.year, day.month, day.day)
     return start, start + dt.timedelta(days=1)

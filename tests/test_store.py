@@ -141,3 +141,28 @@ def test_table_description_json(spark):
     assert [c["column_name"] for c in cols] == messages(spark, SF_SMALL).columns
     assert cols[0]["keys"] == "pk" and cols[0]["keys_unique"] is True
     assert [c for c in cols if c["column_name"] == "text"][0]["comment"] == "message body"
+
+
+def test_export_runs_increment_and_append(spark):
+    import datetime as dt
+
+    from mnemospark.sources import export as EX
+    root = work_dir(spark, "t-export")
+    rows = stamped(spark).limit(10)
+    p1 = EX.export_run(rows, root, "all_records", dt.date(2025, 1, 2))
+    p2 = EX.export_run(rows, root, "all_records", dt.date(2025, 1, 2))
+    p3 = EX.export_run(rows, root, "all_records", dt.date(2025, 1, 2), auto_increment=False)
+    assert p1.endswith("run=1") and p2.endswith("run=2") and p3 == p2
+    assert csv_io.read_csv(spark, p2).count() == 20 and csv_io.read_csv(spark, p1).count() == 10
+    assert EX.last_run(spark, root, "other") is None
+
+
+def test_profile_all_and_now(spark):
+    from mnemospark.operators import profile as PR
+    from mnemospark.operators.search import day_bounds, now
+    from mnemospark.sources.tables import table
+    prof = PR.profile_all({t: table(spark, SF_SMALL, t) for t in ("labels", "benchmark")},
+                          {"labels": {"pk": ["doc_id"]}})
+    assert {r.table_name for r in prof.collect()} == {"labels", "benchmark"}
+    s, e = day_bounds(None, 0)
+    assert s <= now() < e
