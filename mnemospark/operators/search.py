@@ -214,10 +214,16 @@ def score_pairs(docs: DataFrame, queries: DataFrame, metric: str = "cosine", doc
     dist = V.distance(metric, F.col(doc_vec), F.col(query_vec)).alias("distance")
     if fits:
         return d.join(q_b, how="cross").select(query_id, doc_id, dist)
-    blocks = -(-n // max_broadcast_rows)
+    # Hash blocks with headroom (twice the minimum count); the largest block
+    # is measured before anything is broadcast.
+    blocks = 2 * -(-n // max_broadcast_rows)
+    block = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    largest = q.groupBy(block.alias("_b")).count().agg(F.max("count")).first()[0]
+    if largest > max_broadcast_rows:
+        raise ValueError(f"a query block holds {largest} rows, above the bound {max_broadcast_rows}")
     parts = []
     for b in range(blocks):
-        qb = q.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
+        qb = q.filter(block == b)
         parts.append(d.join(F.broadcast(qb), how="cross").select(query_id, doc_id, dist))
     out = parts[0]
     for p in parts[1:]:
