@@ -107,21 +107,35 @@ class MessageStore:
     # ------------------------------------------------------------ write
     def append(self, batch: DataFrame, session_id: str, strict: bool = False,
                writer=None, unknown_col: str | None = None,
-               corrupt_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+               corrupt_col: str | None = None, ingest_id: str | None = None) -> tuple[DataFrame, DataFrame]:
         """S9/S8 + C1-C6: check a batch against the store and append the
         accepted rows.  ``strict``: any reject fails the whole batch and
         nothing is written (one transaction per frame).  ``writer``
         (S17): a user function ``(accepted, path) -> None`` that replaces
         the default parquet append.  Returns the accepted and rejected
-        rows (the rejects are the dead letter)."""
+        rows (the rejects are the dead letter).
+
+        ``ingest_id`` makes the append idempotent: stored rows carry it, a
+        repeated call with the same id is checked against the store
+        without its own earlier rows (same decisions, same rejects) and
+        writes only the accepted rows not stored yet, also after a
+        partly written first attempt.
+        """
         prepared = prepare(batch, session_id, self.chunk_seconds)
+        if ingest_id is not None:
+            prepared = prepared.withColumn("ingest_id", F.lit(ingest_id))
         current = self.current_version()
         store = self.read() if current is not None else None
+        own = None
+        if store is not None and ingest_id is not None and "ingest_id" in store.columns:
+            own = store.filter(F.col("ingest_id") == ingest_id).select("seq")
+            store = store.filter(F.col("ingest_id").isNull() | (F.col("ingest_id") != ingest_id))
         accepted, rejected = I.check_batch(prepared, store, unknown_col, corrupt_col, materialize_out=True)
         if strict and not rejected.isEmpty():
             raise ValueError(f"batch refused: {rejected.count()} rejected rows")
         version = 0 if current is None else current
-        (writer or write_rows)(accepted, self.data_path(version))
+        to_write = accepted if own is None else accepted.join(own, "seq", "left_anti")
+        (writer or write_rows)(to_write, self.data_path(version))
         if current is None:
             self._record_version(0, accepted.count(), "create")
         return accepted, rejected

@@ -5,8 +5,9 @@
   accepted rows to the store, every F1-passing row to the all-records
   sink and the rejects to the dead letter.  Both side sinks are written
   to a path holding the batch id with overwrite, so a replayed batch
-  rewrites instead of duplicating; a replayed store append finds its
-  rows already stored and rejects them instead of storing them twice.
+  rewrites instead of duplicating; the store append carries the batch id
+  as ``ingest_id``, so a replay reaches the same decisions and stores
+  only the rows a failed attempt did not (exactly once).
   Late rows are never dropped (no watermark).
 * ``dedupe_stream`` (T2): bounded-state duplicate suppression on the
   unique key with ``dropDuplicatesWithinWatermark``.
@@ -76,7 +77,7 @@ def ingest_stream(source: DataFrame, store: MessageStore, dead_letter: str, all_
             (rows.withColumn("session_id", F.lit(session_id)).write.mode("overwrite")
              .parquet(f"{all_records}/session_id={session_id}/batch_id={batch_id}"))
             extra = ({"unknown_col": "_unknown", "corrupt_col": "_corrupt"} if json_col else {})
-            _, rejected = store.append(rows, session_id, **extra)
+            _, rejected = store.append(rows, session_id, ingest_id=f"{session_id}/{batch_id}", **extra)
             rejected.write.mode("overwrite").parquet(f"{dead_letter}/batch_id={batch_id}")
         finally:
             rows.unpersist()

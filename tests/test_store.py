@@ -166,3 +166,24 @@ def test_profile_all_and_now(spark):
     assert {r.table_name for r in prof.collect()} == {"labels", "benchmark"}
     s, e = day_bounds(None, 0)
     assert s <= now() < e
+
+
+def test_append_with_ingest_id_is_idempotent(spark):
+    st = ST.MessageStore(spark, work_dir(spark, "t-idem"), LONG_TERM_CHUNK_SECONDS)
+    rows = stamped(spark)
+    dup = rows.limit(3).withColumn("seq", F.col("seq") + 10**9)  # replays: rejected as pk
+    batch = rows.unionByName(dup)
+    acc1, rej1 = st.append(batch, "s", ingest_id="b0")
+    n_acc, rej_set = acc1.count(), sorted((r.seq, r.reject_reason) for r in rej1.collect())
+    # a replay of the same batch: same rejects, nothing stored twice
+    acc2, rej2 = st.append(batch, "s", ingest_id="b0")
+    assert sorted((r.seq, r.reject_reason) for r in rej2.collect()) == rej_set
+    assert st.read().count() == n_acc
+    # a partly written first attempt: only the missing rows are written
+    st2 = ST.MessageStore(spark, work_dir(spark, "t-idem2"), LONG_TERM_CHUNK_SECONDS)
+    part = ST.prepare(rows.limit(5), "s", LONG_TERM_CHUNK_SECONDS).withColumn("ingest_id", F.lit("b0"))
+    ST.write_rows(part, st2.data_path(0), "append")
+    st2._record_version(0, -1, "partial")
+    st2.append(batch, "s", ingest_id="b0")
+    assert st2.read().count() == n_acc
+    assert st2.read().groupBy("seq").count().filter("count > 1").count() == 0
