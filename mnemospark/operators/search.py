@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 from ..functions import vectors as V
 from ..plans.broadcast import MAX_BROADCAST_ROWS, checked_broadcast
 
+# Search defaults (top-k, candidate list, rescored candidates)
+# and the P1 result projection.
 DEFAULT_K = 5
 DEFAULT_SEARCH_LIST = 100
 DEFAULT_RESCORE = 50

@@ -36,7 +36,8 @@ REQUIRED = ["trans_id", "timestamp", "speaker", "text", "vec_id",
 PRIMARY_KEY = ["trans_id", "timestamp"]
 UNIQUE_KEY = ["timestamp", "speaker", "text"]
 
-# Time chunks: one hour for the short-term store, 365 days for long-term.
+# Time chunks of one hour for the short-term store and
+# 365 days for the long-term store.
 SHORT_TERM_CHUNK_SECONDS = 3600
 LONG_TERM_CHUNK_SECONDS = 365 * 24 * 3600
 
