@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import SHORT_TERM_CHUNK_SECONDS
-from ..session import work_dir
+from ..session import materialize, work_dir
 from ..sources.store import MessageStore
 from ..sources.tables import as_ntz, messages, table
 from ..streaming import jobs as J
@@ -46,7 +46,7 @@ select seq, trans_id, timestamp, speaker, text, vec_id, embedding_model, embeddi
 """)
 def stream_ingest(spark, sf_dir):
     root = work_dir(spark, "stream-ingest")
-    src = fault_batch(spark, sf_dir)
+    src = materialize(fault_batch(spark, sf_dir), "stream-ingest-input")  # computed once, cut into levels
     n = _write_levels(src, F.floor(F.col("seq") / REPLAY), [0, 1, 2, 3], f"{root}/src")
     schema = spark.read.parquet(f"{root}/src").schema
     store = MessageStore(spark, f"{root}/store", SHORT_TERM_CHUNK_SECONDS, MODEL, DIM)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,18 @@ class MessageStore:
         (self.spark.createDataFrame([rec], "rows long, reason string, created string")
          .coalesce(1).write.mode("overwrite").json(f"{self.root}/_versions/version={version}"))
 
+    def _ingest_seen(self, ingest_id: str) -> bool:
+        from pyspark.errors import AnalysisException
+        try:
+            rec = self.spark.read.schema("state string").json(f"{self.root}/_ingests/ingest={ingest_id}")
+            return not rec.isEmpty()
+        except AnalysisException:  # no record: a first attempt
+            return False
+
+    def _mark_ingest(self, ingest_id: str, state: str) -> None:
+        (self.spark.createDataFrame([(state,)], "state string").coalesce(1).write.mode("overwrite")
+         .json(f"{self.root}/_ingests/ingest={ingest_id}"))
+
     def data_path(self, version: int) -> str:
         return f"{self.root}/data/version={version}"
 
@@ -127,15 +140,24 @@ class MessageStore:
         current = self.current_version()
         store = self.read() if current is not None else None
         own = None
-        if store is not None and ingest_id is not None and "ingest_id" in store.columns:
-            own = store.filter(F.col("ingest_id") == ingest_id).select("seq")
-            store = store.filter(F.col("ingest_id").isNull() | (F.col("ingest_id") != ingest_id))
+        if ingest_id is not None:
+            if not re.fullmatch(r"[A-Za-z0-9_.-]+", ingest_id):
+                raise ValueError("ingest_id may hold letters, digits, '_', '.' and '-' only")
+            # An intent record is written before the data: only an id seen
+            # before (a replay) pays for the own-rows check and anti-join.
+            if self._ingest_seen(ingest_id) and store is not None and "ingest_id" in store.columns:
+                own = store.filter(F.col("ingest_id") == ingest_id).select("seq")
+                store = store.filter(F.col("ingest_id").isNull() | (F.col("ingest_id") != ingest_id))
         accepted, rejected = I.check_batch(prepared, store, unknown_col, corrupt_col, materialize_out=True)
         if strict and not rejected.isEmpty():
             raise ValueError(f"batch refused: {rejected.count()} rejected rows")
         version = 0 if current is None else current
         to_write = accepted if own is None else accepted.join(own, "seq", "left_anti")
+        if ingest_id is not None:
+            self._mark_ingest(ingest_id, "started")
         (writer or write_rows)(to_write, self.data_path(version))
+        if ingest_id is not None:
+            self._mark_ingest(ingest_id, "done")
         if current is None:
             self._record_version(0, accepted.count(), "create")
         return accepted, rejected

@@ -77,7 +77,7 @@ def ingest_stream(source: DataFrame, store: MessageStore, dead_letter: str, all_
             (rows.withColumn("session_id", F.lit(session_id)).write.mode("overwrite")
              .parquet(f"{all_records}/session_id={session_id}/batch_id={batch_id}"))
             extra = ({"unknown_col": "_unknown", "corrupt_col": "_corrupt"} if json_col else {})
-            _, rejected = store.append(rows, session_id, ingest_id=f"{session_id}/{batch_id}", **extra)
+            _, rejected = store.append(rows, session_id, ingest_id=f"{session_id}-b{batch_id}", **extra)
             rejected.write.mode("overwrite").parquet(f"{dead_letter}/batch_id={batch_id}")
         finally:
             rows.unpersist()

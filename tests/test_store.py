@@ -182,8 +182,10 @@ def test_append_with_ingest_id_is_idempotent(spark):
     # a partly written first attempt: only the missing rows are written
     st2 = ST.MessageStore(spark, work_dir(spark, "t-idem2"), LONG_TERM_CHUNK_SECONDS)
     part = ST.prepare(rows.limit(5), "s", LONG_TERM_CHUNK_SECONDS).withColumn("ingest_id", F.lit("b0"))
+    st2._mark_ingest("b0", "started")  # the intent is written before any data
     ST.write_rows(part, st2.data_path(0), "append")
     st2._record_version(0, -1, "partial")
-    st2.append(batch, "s", ingest_id="b0")
+    _, rej3 = st2.append(batch, "s", ingest_id="b0")
+    assert sorted((r.seq, r.reject_reason) for r in rej3.collect()) == rej_set
     assert st2.read().count() == n_acc
     assert st2.read().groupBy("seq").count().filter("count > 1").count() == 0
