@@ -303,12 +303,27 @@ def batch_two_stage_top_k(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_
                           search_list_size: int = DEFAULT_SEARCH_LIST, rescore: int = DEFAULT_RESCORE,
                           metric: str = "cosine", doc_id: str = "vec_id", query_id: str = "query_id",
                           doc_vec: str = "embedding", query_vec: str = "query_vec",
-                          max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                          max_broadcast_rows: int = MAX_BROADCAST_ROWS, method: str = "arrow") -> DataFrame:
     """K5 for a batch of queries: per query the best ``rescore`` of the
-    ``search_list_size`` Hamming candidates are rescored exactly.  The
-    Hamming stage reads ids and signatures only; the rescoring joins
-    back a list of at most ``queries x rescore`` ids."""
+    ``search_list_size`` Hamming candidates are rescored exactly.
+
+    ``arrow`` (default): one pass; each partition keeps per query its
+    ``rescore`` best rows by ``(hamming, id)`` and scores them exactly with
+    the vectors at hand; windows pick the global candidates and the top-k.
+    ``sql``: Hamming over a broadcast join, candidates joined back to the
+    documents for their vectors (a second scan)."""
     keep = min(rescore, search_list_size)
+    if method == "arrow":
+        from . import vector_batch
+        cand = vector_batch.two_stage_candidates(docs, queries, keep, metric, doc_id, query_id, doc_vec,
+                                                 query_vec, max_broadcast_rows)
+        w1 = Window.partitionBy(query_id).orderBy("hamming", doc_id)
+        best = cand.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= keep).drop("_r")
+        w2 = Window.partitionBy(query_id).orderBy("distance", doc_id)
+        return (best.filter(F.col("distance").isNotNull())
+                .withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k))
+    if method != "sql":
+        raise ValueError("method must be 'arrow' or 'sql'")
     q = queries.select(query_id, query_vec, V.sign_words_expr(query_vec).alias("_qsig"))
     q_b, n, fits = checked_broadcast(q, max_broadcast_rows)
     if not fits:

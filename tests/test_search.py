@@ -135,3 +135,13 @@ def test_arrow_scan_keeps_ties_and_skips_bad_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     got = [r.vec_id for r in S.exact_top_k(df, [1.0, 0.0], 4, id_col="vec_id", columns=[], method="arrow").collect()]
     assert got == [0, 1, 2, 3]
+
+
+def test_batch_two_stage_methods_agree(spark, emb):
+    df, ids, X = emb
+    cents = label_centroids(df)
+    a = S.batch_two_stage_top_k(df, cents, k=5, search_list_size=100, rescore=50, method="arrow").collect()
+    b = S.batch_two_stage_top_k(df, cents, k=5, search_list_size=100, rescore=50, method="sql").collect()
+    key = lambda r: (r.query_id, r.rank)
+    assert [(r.query_id, r.vec_id, r.rank, r.hamming) for r in sorted(a, key=key)] == \
+        [(r.query_id, r.vec_id, r.rank, r.hamming) for r in sorted(b, key=key)]
