@@ -10,7 +10,6 @@ The final ranking is a ``TakeOrderedAndProject`` top-k.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,6 +79,3 @@ def snippets(top: DataFrame, docs: DataFrame, id_col: str, text_col: str, query:
             .select(id_col, "score", "first_hit",
                     F.expr(f"substring(_txt, _start, {SNIPPET_CHARS})").alias("snippet")))
 
-
-def idf_value(n_docs: int, df: int) -> float:
-    return math.log(1.0 + (n_docs - df + 0.5) / (df + 0.5))

@@ -14,7 +14,6 @@ driver only reads the small version table.
 from __future__ import annotations
 
 import datetime as dt
-import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -209,6 +208,3 @@ def promote(short_term: DataFrame, long_term: DataFrame) -> tuple[DataFrame, Dat
     cols = [c for c in STORE_FIELDS if c in short_term.columns] + ["seq"]
     return I.check_batch(short_term.select(*cols), long_term.select(*cols))
 
-
-def manifest_json(man: dict) -> str:
-    return json.dumps(man, sort_keys=True)

@@ -189,3 +189,15 @@ def test_append_with_ingest_id_is_idempotent(spark):
     assert sorted((r.seq, r.reject_reason) for r in rej3.collect()) == rej_set
     assert st2.read().count() == n_acc
     assert st2.read().groupBy("seq").count().filter("count > 1").count() == 0
+
+
+def test_csv_to_long_term_store(spark):
+    """CSV -> typed read -> arrival order -> checks -> append (the bulk load)."""
+    path = work_dir(spark, "t-load") + "/in"
+    rows = stamped(spark).drop("seq")
+    csv_io.write_csv(rows, path, mode="errorifexists")
+    back = csv_io.with_arrival(csv_io.read_csv(spark, path)).drop("_corrupt")
+    st = ST.MessageStore(spark, work_dir(spark, "t-load-store"), LONG_TERM_CHUNK_SECONDS)
+    acc, rej = st.append(back, "load")
+    assert acc.count() == rows.count() and rej.count() == 0
+    assert st.read().select("trans_id").exceptAll(rows.select("trans_id")).count() == 0

@@ -105,3 +105,16 @@ def test_sql_functions(spark):
     assert r.l == pytest.approx(3.0)
     assert math.isclose(spark.sql("select neg_inner_product(array(cast(2 as float)), array(cast(3 as float)))")
                         .first()[0], -6.0)
+
+
+def test_score_matrix_shape(spark):
+    """2 queries x 2 documents of unit vectors, score = 100 x dot."""
+    from mnemospark.operators.search import score_pairs
+    q = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.6, 0.8])], "query_id long, query_vec array<float>")
+    d = spark.createDataFrame([(10, [0.0, 1.0]), (11, [0.8, 0.6])], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.vec_id): r.s for r in
+           score_pairs(d, q, "ip").join(d, "vec_id").join(q, "query_id")
+           .select("query_id", "vec_id", V.similarity_score("embedding", "query_vec").alias("s")).collect()}
+    want = {(0, 10): 0.0, (0, 11): 80.0, (1, 10): 80.0, (1, 11): 96.0}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(v, abs=1e-4) for k, v in want.items())
