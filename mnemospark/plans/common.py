@@ -35,7 +35,9 @@ def probe_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 def label_centroids(emb: DataFrame) -> DataFrame:
     """Mean vector per label: ``query_id, query_vec``.  Per-element means
     via ``posexplode`` + a two-level aggregate (partial sums before the
-    shuffle), then one bounded array per label (dim elements)."""
+    shuffle), then one bounded array per label (dim elements).  Spark ML's
+    ``Summarizer`` avoids the exploded rows but keeps a running mean, whose
+    rounding differs from sum / count; this form equals ``avg`` in SQL."""
     el = emb.select("label", F.posexplode("embedding").alias("pos", "x"))
     means = el.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
     return (means.groupBy("label")
