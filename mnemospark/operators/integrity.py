@@ -46,6 +46,19 @@ R_UK = "unique"
 
 KEY_COLS = list(dict.fromkeys(PRIMARY_KEY + UNIQUE_KEY))
 
+# Inside the key rounds the text of the unique key is compared by its
+# SHA-256 digest (32 bytes): equal text gives equal digests, and distinct
+# texts with equal digests are not known to exist.  The rounds then shuffle
+# fixed-width keys instead of message text.
+TEXT_DIGEST = "text_sha256"
+UK_DIGEST = ["timestamp", "speaker", TEXT_DIGEST]
+DIGEST_KEY_COLS = list(dict.fromkeys(PRIMARY_KEY + UK_DIGEST))
+
+
+def text_digest(text: str | Column = "text") -> Column:
+    t = F.col(text) if isinstance(text, str) else text
+    return F.unhex(F.sha2(t, 256))
+
 
 # ---------------------------------------------------------------- F1, P2, P3
 
@@ -128,7 +141,10 @@ def _split_store_clashes(rows: DataFrame, store: DataFrame | None) -> tuple[Data
         return rows.limit(0).withColumn("reject_reason", F.lit(None).cast("string")), rows
     by_chunk = "chunk" in store.columns and "chunk" in rows.columns
     pk = PRIMARY_KEY + (["chunk"] if by_chunk else [])
-    uk = UNIQUE_KEY + (["chunk"] if by_chunk else [])
+    uk_cols = UK_DIGEST if TEXT_DIGEST in rows.columns else UNIQUE_KEY
+    uk = uk_cols + (["chunk"] if by_chunk else [])
+    if TEXT_DIGEST in rows.columns and TEXT_DIGEST not in store.columns:
+        store = store.withColumn(TEXT_DIGEST, text_digest("text"))
     spk, suk = store.select(*pk), store.select(*uk)
     pk_clash = rows.join(spk, pk, "left_semi").withColumn("reject_reason", F.lit(R_PK_STORED))
     rest = rows.join(spk, pk, "left_anti")
@@ -136,15 +152,15 @@ def _split_store_clashes(rows: DataFrame, store: DataFrame | None) -> tuple[Data
     return pk_clash.unionByName(uk_clash), rest.join(suk, uk, "left_anti")
 
 
-def _round(r: DataFrame) -> DataFrame:
+def _round(r: DataFrame, uk: list[str]) -> DataFrame:
     """One round over undecided rows: ``_status`` = accept / pk / unique / NULL."""
-    keys = r.select("seq", *KEY_COLS)
+    keys = r.select("seq", *dict.fromkeys(PRIMARY_KEY + uk))
     mpk = keys.groupBy(*PRIMARY_KEY).agg(F.min("seq").alias("seq"))
-    muk = keys.groupBy(*UNIQUE_KEY).agg(F.min("seq").alias("seq"))
+    muk = keys.groupBy(*uk).agg(F.min("seq").alias("seq"))
     win = mpk.join(muk, ["seq", "timestamp"])  # smallest for both keys
     wpk = win.select(*PRIMARY_KEY, F.col("seq").alias("_wpk"))
-    wuk = win.select(*UNIQUE_KEY, F.col("seq").alias("_wuk"))
-    flagged = r.join(wpk, PRIMARY_KEY, "left").join(wuk, UNIQUE_KEY, "left")
+    wuk = win.select(*uk, F.col("seq").alias("_wuk"))
+    flagged = r.join(wpk, PRIMARY_KEY, "left").join(wuk, uk, "left")
     status = (F.when(F.col("_wpk") == F.col("seq"), F.lit("accept"))
               .when(F.col("_wpk").isNotNull(), F.lit(R_PK))
               .when(F.col("_wuk").isNotNull(), F.lit(R_UK)))
@@ -153,15 +169,17 @@ def _round(r: DataFrame) -> DataFrame:
 
 def resolve_keys(rows: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame, int]:
     """C4-C6 within a batch.  ``rows`` holds ``seq`` and the key columns
-    (pass only those: every round shuffles them) and passed every row rule.  Returns ``(accepted, rejected, rounds)``;
+    (pass only those: every round shuffles them; the text may be given as
+    its digest column) and passed every row rule.  Returns ``(accepted, rejected, rounds)``;
     rejected rows carry ``reject_reason``.  Runs until no row is left
     undecided (``max_rounds`` only for tests; exceeding it raises)."""
+    uk = UK_DIGEST if TEXT_DIGEST in rows.columns else UNIQUE_KEY
     accepted, rejected = [], []
     undecided = rows
     rounds = 0
     while True:
         rounds += 1
-        status = materialize(_round(undecided), "key-round")
+        status = materialize(_round(undecided, uk), "key-round")
         accepted.append(status.filter(F.col("_status") == "accept").drop("_status"))
         rejected.append(status.filter(F.col("_status").isin(R_PK, R_UK))
                         .withColumnRenamed("_status", "reject_reason"))
@@ -198,12 +216,13 @@ def check_batch(batch: DataFrame, store: DataFrame | None = None, unknown_col: s
     good = checked.filter(F.col("reject_reason").isNull()).drop("reject_reason", *drop)
     # The narrow key columns are written once: the store split and every
     # round read them several times, the input is computed only here.
-    keys = materialize(good.select("seq", *KEY_COLS, *(["chunk"] if "chunk" in good.columns else [])),
+    keys = materialize(good.select("seq", *PRIMARY_KEY, "speaker", text_digest("text").alias(TEXT_DIGEST),
+                                   *(["chunk"] if "chunk" in good.columns else [])),
                        "batch-keys")
     stored_clash, candidates = _split_store_clashes(keys, store)
-    acc_keys, key_rejects, _ = resolve_keys(candidates.select("seq", *KEY_COLS))
-    key_rejected = _pk_first(stored_clash.select("seq", *KEY_COLS, "reject_reason")
-                             .unionByName(key_rejects.select("seq", *KEY_COLS, "reject_reason")),
+    acc_keys, key_rejects, _ = resolve_keys(candidates.select("seq", *DIGEST_KEY_COLS))
+    key_rejected = _pk_first(stored_clash.select("seq", *PRIMARY_KEY, "reject_reason")
+                             .unionByName(key_rejects.select("seq", *PRIMARY_KEY, "reject_reason")),
                              acc_keys)
     decisions = (acc_keys.select("seq", F.lit(None).cast("string").alias("reject_reason"))
                  .unionByName(key_rejected.select("seq", "reject_reason")))

@@ -26,6 +26,7 @@ EXTRA_COLUMNS = [
     T.StructField("session_id", T.StringType(), False),
     T.StructField("chunk", T.LongType(), False),
     T.StructField("sig", T.ArrayType(T.LongType(), containsNull=False), True),
+    T.StructField("text_sha256", T.BinaryType(), True),
 ]
 STORED_SCHEMA = T.StructType(STORE_COLUMNS + EXTRA_COLUMNS)
 

@@ -34,13 +34,16 @@ def chunk_of(ts: Column | str, chunk_seconds: int) -> Column:
 
 
 def prepare(df: DataFrame, session_id: str | Column, chunk_seconds: int) -> DataFrame:
-    """Add the stored columns: ``session_id``, ``chunk`` and the sign
-    signature ``sig`` (computed once here, read by two-stage search)."""
+    """Add the stored columns: ``session_id``, ``chunk``, the sign
+    signature ``sig`` (read by two-stage search) and the text digest
+    ``text_sha256`` (read by the unique-key clash check), each computed
+    once here."""
     sid = F.lit(session_id) if isinstance(session_id, str) else session_id
     return df.withColumns({
         "session_id": sid,
         "chunk": chunk_of("timestamp", chunk_seconds),
         "sig": F.when(F.col("embedding").isNotNull(), sign_words_expr("embedding")),
+        I.TEXT_DIGEST: I.text_digest("text"),
     })
 
 
