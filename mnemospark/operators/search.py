@@ -206,10 +206,22 @@ def batch_top_k(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metric:
 
 def score_pairs(docs: DataFrame, queries: DataFrame, metric: str = "cosine", doc_id: str = "vec_id",
                 query_id: str = "query_id", doc_vec: str = "embedding", query_vec: str = "query_vec",
-                max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                max_broadcast_rows: int = MAX_BROADCAST_ROWS, method: str = "sql") -> DataFrame:
     """Every query against every document, the query side broadcast
-    after a size check.  A query set above the bound is split into
-    blocks that each fit, and the blocks are unioned."""
+    after a size check.  ``sql``: a broadcast join with JVM expressions; a
+    query set above the bound is split into blocks that each fit, and the
+    blocks are unioned.  ``arrow``: each document batch is scored against
+    the query matrix with numpy (above the bound it falls back to ``sql``).
+    Rows whose distance is undefined are NULL (``sql``) or absent (``arrow``)."""
+    if method == "arrow":
+        from . import vector_batch
+        try:
+            return vector_batch.all_pairs(docs, queries, metric, doc_id, query_id, doc_vec, query_vec,
+                                          max_broadcast_rows)
+        except vector_batch.TooManyQueries:
+            pass
+    elif method != "sql":
+        raise ValueError("method must be 'sql' or 'arrow'")
     q = queries.select(query_id, query_vec)
     d = docs.select(doc_id, doc_vec)
     q_b, n, fits = checked_broadcast(q, max_broadcast_rows)

@@ -117,7 +117,7 @@ from centroids c, embeddings e
 def score_matrix(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
     cents = label_centroids(emb)
-    pairs = S.score_pairs(emb, cents, metric="ip")
+    pairs = S.score_pairs(emb, cents, metric="ip", method="arrow")
     return pairs.select("query_id", "vec_id", r6(-F.col("distance") * 100).alias("score"))
 
 

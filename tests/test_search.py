@@ -145,3 +145,16 @@ def test_batch_two_stage_methods_agree(spark, emb):
     key = lambda r: (r.query_id, r.rank)
     assert [(r.query_id, r.vec_id, r.rank, r.hamming) for r in sorted(a, key=key)] == \
         [(r.query_id, r.vec_id, r.rank, r.hamming) for r in sorted(b, key=key)]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
+def test_all_pairs_arrow_equals_sql(spark, emb, metric):
+    from mnemospark.operators import vector_batch as VB
+    df, _, _ = emb
+    cents = label_centroids(df)
+    a = {(r.query_id, r.vec_id): r.distance for r in
+         VB.all_pairs(df, cents, metric, "vec_id", "query_id", "embedding", "query_vec").collect()}
+    b = {(r.query_id, r.vec_id): r.distance for r in S.score_pairs(df, cents, metric).collect()
+         if r.distance is not None}
+    assert a.keys() == b.keys() and len(a) == 10 * df.count()
+    assert all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
