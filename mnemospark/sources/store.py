@@ -158,8 +158,6 @@ class MessageStore:
         if ingest_id is not None:
             self._mark_ingest(ingest_id, "started")
         (writer or write_rows)(to_write, self.data_path(version))
-        if ingest_id is not None:
-            self._mark_ingest(ingest_id, "done")
         if current is None:
             self._record_version(0, accepted.count(), "create")
         return accepted, rejected
