@@ -171,6 +171,22 @@ class MessageStore:
          .write.mode("overwrite").json(dest + "_manifest"))
         return man
 
+    def compact(self) -> int:
+        """Rewrite the current version as a new one with the range layout
+        (few files per chunk after many small appends).  The new version is
+        recorded only when its manifest equals the old one; returns it."""
+        current = self.current_version()
+        if current is None:
+            raise ValueError("empty store")
+        before = manifest(self.read())
+        new = current + 1
+        write_rows(self.read(), self.data_path(new), "errorifexists")
+        after = manifest(self.spark.read.parquet(self.data_path(new)))
+        if after != before:
+            raise ValueError(f"compacted copy differs from version {current}; not switched")
+        self._record_version(new, after["rows"], "compact")
+        return new
+
     def reset(self, keep: Column, snapshot_dest: str) -> int:
         """Session reset.  Refuses unless a snapshot of the current
         version exists and matches it; then writes the kept rows as a new

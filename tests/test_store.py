@@ -201,3 +201,18 @@ def test_csv_to_long_term_store(spark):
     acc, rej = st.append(back, "load")
     assert acc.count() == rows.count() and rej.count() == 0
     assert st.read().select("trans_id").exceptAll(rows.select("trans_id")).count() == 0
+
+
+def test_compact_keeps_rows_and_cuts_files(spark):
+    import glob
+    root = work_dir(spark, "t-compact")
+    st = ST.MessageStore(spark, root, LONG_TERM_CHUNK_SECONDS)
+    rows = stamped(spark)
+    for i in range(3):  # three appends of disjoint rows: three file sets
+        part = rows.filter(F.col("trans_id") % 3 == i)
+        st.append(part, "s", ingest_id=f"b{i}")
+    before = ST.manifest(st.read())
+    files_before = len(glob.glob(st.data_path(0) + "/*/*/*.parquet"))
+    v = st.compact()
+    assert v == 1 and ST.manifest(st.read()) == before
+    assert len(glob.glob(st.data_path(1) + "/*/*/*.parquet")) <= files_before
