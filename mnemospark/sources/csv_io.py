@@ -52,5 +52,24 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_arrival(df: DataFrame) -> DataFrame:
-    """Arrival order of read records: increasing in file and line order."""
-    return df.withColumn("seq", F.monotonically_increasing_id())
+    """Dense arrival numbers 0, 1, 2, ... in file-name and line order, so
+    chunks of N arrival positions (S2) are chunks of N rows.
+
+    The rows are written once with their input file, partition id and
+    position (these depend on the physical plan, so they are fixed before
+    reuse).  One small aggregate per (file, partition) gives its row count
+    and first position; a window over those few rows (one per file split,
+    a bound known before the join) gives the offsets, which are broadcast
+    back to the rows."""
+    from pyspark.sql import Window
+
+    from ..session import materialize
+    tagged = materialize(df.withColumn("_file", F.input_file_name())
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()), "arrival")
+    groups = tagged.groupBy("_file", "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    offsets = groups.select("_file", "_pid", "_first",
+                            (F.sum("_n").over(Window.orderBy("_file", "_pid")) - F.col("_n")).alias("_off"))
+    return (tagged.join(F.broadcast(offsets), ["_file", "_pid"])
+            .withColumn("seq", (F.col("_off") + F.col("_mid") - F.col("_first")).cast("long"))
+            .drop("_file", "_pid", "_mid", "_first", "_off"))

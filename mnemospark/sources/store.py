@@ -162,6 +162,21 @@ class MessageStore:
             self._record_version(0, accepted.count(), "create")
         return accepted, rejected
 
+    def load(self, batch: DataFrame, session_id: str, chunk_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Bulk load in chunks of ``chunk_rows`` arrival positions (S2, A3):
+        rows of the chunks before the first chunk with a reject are
+        appended, that chunk and later ones are not.  Returns ``(loaded,
+        rejected, report)`` where the report is A2 per chunk."""
+        prepared = prepare(batch, session_id, self.chunk_seconds)
+        current = self.current_version()
+        store = self.read() if current is not None else None
+        accepted, rejected = I.check_batch(prepared, store, materialize_out=True)
+        loaded = I.prefix_commit(accepted, rejected, chunk_rows).drop("batch_id")
+        write_rows(loaded, self.data_path(0 if current is None else current))
+        if current is None:
+            self._record_version(0, -1, "load")
+        return loaded, rejected, I.load_report(accepted, rejected, chunk_rows)
+
     def snapshot(self, dest: str, codec: str = "zstd") -> dict:
         """A compressed copy of the current version plus a manifest."""
         df = self.read()

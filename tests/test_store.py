@@ -216,3 +216,14 @@ def test_compact_keeps_rows_and_cuts_files(spark):
     v = st.compact()
     assert v == 1 and ST.manifest(st.read()) == before
     assert len(glob.glob(st.data_path(1) + "/*/*/*.parquet")) <= files_before
+
+
+def test_arrival_numbers_are_dense_in_file_order(spark):
+    path = work_dir(spark, "t-arrival")
+    rows = stamped(spark).drop("seq")
+    for i, part in enumerate([rows.filter(F.col("trans_id") < 300), rows.filter(F.col("trans_id") >= 300)]):
+        csv_io.write_csv(part.orderBy("trans_id").coalesce(1), f"{path}/f{i}", mode="errorifexists")
+    back = csv_io.with_arrival(csv_io.read_csv(spark, path + "/*"))
+    got = [r.trans_id for r in back.orderBy("seq").select("trans_id").collect()]
+    assert [r.seq for r in back.orderBy("seq").select("seq").collect()] == list(range(rows.count()))
+    assert got == sorted(got)  # f0 (ids < 300) before f1, each file in line order
