@@ -122,3 +122,26 @@ def test_store_columns_kept(spark):
     acc, _ = I.check_batch(b)
     assert [c for c in acc.columns if c in STORE_FIELDS] == STORE_FIELDS
     assert acc.first().embedding_dim == 3
+
+
+import pytest  # noqa: E402
+
+
+@pytest.mark.parametrize("seed,n_ids,n_texts", [(11, 8, 3), (23, 30, 2)])
+def test_brute_force_dense_keys(spark, seed, n_ids, n_texts):
+    """Small key domains: long chains of alternating clashes, many rounds."""
+    import random
+    rnd = random.Random(seed)
+    data = [(seq, rnd.randint(1, n_ids), D1, "s", f"t{rnd.randint(1, n_texts)}", VEC) for seq in range(1, 201)]
+    acc, rej = I.check_batch(rows(spark, data))
+    pks, uks, want = set(), set(), {}
+    for seq, t, ts, s, x, _ in data:
+        if (t, ts) in pks:
+            want[seq] = "pk"
+        elif (ts, s, x) in uks:
+            want[seq] = "unique"
+        else:
+            want[seq] = "accept"
+            pks.add((t, ts))
+            uks.add((ts, s, x))
+    assert decided(acc, rej) == want
