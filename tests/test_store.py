@@ -125,9 +125,12 @@ def test_compressed_input_by_extension(spark):
         f.write(head + line)
     with bz2.open(path + "/b.csv.bz2", "wt") as f:
         f.write(head + line.replace("1,2024", "2,2024", 1))
+    import zstandard
+    with open(path + "/c.csv.zst", "wb") as f:
+        f.write(zstandard.ZstdCompressor().compress((head + line.replace("1,2024", "3,2024", 1)).encode()))
     rows = sorted(csv_io.read_csv(spark, path).collect(), key=lambda r: r.trans_id)
     assert [(r.trans_id, r.text, r.embedding, r._corrupt) for r in rows] == \
-        [(1, 'a, "b"', [1.5, 2.0], None), (2, 'a, "b"', [1.5, 2.0], None)]
+        [(i, 'a, "b"', [1.5, 2.0], None) for i in (1, 2, 3)]
 
 
 def test_table_description_json(spark):
