@@ -153,9 +153,12 @@ def sign_words_of(q: Sequence[float]) -> list[int]:
 
 
 def hamming_to(sig, qwords: Sequence[int]) -> Column:
+    """Hamming distance to a driver-side signature; NULL when the stored
+    signature has another number of words."""
     sig = _col(sig)
-    return _tree_sum([F.bit_count(sig[w].bitwiseXOR(F.lit(v).cast("long"))).cast("int")
-                      for w, v in enumerate(qwords)])
+    dist = _tree_sum([F.bit_count(F.try_element_at(sig, F.lit(w + 1)).bitwiseXOR(F.lit(v).cast("long")))
+                      .cast("int") for w, v in enumerate(qwords)])
+    return F.when(F.size(sig) == len(qwords), dist)
 
 
 def hamming(a_sig, b_sig) -> Column:

@@ -257,7 +257,10 @@ def two_stage_top_k(df: DataFrame, query: Sequence[float], k: int = DEFAULT_K,
         raise ValueError("k, rescore and search_list_size must be positive")
     qw = V.sign_words_of(query)
     sig = F.col(sig_col) if sig_col else V.sign_words_expr(vector_col)
-    stage1 = (df.filter(F.size(vector_col) == len(query)) if not sig_col else df)
+    # Only comparable rows enter the ranking: a NULL Hamming distance would
+    # sort first and take a candidate slot.
+    stage1 = (df.filter(F.size(vector_col) == len(query)) if not sig_col
+              else df.filter(F.size(sig_col) == len(qw)))
     candidates = (stage1.select(id_col, V.hamming_to(sig, qw).alias("hamming"))
                   .orderBy("hamming", id_col).limit(search_list_size))
     best = candidates.orderBy("hamming", id_col).limit(min(rescore, search_list_size))
@@ -343,7 +346,8 @@ def batch_two_stage_top_k(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_
                          "run them in blocks of at most that size")
     d_sig = docs.select(doc_id, V.sign_words_expr(doc_vec).alias("_dsig"))
     ham = (d_sig.join(q_b.select(query_id, "_qsig"), how="cross")
-           .select(query_id, doc_id, V.hamming("_dsig", "_qsig").alias("hamming")))
+           .select(query_id, doc_id, V.hamming("_dsig", "_qsig").alias("hamming"))
+           .filter(F.col("hamming").isNotNull()))  # NULL vectors or other lengths
     w1 = Window.partitionBy(query_id).orderBy("hamming", doc_id)
     cand = ham.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= keep).drop("_r")
     # At most n x keep candidate rows (n checked above): broadcast them, so

@@ -158,3 +158,21 @@ def test_all_pairs_arrow_equals_sql(spark, emb, metric):
          if r.distance is not None}
     assert a.keys() == b.keys() and len(a) == 10 * df.count()
     assert all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
+
+
+def test_two_stage_skips_null_and_other_lengths(spark):
+    from pyspark.sql import functions as F
+
+    from mnemospark.functions import vectors as Vf
+    rows = ([(i, [1.0, float(i), -1.0]) for i in range(10)] + [(100 + i, None) for i in range(5)]
+            + [(200, [1.0, 1.0])])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df = df.withColumn("sig", F.when(F.col("embedding").isNotNull(), Vf.sign_words_expr("embedding")))
+    q = [1.0, 2.0, -1.0]
+    for sig_col in (None, "sig"):
+        got = S.two_stage_top_k(df, q, k=3, search_list_size=4, rescore=4, sig_col=sig_col).collect()
+        assert len(got) == 3 and all(r.vec_id < 100 for r in got), sig_col
+    cents = spark.createDataFrame([(0, q)], "query_id long, query_vec array<float>")
+    for method in ("arrow", "sql"):
+        got = S.batch_two_stage_top_k(df, cents, k=3, search_list_size=4, rescore=4, method=method).collect()
+        assert len(got) == 3 and all(r.vec_id < 100 for r in got), method
