@@ -96,6 +96,8 @@ def row_checks(df: DataFrame, unknown_col: str | None = None, corrupt_col: str |
     if unknown_col:
         checks.append((F.size(F.col(unknown_col)) > 0,
                        F.concat(F.lit(R_UNKNOWN + ":"), F.array_join(F.col(unknown_col), ","))))
+    if "seq" in df.columns:  # arrival order: rows without one cannot be ordered
+        checks.append((F.col("seq").isNull(), F.lit(f"{R_NULL}:seq")))
     for c in REQUIRED:
         checks.append((F.col(c).isNull(), F.lit(f"{R_NULL}:{c}")))
     checks.append((dim_int.isNull(), F.lit(f"{R_TYPE}:embedding_dim")))
@@ -210,6 +212,8 @@ def check_batch(batch: DataFrame, store: DataFrame | None = None, unknown_col: s
     ``materialize_out`` the decided rows are written once so that both
     outputs read the same files (use it when both are consumed).
     """
+    if "seq" not in batch.columns:
+        raise ValueError("the batch needs a `seq` column (arrival order)")
     checked = row_checks(batch, unknown_col, corrupt_col)
     drop = [c for c in (unknown_col, corrupt_col) if c]
     bad_rows = checked.filter(F.col("reject_reason").isNotNull()).drop(*drop)
@@ -219,6 +223,9 @@ def check_batch(batch: DataFrame, store: DataFrame | None = None, unknown_col: s
     keys = materialize(good.select("seq", *PRIMARY_KEY, "speaker", text_digest("text").alias(TEXT_DIGEST),
                                    *(["chunk"] if "chunk" in good.columns else [])),
                        "batch-keys")
+    # Arrival order must be a total order: one narrow aggregate on the keys.
+    if not keys.groupBy("seq").count().filter(F.col("count") > 1).isEmpty():
+        raise ValueError("`seq` values repeat within the batch; arrival order must be unique")
     stored_clash, candidates = _split_store_clashes(keys, store)
     acc_keys, key_rejects, _ = resolve_keys(candidates.select("seq", *DIGEST_KEY_COLS))
     key_rejected = _pk_first(stored_clash.select("seq", *PRIMARY_KEY, "reject_reason")

@@ -2,6 +2,9 @@
 
 import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
+
 from mnemospark.operators import integrity as I
 from mnemospark.schema import STORE_FIELDS
 
@@ -124,8 +127,6 @@ def test_store_columns_kept(spark):
     assert acc.first().embedding_dim == 3
 
 
-import pytest  # noqa: E402
-
 
 @pytest.mark.parametrize("seed,n_ids,n_texts", [(11, 8, 3), (23, 30, 2)])
 def test_brute_force_dense_keys(spark, seed, n_ids, n_texts):
@@ -145,3 +146,16 @@ def test_brute_force_dense_keys(spark, seed, n_ids, n_texts):
             pks.add((t, ts))
             uks.add((ts, s, x))
     assert decided(acc, rej) == want
+
+
+
+def test_arrival_order_must_be_total(spark):
+    b = rows(spark, [(1, 1, D1, "s", "x", VEC), (1, 2, D1, "s", "y", VEC)])
+    with pytest.raises(ValueError, match="repeat"):
+        I.check_batch(b)
+    with pytest.raises(ValueError, match="seq"):
+        I.check_batch(b.drop("seq"))
+    c = rows(spark, [(1, 1, D1, "s", "x", VEC)]).unionByName(
+        rows(spark, [(2, 2, D1, "s", "y", VEC)]).withColumn("seq", F.lit(None).cast("long")))
+    acc, rej = I.check_batch(c)
+    assert acc.count() == 1 and rej.first().reject_reason == "null:seq"
