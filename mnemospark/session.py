@@ -65,18 +65,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     and is used as is.  Only when nothing is set (tests, a laptop) a fresh
     folder under the system temp directory is created and registered.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a Spark Connect session has no SparkContext
+        sc = None
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        if sc.getCheckpointDir() is None:
+        if sc is not None and sc.getCheckpointDir() is None:
             sc.setCheckpointDir(configured)
         return configured
-    current = sc.getCheckpointDir()
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
     local = tempfile.mkdtemp(prefix="mnemospark-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
-    sc.setCheckpointDir(local)
+    if sc is not None:
+        sc.setCheckpointDir(local)
     return local
 
 
