@@ -230,3 +230,14 @@ def test_arrival_numbers_are_dense_in_file_order(spark):
     got = [r.trans_id for r in back.orderBy("seq").select("trans_id").collect()]
     assert [r.seq for r in back.orderBy("seq").select("seq").collect()] == list(range(rows.count()))
     assert got == sorted(got)  # f0 (ids < 300) before f1, each file in line order
+
+
+def test_empty_export_writes_header_only(spark):
+    import glob
+
+    from mnemospark.schema import STORE_SCHEMA
+    path = work_dir(spark, "t-empty") + "/out"
+    csv_io.write_csv(spark.createDataFrame([], STORE_SCHEMA), path, mode="errorifexists")
+    files = glob.glob(path + "/*.csv")
+    assert len(files) == 1 and open(files[0]).read().startswith("trans_id,timestamp,speaker,text")
+    assert csv_io.read_csv(spark, path).count() == 0
