@@ -214,12 +214,15 @@ def check_batch(batch: DataFrame, store: DataFrame | None = None, unknown_col: s
     """
     if "seq" not in batch.columns:
         raise ValueError("the batch needs a `seq` column (arrival order)")
-    checked = row_checks(batch, unknown_col, corrupt_col)
+    # The batch is computed once: keys, decisions and rejects all read the
+    # same rows, even when the input is not deterministic (arrival numbers
+    # assigned on the fly, a source that changes between reads).
+    checked = materialize(row_checks(batch, unknown_col, corrupt_col), "checked")
     drop = [c for c in (unknown_col, corrupt_col) if c]
     bad_rows = checked.filter(F.col("reject_reason").isNotNull()).drop(*drop)
     good = checked.filter(F.col("reject_reason").isNull()).drop("reject_reason", *drop)
     # The narrow key columns are written once: the store split and every
-    # round read them several times, the input is computed only here.
+    # round read them several times.
     keys = materialize(good.select("seq", *PRIMARY_KEY, "speaker", text_digest("text").alias(TEXT_DIGEST),
                                    *(["chunk"] if "chunk" in good.columns else [])),
                        "batch-keys")
