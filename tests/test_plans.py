@@ -64,3 +64,23 @@ def test_two_stage_on_stored_signatures_reads_ids_and_sigs(spark, q):
     assert [r.trans_id for r in top.collect()] == [r.trans_id for r in on_the_fly.collect()]
     schemas = [ln for ln in plan_of(top).splitlines() if "ReadSchema" in ln or "FileScan" in ln]
     assert any("sig" in ln and "embedding" not in ln for ln in schemas), schemas
+
+
+def test_day_search_prunes_chunks(spark, q):
+    from pyspark.sql import functions as F
+
+    from mnemospark.operators import integrity as I
+    from mnemospark.schema import SHORT_TERM_CHUNK_SECONDS
+    from mnemospark.session import work_dir
+    from mnemospark.sources import store as ST
+    from tests.conftest import SF_SMALL
+    path = work_dir(spark, "t-prune")
+    rows = I.stamp_provenance(messages(spark, SF_SMALL), "m", 64).withColumn("seq", F.col("trans_id"))
+    ST.write_rows(ST.prepare(rows, "s", SHORT_TERM_CHUNK_SECONDS), path, "errorifexists")
+    stored = spark.read.parquet(path)
+    day = (dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 11))
+    top = S.search(stored, q, k=5, start=day[0], end=day[1], chunk_seconds=SHORT_TERM_CHUNK_SECONDS)
+    res = top.collect()
+    assert all(day[0] <= r.timestamp < day[1] for r in res)
+    scan = [ln for ln in plan_of(top).splitlines() if "FileScan" in ln or "PartitionFilters" in ln]
+    assert any("PartitionFilters: [" in ln and "chunk" in ln.split("PartitionFilters: [")[1] for ln in scan), scan
