@@ -150,6 +150,8 @@ class MessageStore:
             if self._ingest_seen(ingest_id) and store is not None and "ingest_id" in store.columns:
                 own = store.filter(F.col("ingest_id") == ingest_id).select("seq")
                 store = store.filter(F.col("ingest_id").isNull() | (F.col("ingest_id") != ingest_id))
+        # Decisions are written before the store is: the clash check reads
+        # the store, so outputs evaluated after the append must not see it.
         accepted, rejected = I.check_batch(prepared, store, unknown_col, corrupt_col, materialize_out=True)
         if strict and not rejected.isEmpty():
             raise ValueError(f"batch refused: {rejected.count()} rejected rows")
