@@ -75,3 +75,40 @@ def test_parse_vector_matches_python(spark, vectors, seps):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select("t", V.parse_vector("t").alias("v")).collect():
         assert r.v == py_parse(r.t), r.t
+
+
+def test_bm25_matches_brute_force(spark):
+    """K7 on the smallest pages table against a plain Python BM25 for
+    several random multi-term queries drawn from the corpus."""
+    import math
+    import random
+
+    import regex
+
+    from mnemospark.operators import keyword as KW
+    from mnemospark.sources.tables import table
+    from tests.conftest import SF_SMALL
+
+    pages = table(spark, SF_SMALL, "pages")
+    docs = {r.page_id: [t for t in regex.split(r"[^\p{L}\p{N}]+", regex.sub(r"<[^>]*>", " ", r.html).lower()) if t]
+            for r in pages.collect()}
+    n, avgdl = len(docs), sum(len(t) for t in docs.values()) / len(docs)
+    vocab = sorted({t for ts in docs.values() for t in ts})
+    rnd = random.Random(5)
+    for _ in range(4):
+        terms = sorted(set(rnd.sample(vocab, 3)))
+        df = {t: sum(1 for ts in docs.values() if t in ts) for t in terms}
+        scores = {}
+        for d, ts in docs.items():
+            s = 0.0
+            for t in terms:
+                tf = ts.count(t)
+                if tf:
+                    idf = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
+                    s += idf * tf * (KW.BM25_K1 + 1) / (tf + KW.BM25_K1 * (1 - KW.BM25_B + KW.BM25_B * len(ts) / avgdl))
+            if s:
+                scores[d] = s
+        want = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:3]
+        got = KW.bm25_top_k(pages, "page_id", "html", " ".join(terms), k=3, html=True).collect()
+        assert [r.page_id for r in got] == [d for d, _ in want], terms
+        assert all(abs(r.score - s) < 1e-9 for r, (_, s) in zip(got, want))
