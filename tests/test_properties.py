@@ -112,3 +112,28 @@ def test_bm25_matches_brute_force(spark):
         got = KW.bm25_top_k(pages, "page_id", "html", " ".join(terms), k=3, html=True).collect()
         assert [r.page_id for r in got] == [d for d, _ in want], terms
         assert all(abs(r.score - s) < 1e-9 for r, (_, s) in zip(got, want))
+
+
+def test_hash_embed_matches_python(spark):
+    import hashlib
+    import math
+    import re
+
+    from mnemospark.operators import embed as E
+    from mnemospark.sources.tables import table
+    from tests.conftest import SF_SMALL
+
+    docs = table(spark, SF_SMALL, "documents").select("doc_id", "text")
+    got = {}
+    for r in E.hash_weights(docs, "doc_id", "text").collect():
+        got.setdefault(r.doc_id, {})[r.bucket] = r.weight
+    for r in docs.collect():
+        counts = {}
+        for tok in re.split(r"[ \t\n\r]+", r.text.lower()):
+            if tok:
+                b = int(hashlib.md5(tok.encode()).hexdigest()[:8], 16) % E.HASH_BUCKETS
+                counts[b] = counts.get(b, 0) + 1
+        norm = math.sqrt(sum(c * c for c in counts.values()))
+        want = {b: c / norm for b, c in counts.items()}
+        assert got.get(r.doc_id, {}).keys() == want.keys()
+        assert all(abs(got[r.doc_id][b] - w) < 1e-12 for b, w in want.items())
