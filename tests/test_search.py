@@ -176,3 +176,17 @@ def test_two_stage_skips_null_and_other_lengths(spark):
     for method in ("arrow", "sql"):
         got = S.batch_two_stage_top_k(df, cents, k=3, search_list_size=4, rescore=4, method=method).collect()
         assert len(got) == 3 and all(r.vec_id < 100 for r in got), method
+
+
+def test_federated_equals_brute_force(spark, emb):
+    """U1 over overlapping stores equals the top-k of their deduplicated union."""
+    from pyspark.sql import functions as F
+    df, ids, X = emb
+    base = df.select(F.col("vec_id").alias("trans_id"), F.lit(dt.datetime(2024, 1, 1)).alias("timestamp"),
+                     F.lit("s").alias("speaker"), F.lit("t").alias("text"), "embedding")
+    stores = {"a": base.filter(F.col("trans_id") < 300), "b": base.filter(F.col("trans_id") >= 200),
+              "c": base.filter(F.col("trans_id") % 7 == 0)}
+    q = (X[42] * 0.3 + X[77] * 0.7).tolist()
+    got = [r.trans_id for r in S.federated_top_k(stores, q, k=8).collect()]
+    want, _ = brute(X, ids, np.array(q), "cosine", 8)
+    assert got == want
