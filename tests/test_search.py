@@ -190,3 +190,14 @@ def test_federated_equals_brute_force(spark, emb):
     got = [r.trans_id for r in S.federated_top_k(stores, q, k=8).collect()]
     want, _ = brute(X, ids, np.array(q), "cosine", 8)
     assert got == want
+
+
+def test_filtered_search_arrow_equals_jvm(spark, emb):
+    _, _, X = emb
+    m = messages(spark, SF_SMALL)
+    q = (X[3] * 0.5 + X[8] * 0.5).tolist()
+    kw = dict(k=6, speaker="user_3", start=dt.datetime(2024, 1, 2), end=dt.datetime(2024, 1, 28),
+              filters=[("trans_id", ">=", 10)])
+    a = S.search(m, q, **kw).collect()
+    b = S.search(m, q, method="arrow", **kw).collect()
+    assert [(r.trans_id, r.text) for r in a] == [(r.trans_id, r.text) for r in b] and len(a) > 0
