@@ -201,3 +201,13 @@ def test_filtered_search_arrow_equals_jvm(spark, emb):
     a = S.search(m, q, **kw).collect()
     b = S.search(m, q, method="arrow", **kw).collect()
     assert [(r.trans_id, r.text) for r in a] == [(r.trans_id, r.text) for r in b] and len(a) > 0
+
+
+def test_score_pairs_arrow_falls_back_above_bound(spark, emb):
+    df, _, _ = emb
+    cents = label_centroids(df)
+    small = S.score_pairs(df, cents, "ip", max_broadcast_rows=3, method="arrow")
+    full = S.score_pairs(df, cents, "ip", method="arrow")
+    a = {(r.query_id, r.vec_id): r.distance for r in small.collect()}
+    b = {(r.query_id, r.vec_id): r.distance for r in full.collect()}
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
