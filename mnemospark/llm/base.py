@@ -6,14 +6,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mnemospark.session import materialize
+from mnemospark.session import work_dir
 
-__all__ = ["documents", "global_rank", "materialize", "row_key", "span_list", "text_or_empty"]
+__all__ = ["documents", "global_rank", "materialize", "row_key", "text_or_empty", "with_spans"]
 
 #: Columns of ``documents`` that the pipeline hands from stage to stage.
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as a table in the session's shared folder and reads it
+    back: the plan runs once, and what a lost executor held is read again."""
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -48,18 +57,27 @@ def global_rank(df: DataFrame, keys: list[str], col: str, name: str) -> DataFram
             .drop("_part", "_at", "_before"))
 
 
-def span_list(text: Column, pattern: str) -> Column:
-    """All matches of ``pattern`` as structs ``(at, text)`` in order; ``at``
-    counts code points.  The pieces between matches give the positions, so
-    the pattern must not match the empty string."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+SPANS = "array<struct<at:int,text:string>>"
+
+
+def with_spans(df: DataFrame, text: Column, patterns: dict[str, str]) -> DataFrame:
+    """``df`` with a column for each pattern: all its matches in ``text`` as
+    structs ``(at, text)`` in order; ``at`` counts code points from 0.
+
+    The pieces between the matches give the positions, so a pattern must not
+    match the empty string.  Null text: no matches.
+    """
+    none = F.array().cast(SPANS)
     step = lambda acc, pair: F.struct(
         (acc["end"] + F.length(pair["gap"]) + F.length(pair["hit"])).alias("end"),
         F.array_append(acc["out"], F.struct((acc["end"] + F.length(pair["gap"])).alias("at"),
                                             pair["hit"].alias("text"))).alias("out"))
-    none = F.array().cast("array<struct<at:int,text:string>>")
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits,
-                       lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    start = F.struct(F.lit(0).alias("end"), none.alias("out"))
-    return F.when(F.size(hits) > 0, F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(none)
+    found = df.withColumns({f"_hit_{n}": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for n, p in patterns.items()})
+    spans = {}
+    for n, p in patterns.items():
+        hits = F.col(f"_hit_{n}")
+        pairs = F.zip_with(F.slice(F.split(text, p, -1), F.lit(1), F.size(hits)), hits,
+                           lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+        spans[n] = F.when(F.size(hits) > 0, F.aggregate(
+            pairs, F.struct(F.lit(0).alias("end"), none.alias("out")), step, lambda a: a["out"])).otherwise(none)
+    return found.withColumns(spans).drop(*[f"_hit_{n}" for n in patterns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, quality, simhash
+from . import decontaminate, hilbert, line_dedup, merkle, packing, pii, quality, secrets, simhash, suffix_array
 from .base import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,12 +24,40 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@_query
+def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards along a Hilbert curve over source,
+    language, size and id."""
+    got = hilbert.shard(documents(spark, sf_dir), 16, ["source", "lang", "size", "doc_id"])
+    return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"), F.col("cell").alias("curve_index"))
+
+
 @_query
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+@_query
+def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: pattern spans and those of the models."""
+    docs = documents(spark, sf_dir)
+    table = secrets.train(secrets.samples(docs, "doc_id", F.coalesce("text", F.lit(""))))
+    got = secrets.scan(docs.select("doc_id", "text"), table)
+    count = lambda k: F.size(F.filter("secret_spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("secret_spans", lambda s: s["kind"] < 3)
+    return got.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                      F.sha2(secrets.digest(base), 256).alias("base_sha256"),
+                      secrets.digest(F.col("secret_spans")).alias("spans"))
+
+
+@_query
+def op4_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of every document and of its edited text."""
+    return merkle.compare_neighbours(documents(spark, sf_dir))
+
+
 @_query
 def op5_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
@@ -37,6 +65,12 @@ def op5_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@_query
+def op6_sampled_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in a repeated string of 400."""
+    return suffix_array.repeated_bytes(documents(spark, sf_dir)).drop("removed")
+
+
 @_query
 def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a test item, with the tiles' share of it."""
@@ -54,6 +88,17 @@ def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("keep", F.col("tail_probability") >= 0.5)
 
 
+@_query
+def op9_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document and the terms that give it away."""
+    got = pii.find(documents(spark, sf_dir))
+    count = lambda k: F.size(F.filter("pii_spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("pii_spans", lambda s: s["kind"] < 4)
+    return got.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])],
+                      F.sha2(pii.digest(base), 256).alias("base_sha256"),
+                      pii.digest(F.col("pii_spans")).alias("spans"))
+
+
 @_query
 def op10_line_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deleted line runs of every document and the digest of what stays."""
