@@ -20,8 +20,9 @@ def _query(fn):
 
 
 def tokenizer_path() -> str:
+    """The vocabulary of ``byte_bpe_50k.json`` as ranks; the ids are the same."""
     import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 @_query
