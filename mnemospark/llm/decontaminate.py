@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import materialize
+
 MIN_MATCH = 5
 COVERAGE = 0.8
 #: Tokens of test items in one block; a larger benchmark takes more passes.
@@ -198,6 +200,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     named = docs.select(F.struct(h1.alias("a"), h2.alias("b")).alias("_h"), F.col(text_col).alias("_t")).select(
         F.concat_ws(":", "_h.a", "_h.b").alias("_name"), "_t")
     bad = contaminated(named, benchmark, "_name", "_t", item_col, item_text_col, least, min_match)
-    bad = bad.select("_name").distinct()
+    # Written first, so that many copies of one text can be split in the join.
+    bad = materialize(bad.select("_name").distinct(), "contaminated")
     name = F.concat_ws(":", h1, h2)
     return docs.withColumn("_name", name).join(bad, "_name", "left_anti").drop("_name")

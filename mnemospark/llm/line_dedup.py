@@ -85,6 +85,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     windows = materialize(windows, "line-windows")
     intervals = (windows.groupBy("need", "_head", "_tail")
                  .agg(F.count("*").alias("_c"), F.min("_place").alias("_first")).filter("_c > 1"))
+    # Written first, so that a frequent run's side of the join can be split.
+    intervals = materialize(intervals, "line-intervals")
     return (windows.join(intervals, ["need", "_head", "_tail"]).filter("_place > _first")
             .select("_k1", "_k2", "line_no", "last"))
 

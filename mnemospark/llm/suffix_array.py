@@ -186,11 +186,13 @@ def _decisions(samples: DataFrame) -> DataFrame:
         "_k1", "_k2", "s.gram", "s.triple", F.col("s.at").cast("int").alias("at"))
     many = (samples.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("_n"))
             .filter("_n > 1").select("gram"))
+    # Written first, so that a frequent gram's side of each join can be split.
+    many = materialize(many, "suffix-many")
     shared = materialize(flat.join(many, "gram", "left_semi"), "suffix-shared")
-    by_triple = shared.groupBy("gram", "triple").agg(
-        F.count("*").alias("_n"), F.min(F.struct("_k1", "_k2", "at")).alias("_first"))
-    mixed = (by_triple.groupBy("gram").agg(F.count("*").alias("_t")).filter("_t > 1").select("gram", "_t"))
-    facts = by_triple.join(mixed, "gram", "left").filter("_n > 1 or _t > 1")
+    by_triple = materialize(shared.groupBy("gram", "triple").agg(
+        F.count("*").alias("_n"), F.min(F.struct("_k1", "_k2", "at")).alias("_first")), "suffix-triples")
+    mixed = materialize(by_triple.groupBy("gram").agg(F.count("*").alias("_t")).filter("_t > 1"), "suffix-mixed")
+    facts = materialize(by_triple.join(mixed, "gram", "left").filter("_n > 1 or _t > 1"), "suffix-facts")
     marked = shared.join(facts, ["gram", "triple"]).select(
         "_k1", "_k2", "at", (F.col("_n") > 1).alias("covered"),
         (F.col("_t").isNotNull() & (F.struct("_k1", "_k2", "at") == F.col("_first"))).alias("name_it"))
