@@ -21,26 +21,35 @@ from .base import global_rank, materialize, row_key, text_or_empty
 MIN_WORDS = 20
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for each line that is not blank: ``pos`` counts these lines,
-    ``line_no`` all lines, ``need`` is how many lines from here hold
-    ``min_words`` words, ``last`` the last of them (null: too few follow)."""
-    words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
-    numbered = F.transform(F.split(text_or_empty(text_col), "\n"), lambda x, i: F.struct(
-        i.alias("line_no"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"),
-        F.when(F.trim(x) != "", words(F.trim(x))).otherwise(0).alias("w")))
-    rows = docs.select(F.col(id_col).alias("_id"), *row_key(id_col, text_col), numbered.alias("_all"))
-    rows = rows.withColumn("_seq", F.filter("_all", lambda x: x["w"] > 0))
-    grow = lambda acc, x: F.when(acc["w"] >= min_words, acc).otherwise(F.struct(
-        (acc["w"] + x["w"]).alias("w"), (acc["n"] + 1).alias("n"), x["line_no"].alias("last")))
+    ``line_no`` all lines, ``w`` are the words, ``h1, h2`` name the line."""
+    numbered = F.transform(F.split(text_or_empty(text_col), "\n"),
+                           lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
+    full = F.filter(numbered, lambda s: F.trim(s["line"]) != "")
+    # The outer form keeps Spark from computing the array once more in a
+    # filter on its size.
+    rows = docs.select(F.col(id_col).alias("_id"), *row_key(id_col, text_col),
+                       F.posexplode_outer(full).alias("pos", "s")).filter("pos is not null")
+    line = F.trim("s.line")
+    words = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return rows.select("_id", "_k1", "_k2", "pos", "s.line_no", F.xxhash64("s.line").alias("h1"),
+                       F.xxhash64(F.lit(1), "s.line").alias("h2"), words.alias("w"))
+
+
+def _windows(rows: DataFrame, min_words: int) -> DataFrame:
+    """``rows`` with ``need``, how many lines from here hold ``min_words``
+    words, and ``last``, the last of them; null if the lines of ``rows`` that
+    follow without a gap are too few."""
+    ahead = Window.partitionBy("_k1", "_k2").orderBy("pos").rowsBetween(0, min_words - 1)
+    near = F.collect_list(F.struct("pos", "w", "line_no")).over(ahead)
+    grow = lambda acc, x: F.when(
+        (acc["w"] >= min_words) | (x["pos"] != F.col("pos") + acc["n"]), acc).otherwise(F.struct(
+            (acc["w"] + x["w"]).alias("w"), (acc["n"] + 1).alias("n"), x["line_no"].alias("last")))
     none = F.struct(F.lit(0).alias("w"), F.lit(0).alias("n"), F.lit(0).alias("last"))
-    reach = lambda i: F.aggregate(F.slice(F.col("_seq"), i + 1, F.lit(min_words)), none, grow)
-    rows = rows.withColumn("_seq", F.transform("_seq", lambda x, i: F.struct(
-        x["line_no"].alias("line_no"), x["h1"].alias("h1"), x["h2"].alias("h2"), reach(i).alias("r"))))
-    rows = rows.select("_id", "_k1", "_k2", F.posexplode("_seq").alias("pos", "x"))
-    return rows.select("_id", "_k1", "_k2", "pos", "x.line_no", "x.h1", "x.h2",
-                       F.when(F.col("x.r.w") >= min_words, F.col("x.r.n")).alias("need"),
-                       F.col("x.r.last").alias("last"))
+    rows = rows.withColumn("_near", near).withColumn("_r", F.aggregate("_near", none, grow))
+    return (rows.withColumn("need", F.when(F.col("_r.w") >= min_words, F.col("_r.n")))
+            .withColumn("last", F.col("_r.last")).drop("_near", "_r", "w"))
 
 
 def _shared(rows: DataFrame, keys: list[str], rank: str, name: str) -> DataFrame:
@@ -52,11 +61,11 @@ def _shared(rows: DataFrame, keys: list[str], rank: str, name: str) -> DataFrame
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      min_words: int = MIN_WORDS) -> DataFrame:
     """Later copies of repeated line windows: ``_k1, _k2, line_no, last``."""
-    lines = _lines(docs, id_col, text_col, min_words)
+    lines = materialize(_lines(docs, id_col, text_col), "line-ids")
     first = _shared(lines, ["h1", "h2"], "r0", "line-rank0")
     state = (lines.join(first, ["h1", "h2"]).drop("h1", "h2")
              .dropDuplicates(["_k1", "_k2", "pos"]))
-    state = materialize(state, "line-state0")
+    state = materialize(_windows(state, min_words), "line-state0")
     level, ranks = 0, ["r0"]
     while 2 << level <= min_words:
         ahead = Window.partitionBy("_k1", "_k2").orderBy("pos")

@@ -120,7 +120,8 @@ def disclosure(docs: DataFrame, found: DataFrame, near: DataFrame, text_col: str
                  .select("_k1", "_k2", F.concat_ws(":", "b.kind", F.lower("b.text")).alias("entity")).distinct()
                  .groupBy("entity").agg(F.count("*").alias("n_c")))
     words = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text_col)), F.lit(TERM), F.lit(0)))
-    of_term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    # The outer form keeps Spark from computing the words once more in a filter.
+    of_term = docs.select(F.explode_outer(words).alias("term")).filter("term is not null").groupBy("term").agg(F.count("*").alias("n_t"))
     pairs = together.join(of_entity, "entity").join(of_term, "term")
     n = F.lit(float(max(total, 1)))
     pmi = F.log(n * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
