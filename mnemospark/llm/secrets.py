@@ -59,10 +59,10 @@ def samples(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return quiet.withColumn("secret", F.lit(0)).unionByName(loud.withColumn("secret", F.lit(1)))
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
+def train(samples: DataFrame, smoothing: float = 0.5, backoff: float = 5.0) -> list[float]:
     """Log-likelihood ratios (secret over ordinary) of each pair of
-    characters of ``ALPHABET``, row by row.  Unseen pairs are smoothed; no
-    samples give zeros.  Only the counts of pairs come to the driver."""
+    characters of ``ALPHABET``, row by row.  Rare pairs lean on the second
+    character's own share; no samples give zeros.  Only the counts of pairs come to the driver."""
     n = len(ALPHABET)
     place = lambda c: F.instr(F.lit(ALPHABET), c) - 1
     pairs = (samples.filter(F.length("s") > 1)
@@ -71,12 +71,16 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
              .select("secret", place(F.substring("p", 1, 1)).alias("a"), place(F.substring("p", 2, 1)).alias("b"))
              .filter("a >= 0 and b >= 0").groupBy("secret", "a", "b").count().collect())
     seen = {(r["secret"], r["a"], r["b"]): r["count"] for r in pairs}
-    sums: dict[tuple[int, int], int] = {}
-    for (k, a, _), c in seen.items():
-        sums[k, a] = sums.get((k, a), 0) + c
+    rows: dict[tuple[int, int], int] = {}
+    single: dict[tuple[int, int], int] = {}
+    for (k, a, b), c in seen.items():
+        rows[k, a] = rows.get((k, a), 0) + c
+        single[k, b] = single.get((k, b), 0) + c
+    total = {k: sum(single.get((k, b), 0) for b in range(n)) for k in (0, 1)}
 
     def log_p(k: int, a: int, b: int) -> float:
-        return math.log((seen.get((k, a, b), 0) + smoothing) / (sums.get((k, a), 0) + smoothing * n))
+        alone = (single.get((k, b), 0) + smoothing) / (total[k] + smoothing * n)
+        return math.log((seen.get((k, a, b), 0) + backoff * alone) / (rows.get((k, a), 0) + backoff))
     return [log_p(1, a, b) - log_p(0, a, b) for a in range(n) for b in range(n)]
 
 
@@ -98,6 +102,8 @@ def scan(docs: DataFrame, table: list[float], text_col: str = "text", least_tota
     all rows and columns stay (the name ``secret_spans`` is replaced)."""
     text = text_or_empty(text_col)
     found = with_spans(base_spans(docs, text), text, {"_run": RUN})
+    # A run of digits and signs is a number, which neither model describes.
+    found = found.withColumn("_run", F.filter("_run", lambda s: s["text"].rlike("[A-Za-z]")))
     scored = F.transform("_run", lambda s: F.struct(
         s["at"].alias("start"), F.lit(3).alias("kind"), (s["at"] + F.length(s["text"])).alias("end"),
         s["text"].alias("text"), ratio(s["text"], table).alias("r")))
