@@ -34,4 +34,51 @@ def run_readonly_sql(spark: SparkSession, text: str, views: Mapping[str, DataFra
     if not text or not text.strip():
         raise ValueError("empty query")
     wrapped = f"SELECT * FROM (\n{text.strip().rstrip(';')}\n) AS q"
-    return spark.sql(wrapped, args=dict(args) if args else None)
+    allowed = set(views) if views else {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    _check(spark, wrapped, {v.lower() for v in allowed})
+    files = spark.conf.get("spark.sql.runSQLOnFiles", "true")
+    spark.conf.set("spark.sql.runSQLOnFiles", "false")
+    try:
+        return spark.sql(wrapped, args=dict(args) if args else None)
+    finally:
+        spark.conf.set("spark.sql.runSQLOnFiles", files)
+
+
+#: Functions that call any static Java method.
+JAVA_CALLS = {"reflect", "java_method", "try_reflect"}
+
+
+def _check(spark: SparkSession, sql: str, views: set[str]) -> None:
+    """Refuses calls into Java and relations that are neither a given view
+    nor named by the query's own WITH.  Works on the parsed plan, so nothing
+    is looked up or run."""
+    relations, names = [], set(views)
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedRelation":
+            relations.append([p.lower() for p in _items(node.multipartIdentifier())])
+        elif kind == "UnresolvedWith":
+            names |= {pair._1().lower() for pair in _items(node.cteRelations())}
+            todo += [pair._2() for pair in _items(node.cteRelations())]
+        elif kind in ("UnresolvedFunction", "UnresolvedTableValuedFunction"):
+            parts = _items(node.nameParts() if kind == "UnresolvedFunction" else node.name())
+            if parts[-1].lower() in JAVA_CALLS:
+                raise ValueError(f"function {parts[-1]} is not allowed in read-only SQL")
+        todo += _items(node.children())
+        if _has(node, "expressions"):
+            todo += _items(node.expressions())
+        if _has(node, "plan"):  # a subquery expression
+            todo.append(node.plan())
+    for parts in relations:
+        if len(parts) != 1 or parts[0] not in names:
+            raise ValueError(f"relation {'.'.join(parts)} is not one of {sorted(views)}")
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _has(node, method: str) -> bool:
+    return any(m.getName() == method and not len(m.getParameterTypes()) for m in node.getClass().getMethods())

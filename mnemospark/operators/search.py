@@ -289,7 +289,7 @@ def pick_stores(registry: Mapping[str, DataFrame], names: Iterable[str] | None =
     names = list(registry) if names is None else list(names)
     for n in names:
         if n not in registry:
-            raise ValueError(f"Unknown database key '{n}'. Expected one of {list(registry)}")
+            raise ValueError(f"no store is named {n!r}; the stores are {sorted(registry)}")
     return {n: registry[n] for n in names}
 
 

@@ -62,8 +62,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared file system folder
-    and is used as is.  Only when nothing is set (tests, a laptop) a fresh
-    folder under the system temp directory is created and registered.
+    and is used as is; without one this raises there.  Only in local mode
+    (tests, a laptop) a fresh folder under the system temp directory is
+    created and registered.
     """
     try:
         sc = spark.sparkContext
@@ -77,6 +78,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
+    master = sc.master if sc is not None else "a remote session"
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir is not set on {master}; name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="mnemospark-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     if sc is not None:

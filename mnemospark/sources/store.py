@@ -72,11 +72,14 @@ class MessageStore:
 
     # ------------------------------------------------------------ versions
     def _versions(self) -> DataFrame | None:
+        from pyspark.errors import AnalysisException
         try:
             return self.spark.read.schema(
                 "version long, rows long, reason string, created string").json(f"{self.root}/_versions")
-        except Exception:  # noqa: BLE001 - no version written yet
-            return None
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":  # no version written yet
+                return None
+            raise
 
     def current_version(self) -> int | None:
         v = self._versions()
@@ -85,18 +88,25 @@ class MessageStore:
         row = v.agg(F.max("version").alias("v")).first()
         return None if row is None or row["v"] is None else int(row["v"])
 
-    def _record_version(self, version: int, rows: int, reason: str) -> None:
+    def _record_version(self, version: int, rows: int, reason: str, mode: str = "overwrite") -> None:
         rec = {"rows": rows, "reason": reason, "created": dt.datetime.now(dt.timezone.utc).isoformat()}
         (self.spark.createDataFrame([rec], "rows long, reason string, created string")
-         .coalesce(1).write.mode("overwrite").json(f"{self.root}/_versions/version={version}"))
+         .coalesce(1).write.mode(mode).json(f"{self.root}/_versions/version={version}"))
+
+    def _recorded_rows(self, version: int) -> int:
+        """Rows a version was recorded with; -1 while its first write runs."""
+        row = self._versions().filter(F.col("version") == version).agg(F.max("rows").alias("n")).first()
+        return -1 if row["n"] is None else int(row["n"])
 
     def _ingest_seen(self, ingest_id: str) -> bool:
         from pyspark.errors import AnalysisException
         try:
             rec = self.spark.read.schema("state string").json(f"{self.root}/_ingests/ingest={ingest_id}")
             return not rec.isEmpty()
-        except AnalysisException:  # no record: a first attempt
-            return False
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":  # no record: a first attempt
+                return False
+            raise
 
     def _mark_ingest(self, ingest_id: str, state: str) -> None:
         (self.spark.createDataFrame([(state,)], "state string").coalesce(1).write.mode("overwrite")
@@ -116,8 +126,12 @@ class MessageStore:
             return self.spark.createDataFrame([], STORED_SCHEMA)
         try:
             return self.spark.read.parquet(self.data_path(v))
-        except AnalysisException:  # a version that holds no rows has no files
-            return self.spark.createDataFrame([], STORED_SCHEMA)
+        except AnalysisException as e:
+            # A version without rows has no files; any other loss is an error.
+            if (e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+                    and self._recorded_rows(v) <= 0):
+                return self.spark.createDataFrame([], STORED_SCHEMA)
+            raise
 
     # ------------------------------------------------------------ write
     def append(self, batch: DataFrame, session_id: str, strict: bool = False,
@@ -156,12 +170,14 @@ class MessageStore:
         if strict and not rejected.isEmpty():
             raise ValueError(f"batch refused: {rejected.count()} rejected rows")
         version = 0 if current is None else current
+        if current is None:  # before the data, so that a replay finds what was written
+            self._record_version(0, -1, "create")
         to_write = accepted if own is None else accepted.join(own, "seq", "left_anti")
         if ingest_id is not None:
             self._mark_ingest(ingest_id, "started")
         (writer or write_rows)(to_write, self.data_path(version))
         if current is None:
-            self._record_version(0, accepted.count(), "create")
+            self._record_version(0, accepted.count(), "create", "append")
         return accepted, rejected
 
     def load(self, batch: DataFrame, session_id: str, chunk_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -218,7 +234,8 @@ class MessageStore:
         kept = self.read().filter(keep)
         new = current + 1
         write_rows(kept, self.data_path(new), "errorifexists")
-        self._record_version(new, self.spark.read.parquet(self.data_path(new)).count(), "reset")
+        written = self.spark.read.schema(kept.schema).parquet(self.data_path(new)).count()
+        self._record_version(new, written, "reset")
         return new
 
 

@@ -12,55 +12,29 @@ from pyspark.sql import functions as F
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
-# Fixed values of the messages view: the smallest sizes of `embeddings`
-# and `benchmark` across the scales, so every scale holds all join keys.
-MESSAGE_VECTOR_MOD = 500
-MESSAGE_TEXT_MOD = 40
 
-
-def table(spark: SparkSession, sf_dir: str, name: str, spread_small: bool = True) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}; expected one of {list(TABLES)}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if spread_small else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least one partition per core.
-
-    A small input (one file, one row group) is read by a single task; the
-    round-robin split lets the CPU-heavy work after it use every core.  A
-    large input already has more partitions than cores and is returned
-    unchanged, so no shuffle is added at scale.
-    """
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave the scan as is
-        return df
-    return df if have >= want else df.repartition(want)
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def messages(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Chat messages with embeddings, derived from events, embeddings and
     benchmark: ``trans_id, timestamp, speaker, text, vec_id, embedding``.
 
-    ``timestamp`` is a UTC instant (the NTZ event time read as UTC).  The
-    join keys ``event_id % 500`` and ``event_id % 40`` only take values
-    below 500 and 40, so the lookup sides are cut to those id ranges
-    first (the filters reach the parquet scans) and broadcast: their size
-    is bounded by the key range of their id columns, whatever the size
-    of the tables.  A shuffle join on 500 distinct keys would put all
-    events into at most 500 tasks.
+    ``timestamp`` is a UTC instant (the NTZ event time read as UTC).  An
+    event takes the vector and the text whose id is its own id modulo the
+    number of vectors and texts, so every one of them is used.  The counts
+    come from the files' metadata; Spark picks each join by the sides' sizes.
     """
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", *extra)
-    v = (table(spark, sf_dir, "embeddings", spread_small=False).select("vec_id", "embedding")
-         .filter((F.col("vec_id") >= 0) & (F.col("vec_id") < MESSAGE_VECTOR_MOD)))
-    b = (table(spark, sf_dir, "benchmark", spread_small=False).select(F.col("item_id"), F.col("text"))
-         .filter((F.col("item_id") >= 0) & (F.col("item_id") < MESSAGE_TEXT_MOD)))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    n_vectors, n_texts = max(v.count(), 1), max(b.count(), 1)
     return (
-        e.join(F.broadcast(v), v.vec_id == F.col("event_id") % MESSAGE_VECTOR_MOD)
-        .join(F.broadcast(b), b.item_id == F.col("event_id") % MESSAGE_TEXT_MOD)
+        e.join(v, v.vec_id == F.col("event_id") % n_vectors)
+        .join(b, b.item_id == F.col("event_id") % n_texts)
         .select(
             F.col("event_id").alias("trans_id"),
             F.col("ts").cast("timestamp").alias("timestamp"),
@@ -78,8 +52,8 @@ select e.event_id as trans_id, e.ts as timestamp,
        concat('user_', cast(e.user_id as varchar)) as speaker,
        b.text, v.vec_id, v.embedding
 from events e
-join embeddings v on v.vec_id  = e.event_id % 500
-join benchmark  b on b.item_id = e.event_id % 40
+join embeddings v on v.vec_id  = e.event_id % (select count(*) from embeddings)
+join benchmark  b on b.item_id = e.event_id % (select count(*) from benchmark)
 """
 
 

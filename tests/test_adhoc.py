@@ -30,6 +30,26 @@ def test_writes_refused_before_running(spark, views, text):
     assert spark.table("messages").count() > 0
 
 
+@pytest.mark.parametrize("text", [
+    "select * from text.`/etc/hostname`",
+    "select java_method('java.lang.System', 'getProperty', 'user.dir') as x",
+    "select reflect('java.lang.System', 'getProperty', 'user.dir') as x from messages",
+    "select 1 as x where exists (select * from other_view)",
+    "select (select max(try_reflect('java.lang.System', 'lineSeparator'))) as x",
+    "with w as (select * from other_view) select * from w",
+])
+def test_outside_the_views_refused(spark, views, text):
+    spark.range(1).createOrReplaceTempView("other_view")
+    with pytest.raises(ValueError):
+        run_readonly_sql(spark, text, views)
+    assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
+
+
+def test_with_clause_and_subquery_run(spark, views):
+    text = "with w as (select speaker from messages) select count(*) as n from w where speaker in (select speaker from messages)"
+    assert run_readonly_sql(spark, text, views).first().n > 0
+
+
 def test_trailing_comment_is_harmless(spark, views):
     assert run_readonly_sql(spark, "select 1 as x -- comment", views).first().x == 1
 

@@ -241,3 +241,39 @@ def test_empty_export_writes_header_only(spark):
     files = glob.glob(path + "/*.csv")
     assert len(files) == 1 and open(files[0]).read().startswith("trans_id,timestamp,speaker,text")
     assert csv_io.read_csv(spark, path).count() == 0
+
+
+def _fail_once(monkeypatch, owner, name):
+    real, state = getattr(owner, name), {"left": 1}
+
+    def broken(*args, **kwargs):
+        if state["left"]:
+            state["left"] -= 1
+            raise OSError("lost")
+        return real(*args, **kwargs)
+    monkeypatch.setattr(owner, name, broken)
+
+
+@pytest.mark.parametrize("step", ["_record_version", "_mark_ingest"])
+def test_replay_of_a_failed_first_batch_stores_rows_once(spark, tmp_path, monkeypatch, step):
+    from mnemospark.sources.store import MessageStore
+    batch = spark.createDataFrame(
+        [(i, "2025-01-01 00:00:00", f"s{i}", "x", i, "m", 2, [1.0, 2.0], None, None, i) for i in range(20)],
+        "trans_id long, timestamp string, speaker string, text string, vec_id long, embedding_model string, "
+        "embedding_dim int, embedding array<float>, index_type string, index_measurement string, seq long"
+    ).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    store = MessageStore(spark, str(tmp_path / "s"), model="m", dim=2)
+    _fail_once(monkeypatch, MessageStore, step)
+    with pytest.raises(OSError):
+        store.append(batch, "a", ingest_id="b0")
+    accepted, rejected = store.append(batch, "a", ingest_id="b0")
+    assert (accepted.count(), rejected.count(), store.read().count()) == (20, 0, 20)
+
+
+def test_read_errors_are_not_an_empty_store(spark, tmp_path, monkeypatch):
+    from mnemospark.sources.store import MessageStore
+    store = MessageStore(spark, str(tmp_path / "s"))
+    assert store.current_version() is None
+    store._record_version(0, 5, "create")
+    with pytest.raises(Exception):
+        store.read()
