@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import text_or_empty, with_spans
+from .base import row_key, text_or_empty, with_spans
 
 #: Fixed patterns.
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -48,7 +48,9 @@ def samples(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     hashes: values the patterns found, and other runs of four and more
     letters, digits and underscores."""
     chosen = docs.select(F.col(id_col).alias("_id"), text.alias("_t")).filter(F.length("_t") > 0)
-    quiet = (chosen.orderBy(F.xxhash64("_id", F.substring("_t", 1, 200))).limit(SAMPLE_DOCUMENTS)
+    keyed = chosen.select("_t", *row_key("_id", "_t"))
+    few = keyed.select("_k1", "_k2").orderBy("_k2", "_k1").limit(SAMPLE_DOCUMENTS).distinct()
+    quiet = (keyed.join(F.broadcast(few), ["_k1", "_k2"])  # at most SAMPLE_DOCUMENTS narrow rows
              .select(F.regexp_replace("_t", "|".join(f"(?:{p})" for p in PATTERNS.values()), " ").alias("_t"))
              .select(F.explode(F.regexp_extract_all("_t", F.lit(r"[A-Za-z0-9_]{4,}"), F.lit(0))).alias("s"))
              .distinct().orderBy(F.xxhash64("s"), "s").limit(MAX_SAMPLES))
