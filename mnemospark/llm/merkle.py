@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -164,15 +165,26 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
                        F.xxhash64(text_col).alias("_h"))
     order = [F.col(id_col).asc_nulls_first(), F.col("_h")]
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(id_col, "_text")
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            body = [z.compress(t.as_py().encode("utf-8", "surrogatepass")) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(body, pa.binary()), b.column(2)],
+                                             names=[id_col, "_text", "_h"])
+
+    # Texts are shuffled once, compressed.
+    small = rows.mapInArrow(shrink, f"`{id_col}` {id_type}, _text binary, _h long")
+    ranged = small.repartitionByRange(*order).sortWithinPartitions(*order).select(id_col, "_text")
     extra = [("_part", pa.int32()), ("_role", pa.string()), ("_edge", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, kind = TaskContext.get().partitionId(), None, None
+        unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             kind, out = batch.column(0).type, []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
+                text = unzip.decompress(text.as_py()).decode("utf-8", "surrogatepass")
                 tree = Tree(text)
                 if before is None:
                     out.append((name, *[None] * 6, part, "first", text))
