@@ -18,11 +18,12 @@ from .base import materialize, row_key, text_or_empty, with_spans
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: Fixed patterns.  A run is entered at its first character or where the
-#: last match ended, which finds the same matches in linear time.  In a card
-#: number, single separators between digits are read as JOIN.
+#: last match ended, which finds the same matches in linear time; a repeated
+#: group is possessive, so that its length needs no stack.  In a card number,
+#: single separators between digits are read as JOIN.
 JOIN = "\x01"
 PATTERNS = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }

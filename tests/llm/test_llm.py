@@ -165,6 +165,14 @@ def test_pii(docs, texts, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_pii_very_long_match(spark):
+    """The length of a match is bounded by no stack."""
+    docs = spark.createDataFrame([(1, "x a@b" + ".c" * 200_000 + " q@r.s"), (2, "4 " * 50_000 + "+" + "1-" * 50_000)],
+                                 "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(s)[:3] for s in r["pii_spans"]] for r in pii.find(docs).collect()}
+    assert got == {1: [(0, 2, 400_005), (0, 400_006, 400_011)], 2: []}
+
+
 def test_pii_disclosing_terms(spark):
     rows = [(i, f"Meet Zorro at a{i % 2}@x.org today, near town {i}") for i in range(8)]
     rows += [(100 + i, f"the town today near somebody {i}") for i in range(200)]
