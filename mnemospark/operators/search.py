@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from ..functions import vectors as V
 from ..plans.broadcast import MAX_BROADCAST_ROWS, checked_broadcast
+from ..schema import PRIMARY_KEY
 
 # Search defaults (top-k, candidate list, rescored candidates)
 # and the P1 result projection.
@@ -147,7 +148,12 @@ def exact_top_k(df: DataFrame, query: Sequence[float], k: int = DEFAULT_K, metri
                                                       vector_col, keep)
     else:
         raise ValueError("method must be 'jvm' or 'arrow'")
-    return scored.orderBy("distance", id_col).limit(k)
+    return scored.orderBy("distance", *_tie_order(scored, id_col)).limit(k)
+
+
+def _tie_order(df: DataFrame, id_col: str) -> list[str]:
+    """The id and, where it is a part of the key, the timestamp."""
+    return [id_col, *(["timestamp"] if "timestamp" in df.columns and id_col != "timestamp" else [])]
 
 
 def search(df: DataFrame, query: Sequence[float], k: int = DEFAULT_K, metric: str = "cosine",
@@ -184,7 +190,7 @@ def batch_top_k(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metric:
 
     ``arrow`` (default): the size-checked query matrix is broadcast and
     each partition scores its Arrow batches with numpy, keeping per query
-    only its best k rows (all ties at the k-th distance included); Spark
+    only its best k rows by ``(distance, id)``; Spark
     then ranks the few candidates exactly by ``(distance, id)``.  Only
     ``queries x k`` rows per partition cross the shuffle and no
     query-document pair is materialised as a row.
@@ -208,19 +214,16 @@ def score_pairs(docs: DataFrame, queries: DataFrame, metric: str = "cosine", doc
                 query_id: str = "query_id", doc_vec: str = "embedding", query_vec: str = "query_vec",
                 max_broadcast_rows: int = MAX_BROADCAST_ROWS, method: str = "sql") -> DataFrame:
     """Every query against every document, the query side broadcast
-    after a size check.  ``sql``: a broadcast join with JVM expressions; a
-    query set above the bound is split into blocks that each fit, and the
-    blocks are unioned.  ``arrow``: each document batch is scored against
-    the query matrix with numpy (above the bound it falls back to ``sql``).
-    Rows whose distance is undefined are NULL (``sql``) or absent (``arrow``)."""
+    after a size check.  ``sql``: a broadcast join with JVM expressions;
+    ``arrow``: each document batch is scored against the query matrix with
+    numpy.  Both process a query set above the bound in blocks that fit and
+    union them.  Rows whose distance is undefined are NULL (``sql``) or
+    absent (``arrow``), whatever the number of queries."""
     if method == "arrow":
         from . import vector_batch
-        try:
-            return vector_batch.all_pairs(docs, queries, metric, doc_id, query_id, doc_vec, query_vec,
-                                          max_broadcast_rows)
-        except vector_batch.TooManyQueries:
-            pass
-    elif method != "sql":
+        return vector_batch.all_pairs(docs, queries, metric, doc_id, query_id, doc_vec, query_vec,
+                                      max_broadcast_rows)
+    if method != "sql":
         raise ValueError("method must be 'sql' or 'arrow'")
     q = queries.select(query_id, query_vec)
     d = docs.select(doc_id, doc_vec)
@@ -261,15 +264,21 @@ def two_stage_top_k(df: DataFrame, query: Sequence[float], k: int = DEFAULT_K,
     # sort first and take a candidate slot.
     stage1 = (df.filter(F.size(vector_col) == len(query)) if not sig_col
               else df.filter(F.size(sig_col) == len(qw)))
-    candidates = (stage1.select(id_col, V.hamming_to(sig, qw).alias("hamming"))
-                  .orderBy("hamming", id_col).limit(search_list_size))
-    best = candidates.orderBy("hamming", id_col).limit(min(rescore, search_list_size))
+    # A store holds no other id unique: its key goes through both stages.
+    key = PRIMARY_KEY if set(PRIMARY_KEY) <= set(df.columns) else [id_col]
+    carried = list(dict.fromkeys([id_col, *key]))
+    candidates = (stage1.select(*carried, V.hamming_to(sig, qw).alias("hamming"))
+                  .orderBy("hamming", *carried).limit(search_list_size))
+    best = candidates.orderBy("hamming", *carried).limit(min(rescore, search_list_size))
     # `best` holds at most `rescore` rows: a proven bound for the broadcast.
-    full = df.select(id_col, vector_col, *columns).join(F.broadcast(best), id_col, "inner")
-    return (full.select(id_col, *columns, "hamming",
+    best = best.select(*key, "hamming")
+    wanted = list(dict.fromkeys([*carried, vector_col, *columns]))
+    full = df.select(*wanted).join(F.broadcast(best), key, "inner")
+    return (full.select(*carried, *[c for c in columns if c not in carried], "hamming",
                         V.distance_to(metric, vector_col, query).alias("distance"))
             .filter(F.col("distance").isNotNull())
-            .orderBy("distance", id_col).limit(k))
+            .orderBy("distance", *carried).limit(k)
+            .select(id_col, *[c for c in columns if c != id_col], "hamming", "distance"))
 
 
 def recall(approx: DataFrame, exact: DataFrame, query_id: str = "query_id",
@@ -311,7 +320,7 @@ def federated_top_k(registry: Mapping[str, DataFrame], query: Sequence[float], k
         union = union.unionByName(p)
     w = Window.partitionBy("trans_id", "timestamp").orderBy("distance", "_prio")
     return (union.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-            .drop("_rn", "_prio").orderBy("distance", "trans_id").limit(k))
+            .drop("_rn", "_prio").orderBy("distance", "trans_id", "timestamp").limit(k))
 
 
 def batch_two_stage_top_k(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K,

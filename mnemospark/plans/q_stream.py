@@ -107,4 +107,4 @@ def stream_chunks(spark, sf_dir):
     schema = spark.read.parquet(f"{root}/src").schema
     q = J.chunk_count_stream(_source(spark, f"{root}/src", schema, n), f"{root}/out", f"{root}/_checkpoint")
     q.awaitTermination()
-    return as_ntz(spark.read.parquet(f"{root}/out"))
+    return as_ntz(J.latest_chunk_counts(spark, f"{root}/out"))

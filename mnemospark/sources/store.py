@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import sign_words_expr
 from ..operators import integrity as I
-from ..schema import SHORT_TERM_CHUNK_SECONDS, STORE_FIELDS
+from ..schema import PRIMARY_KEY, SHORT_TERM_CHUNK_SECONDS, STORE_FIELDS
 
 WRITE_MODES = ("errorifexists", "overwrite", "append")
 MANIFEST_SCHEMA = "rows long, min_ts string, max_ts string, checksum string"
@@ -162,7 +162,7 @@ class MessageStore:
             # An intent record is written before the data: only an id seen
             # before (a replay) pays for the own-rows check and anti-join.
             if self._ingest_seen(ingest_id) and store is not None and "ingest_id" in store.columns:
-                own = store.filter(F.col("ingest_id") == ingest_id).select("seq")
+                own = store.filter(F.col("ingest_id") == ingest_id).select(*PRIMARY_KEY)
                 store = store.filter(F.col("ingest_id").isNull() | (F.col("ingest_id") != ingest_id))
         # Decisions are written before the store is: the clash check reads
         # the store, so outputs evaluated after the append must not see it.
@@ -172,7 +172,8 @@ class MessageStore:
         version = 0 if current is None else current
         if current is None:  # before the data, so that a replay finds what was written
             self._record_version(0, -1, "create")
-        to_write = accepted if own is None else accepted.join(own, "seq", "left_anti")
+        # By primary key: arrival numbers may differ between the attempts.
+        to_write = accepted if own is None else accepted.join(own, PRIMARY_KEY, "left_anti")
         if ingest_id is not None:
             self._mark_ingest(ingest_id, "started")
         (writer or write_rows)(to_write, self.data_path(version))
@@ -190,9 +191,11 @@ class MessageStore:
         store = self.read() if current is not None else None
         accepted, rejected = I.check_batch(prepared, store, materialize_out=True)
         loaded = I.prefix_commit(accepted, rejected, chunk_rows).drop("batch_id")
+        if current is None:  # before the data, so that a second attempt finds what was written
+            self._record_version(0, -1, "load")
         write_rows(loaded, self.data_path(0 if current is None else current))
         if current is None:
-            self._record_version(0, -1, "load")
+            self._record_version(0, loaded.count(), "load", "append")
         return loaded, rejected, I.load_report(accepted, rejected, chunk_rows)
 
     def snapshot(self, dest: str, codec: str = "zstd") -> dict:

@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.window import Window
 
 from ..operators import embed as EM
 from ..operators import integrity as I
 from ..schema import UNIQUE_KEY
+from ..session import materialize
 from ..sources.store import MessageStore
 
 
@@ -38,6 +40,23 @@ def _trigger(writer, available_now: bool, interval: str | None):
     return writer.trigger(processingTime=interval or "10 seconds")
 
 
+#: Arrival numbers a micro-batch may use.
+BATCH_SEQS = 1 << 40
+
+
+def _numbered(rows: DataFrame, batch_id: int) -> DataFrame:
+    """``seq``: dense numbers in arrival order (partition, then place),
+    above those of every earlier batch.  Written once, so that the counts
+    and the rows come from the same partitions."""
+    placed = materialize(rows.withColumn("_at", F.monotonically_increasing_id()), "stream-arrival")
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = (placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
+              .select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
+    seq = F.lit(batch_id * BATCH_SEQS) + F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(before, "_part").withColumn("seq", seq).drop("_part", "_before", "_at")
+
+
 def ingest_stream(source: DataFrame, store: MessageStore, dead_letter: str, all_records: str,
                   checkpoint: str, session_id: str, bot: str, model: str | None = None,
                   dim: int | None = None, available_now: bool = True,
@@ -53,8 +72,7 @@ def ingest_stream(source: DataFrame, store: MessageStore, dead_letter: str, all_
             batch = I.json_records(batch, json_col)
         rows = I.keep_messages(batch, bot)
         if "seq" not in rows.columns:
-            rows = rows.withColumn("seq", F.lit(batch_id).cast("long") * F.lit(1 << 40)
-                                   + F.monotonically_increasing_id())
+            rows = _numbered(rows, batch_id)
         rows = rows.persist()
         # M1: embed the text of rows without a vector (by default only when
         # the source carries no vector column); P2: stamp what is missing.
@@ -129,21 +147,29 @@ def thread_state_stream(source: DataFrame, sink: str, checkpoint: str,
 
 def chunk_count_stream(source: DataFrame, sink: str, checkpoint: str, window: str = "1 hour",
                        delay: str = "40 days", available_now: bool = True) -> StreamingQuery:
-    """T5: rows per time window as they arrive.  Each trigger rewrites the
-    full window table (state holds one row per window, not per row)."""
+    """T5: rows per time window as they arrive.  Each trigger writes the
+    windows it changed under its batch id, and the watermark evicts the
+    state of windows that are past; ``latest_chunk_counts`` reads them."""
     counts = (source.withWatermark("timestamp", delay)
               .groupBy(F.window("timestamp", window).alias("w"))
               .agg(F.count(F.lit(1)).alias("rows"))
               .select(F.col("w.start").alias("window_start"), "rows"))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite") \
+            .parquet(f"{sink}/batch={batch_id}")
 
-    writer = (counts.writeStream.outputMode("complete").foreachBatch(per_batch)
+    writer = (counts.writeStream.outputMode("update").foreachBatch(per_batch)
               .option("checkpointLocation", checkpoint))
     return _trigger(writer, available_now, None).start()
 
 
+def latest_chunk_counts(spark, sink: str) -> DataFrame:
+    """Current rows per window from the update log: newest batch per window."""
+    return (spark.read.parquet(sink).groupBy("window_start")
+            .agg(F.max_by("rows", "batch_id").alias("rows")))
+
+
 def latest_thread_state(spark, sink: str) -> DataFrame:
     """Current per-thread state from the update log: newest batch per thread."""
     log = spark.read.parquet(sink)

@@ -109,7 +109,7 @@ def test_day_bounds():
 
 
 def test_unknown_store(spark):
-    with pytest.raises(ValueError, match="Expected one of"):
+    with pytest.raises(ValueError, match="the stores are"):
         S.pick_stores({"short_term": None, "long_term": None}, ["nope"])
 
 
@@ -203,7 +203,7 @@ def test_filtered_search_arrow_equals_jvm(spark, emb):
     assert [(r.trans_id, r.text) for r in a] == [(r.trans_id, r.text) for r in b] and len(a) > 0
 
 
-def test_score_pairs_arrow_falls_back_above_bound(spark, emb):
+def test_score_pairs_arrow_in_blocks(spark, emb):
     df, _, _ = emb
     cents = label_centroids(df)
     small = S.score_pairs(df, cents, "ip", max_broadcast_rows=3, method="arrow")
@@ -211,3 +211,29 @@ def test_score_pairs_arrow_falls_back_above_bound(spark, emb):
     a = {(r.query_id, r.vec_id): r.distance for r in small.collect()}
     b = {(r.query_id, r.vec_id): r.distance for r in full.collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
+
+
+def test_score_pairs_arrow_is_the_same_at_every_query_count(spark):
+    docs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [0.0, 1.0])], "query_id long, query_vec array<double>")
+    got = [sorted(map(tuple, S.score_pairs(docs, queries, max_broadcast_rows=n, method="arrow").collect())) for n in (1, 2, 9)]
+    assert got[0] == got[1] == got[2] == [(1, 1, 0.0), (3, 1, 1.0)]
+
+
+def test_batch_top_k_keeps_k_rows_of_ties(spark):
+    big = 1 << 60
+    docs = spark.createDataFrame([(big + i, [1.0, float(i % 2)]) for i in range(50)] + [(None, [1.0, 0.0])],
+                                 "vec_id long, embedding array<double>").coalesce(1)
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], "query_id long, query_vec array<double>")
+    from mnemospark.operators import vector_batch as VB
+    assert VB.candidates(docs, queries, 3, "l2", "vec_id", "query_id", "embedding", "query_vec").count() == 6
+    for n in (1, 9):
+        rows = S.batch_top_k(docs, queries, k=3, metric="l2", max_broadcast_rows=n).collect()
+        assert sorted((r.query_id, r.vec_id - big) for r in rows) == [(1, 0), (1, 2), (1, 4), (2, 1), (2, 3), (2, 5)]
+
+
+def test_two_stage_on_a_store_returns_each_row_once(spark):
+    rows = [(i, dt.datetime(2024, 1, 1, i), i % 2, [1.0, float(i % 2)]) for i in range(10)]
+    df = spark.createDataFrame(rows, "trans_id long, timestamp timestamp, vec_id long, embedding array<double>")
+    got = S.two_stage_top_k(df, [1.0, 0.1], k=4, metric="l2", columns=["trans_id"]).collect()
+    assert [r.trans_id for r in got] == [0, 2, 4, 6]

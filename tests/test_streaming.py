@@ -41,3 +41,9 @@ def test_thread_state_matches_batch(spark):
     want = {r.conv_id: (r.n, r.m) for r in c.groupBy("conv_id").agg(F.count("*").alias("n"),
                                                                      F.max("turn").alias("m")).collect()}
     assert got == want
+
+
+def test_arrival_numbers_are_dense_at_any_partition_count(spark):
+    rows = spark.range(1000).repartition(300)
+    got = [r["seq"] for r in J._numbered(rows, 3).collect()]
+    assert sorted(got) == [3 * J.BATCH_SEQS + i for i in range(1000)]
