@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .base import materialize
 
@@ -163,8 +164,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                      pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(cols[5], tile_type)],
                     names=[id_col, "item_id", "coverage", "n_tiles", "longest", "tiles"])
 
-        item_type = pa.int64() if benchmark.schema[item_col].dataType.simpleString() == "bigint" else (
-            pa.int32() if benchmark.schema[item_col].dataType.simpleString() == "int" else pa.string())
+        item_type = to_arrow_type(benchmark.schema[item_col].dataType)
         tile_type = pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())]))
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)

@@ -16,8 +16,9 @@ the triple of the names of three overlapping blocks.  Names are dealt to
 buckets, merged with those of all other documents and sorted; a suffix that
 equals its neighbour in this order is repeated.
 
-Names are 64-bit hashes and not ranks: equal strings have equal names
-without a global sort in each level of the recursion.
+Names are hashes and not ranks: equal strings have equal names without a
+global sort in each level of the recursion.  A suffix is named by 64 bits
+and compared by 32 more, so that unequal suffixes stay apart at any size.
 """
 
 from __future__ import annotations
@@ -121,12 +122,14 @@ class Chunk:
         ties = np.flatnonzero(self.grams[lo:at] == self.grams[at])
         return here[here > ties[-1] + lo] if len(ties) else here
 
-    def window_names(self, at: np.ndarray) -> np.ndarray:
-        """Names of triples of names: three blocks that cover the window."""
+    def window_names(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Names of triples of names (three blocks that cover the window)
+        and 32 more bits of the same triples, mixed another way."""
         step = self.length // 3
         last = self.length - 2 * step
         a, b, c = self.name(at, last), self.name(at + step, last), self.name(at + 2 * step, last)
-        return _mix(a + _mix(b + _mix(c)))
+        more = _mix(c ^ _mix(a ^ _mix(b ^ np.uint64(_B))))
+        return _mix(a + _mix(b + _mix(c))), (more >> np.uint64(32)).astype(np.uint32)
 
 
 def _slide(op, x: np.ndarray, width: int) -> np.ndarray:
@@ -139,6 +142,20 @@ def _slide(op, x: np.ndarray, width: int) -> np.ndarray:
     return op(x[:n], x[rest:rest + n])
 
 
+def _sorted(names: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by name and further bits, and which neighbours in it are
+    equal.  Only names that clash need the longer sort."""
+    order = np.argsort(names, kind="stable")
+    for again in (False, True):
+        if again:
+            order = np.lexsort((more, names))
+        s, m = names[order], more[order]
+        same, rest = s[1:] == s[:-1], m[1:] == m[:-1]
+        if not (same & ~rest).any():
+            break
+    return order, same & rest
+
+
 def _chunks(rows: Iterator[tuple], size: int) -> Iterator[list[tuple]]:
     """Rows whose last item is bytes, in lists of about ``size`` bytes."""
     block, held = [], 0
@@ -297,7 +314,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, unzip, zipper = TaskContext.get().partitionId(), zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         out, number = None, 0
-        held: list[tuple] = []  # (names, answer wanted) of this batch
+        held: list[tuple] = []  # (names, further bits, answer wanted) of this batch
         n_held = n_docs = n_bytes = 0
 
         def close() -> None:
@@ -306,10 +323,10 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if held:
                 batch = part << 32 | number
                 names = np.concatenate([h[0] for h in held])
-                wanted = np.concatenate([h[1] for h in held])
-                order = np.argsort(names, kind="stable")
-                s = names[order]
-                head = np.concatenate([[True], s[1:] != s[:-1]])
+                more = np.concatenate([h[1] for h in held])
+                wanted = np.concatenate([h[2] for h in held])
+                order, same = _sorted(names, more)
+                head = np.concatenate([[True], ~same])
                 group = np.cumsum(head) - 1
                 many = np.bincount(group)[group] > 1
                 known = np.zeros(len(names), bool)
@@ -326,7 +343,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     open_ = wanted[index] & ~known[index]
                     index = np.concatenate([np.sort(index[open_]), index[~open_]])
                     gaps = np.diff(index[:open_.sum()], prepend=0).astype("<u4")
-                    out.add(None, NAMES, int(to[cut[0]]), batch, body=names[index].astype("<u8").tobytes(),
+                    out.add(None, NAMES, int(to[cut[0]]), batch, done=(len(index), *[None] * 4),
+                            body=names[index].astype("<u8").tobytes() + more[index].astype("<u4").tobytes(),
                             marks=gaps.tobytes())
             held, n_held, n_docs, n_bytes = [], 0, 0, 0
             number += 1
@@ -357,12 +375,12 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                             continue
                     starts = np.concatenate([p for p, _ in found])
                     wants = np.concatenate([np.full(len(p), want) for p, want in found])
-                    names = c.window_names(starts)
+                    names, more = c.window_names(starts)
                     if any(want for _, want in found):
                         marks = np.concatenate([[len(spans)], np.array(spans, np.int64).reshape(-1), starts - base])
                         out.add(i, WAITING, n_docs % buckets, part << 32 | number, n_docs, n_held,
                                 zipper.compress(text), zipper.compress(np.diff(marks.astype("<i8"), prepend=0).tobytes()))
-                    held.append((names, wants))
+                    held.append((names, more, wants))
                     n_held, n_docs, n_bytes = n_held + len(names), n_docs + 1, n_bytes + len(text)
                     if n_held >= BATCH or n_bytes >= 16 * BATCH:
                         close()
@@ -380,18 +398,17 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         def close() -> None:
             if group:
-                names = np.concatenate([np.frombuffer(r[1], "<u8") for r in group])
-                order = np.argsort(names, kind="stable")
-                s = names[order]
-                same = s[1:] == s[:-1]
+                names = np.concatenate([np.frombuffer(r[1], "<u8", r[3]) for r in group])
+                more = np.concatenate([np.frombuffer(r[1], "<u4", r[3], 8 * r[3]) for r in group])
+                order, same = _sorted(names, more)
                 hit = np.zeros(len(names), bool)
                 hit[order[1:][same]] = True
                 hit[order[:-1][same]] = True
                 at = 0
-                for batch, body, marks in group:
+                for batch, _, marks, n in group:
                     index = np.cumsum(np.frombuffer(marks, "<u4").astype(np.int64))
                     got = index[hit[at:at + len(index)]].astype("<u4")
-                    at += len(body) // 8
+                    at += n
                     if len(got):
                         out.add(None, ANSWERS, batch=batch, body=got.tobytes())
                 group.clear()
@@ -406,7 +423,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if b.column(2)[j].as_py() != bucket:
                     close()
                     bucket = b.column(2)[j].as_py()
-                group.append((b.column(3)[j].as_py(), b.column(6)[j].as_py(), b.column(7)[j].as_py()))
+                group.append(tuple(b.column(k)[j].as_py() for k in (3, 6, 7, 8)))
             if len(out.rows) > 2000:
                 yield out.take()
         if out is not None:

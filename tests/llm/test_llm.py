@@ -270,6 +270,14 @@ def test_suffix_sort(docs, texts, empty):
     assert suffix_array.repeated_bytes(empty).count() == 0
 
 
+def test_suffix_names_that_clash_stay_apart():
+    names = np.array([5, 7, 5, 5, 7, 9], np.uint64)
+    more = np.array([1, 3, 2, 1, 3, 0], np.uint32)
+    order, same = suffix_array._sorted(names, more)
+    assert [(int(names[i]), int(more[i])) for i in order] == sorted(zip(names.tolist(), more.tolist()))
+    assert same.tolist() == [True, False, False, True, False]
+
+
 def test_string_tiling(spark, docs, empty):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "tiny one"), (3, None),
                                    (4, "")], "item_id long, text string")
