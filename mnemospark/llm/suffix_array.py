@@ -18,7 +18,7 @@ equals its neighbour in this order is repeated.
 
 Names are hashes and not ranks: equal strings have equal names without a
 global sort in each level of the recursion.  A suffix is named by 64 bits
-and compared by 32 more, so that unequal suffixes stay apart at any size.
+and compared by 16 more.
 """
 
 from __future__ import annotations
@@ -124,12 +124,12 @@ class Chunk:
 
     def window_names(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Names of triples of names (three blocks that cover the window)
-        and 32 more bits of the same triples, mixed another way."""
+        and 16 more bits of the same triples, mixed another way."""
         step = self.length // 3
         last = self.length - 2 * step
         a, b, c = self.name(at, last), self.name(at + step, last), self.name(at + 2 * step, last)
         more = _mix(c ^ _mix(a ^ _mix(b ^ np.uint64(_B))))
-        return _mix(a + _mix(b + _mix(c))), (more >> np.uint64(32)).astype(np.uint32)
+        return _mix(a + _mix(b + _mix(c))), (more >> np.uint64(48)).astype(np.uint16)
 
 
 def _slide(op, x: np.ndarray, width: int) -> np.ndarray:
@@ -344,7 +344,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     index = np.concatenate([np.sort(index[open_]), index[~open_]])
                     gaps = np.diff(index[:open_.sum()], prepend=0).astype("<u4")
                     out.add(None, NAMES, int(to[cut[0]]), batch, done=(len(index), *[None] * 4),
-                            body=names[index].astype("<u8").tobytes() + more[index].astype("<u4").tobytes(),
+                            body=names[index].astype("<u8").tobytes() + more[index].astype("<u2").tobytes(),
                             marks=gaps.tobytes())
             held, n_held, n_docs, n_bytes = [], 0, 0, 0
             number += 1
@@ -399,7 +399,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def close() -> None:
             if group:
                 names = np.concatenate([np.frombuffer(r[1], "<u8", r[3]) for r in group])
-                more = np.concatenate([np.frombuffer(r[1], "<u4", r[3], 8 * r[3]) for r in group])
+                more = np.concatenate([np.frombuffer(r[1], "<u2", r[3], 8 * r[3]) for r in group])
                 order, same = _sorted(names, more)
                 hit = np.zeros(len(names), bool)
                 hit[order[1:][same]] = True
