@@ -11,6 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from . import embed, integrity
 
 BLOCK = 1024  # messages per first-level block
 
@@ -48,6 +51,13 @@ def history_text(state: DataFrame, line: Column | None = None, sep: str = "\n")
                  F.sum("_n").alias("messages")))
 
 
+def history_rows(state: DataFrame) -> DataFrame:
+    """A6 without the one text per thread: a row for each message with its
+    ``position`` in the thread, from 1, for threads of any length."""
+    order = Window.partitionBy("thread_id").orderBy("seq", "msg_id")
+    return state.select("thread_id", F.row_number().over(order).alias("position"), "msg_id", "role", "text")
+
+
 def prompt(state: DataFrame, system: str | Column) -> DataFrame:
     """M3: the system message followed by the whole history."""
     sys_col = F.lit(system) if isinstance(system, str) else system
@@ -62,6 +72,16 @@ def with_replies(user_rows: DataFrame, replies: DataFrame) -> DataFrame:
     return user_rows.unionByName(replies)
 
 
+def store_replies(store, users: DataFrame, replies: DataFrame, session_id: str, model: str, dim: int,
+                  ingest_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """M6 to the end: both sources get a vector (M1), provenance (P2) and go
+    through the store's checks.  Returns the stored rows and the rejects."""
+    rows = with_replies(users, replies)
+    vectors = embed.hash_embed(rows, "seq", "text", dim)
+    stamped = integrity.stamp_provenance(rows.join(vectors, "seq"), model, dim)
+    return store.append(stamped, session_id, ingest_id=ingest_id)
+
+
 def context_rows(ranked: DataFrame, query_id: str = "query_id", text_col: str = "text",
                  rank_col: str = "rank", sep: str = "\n") -> DataFrame:
     """M5: the retrieved rows of each query as one text in rank order.

@@ -135,13 +135,17 @@ def json_records(df: DataFrame, json_col: str = "value") -> DataFrame:
 def _split_store_clashes(rows: DataFrame, store: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """C4/C5 against the store: ``(clashing rows with reason, the rest)``.
 
-    Semi and anti joins only, so a row is never duplicated.  The store
-    side is joined on the key plus ``chunk`` when both sides carry it, so
-    dynamic partition pruning reads only the chunks the batch touches.
+    Semi and anti joins only, so a row is never duplicated.  Both keys hold
+    the time, so a clash lies in the row's own ``chunk``; when both sides
+    carry it, only the store's partitions of the batch's chunks are read
+    (``chunks_of``: a static partition filter, as Spark prunes no anti
+    join by itself).
     """
     if store is None:
         return rows.limit(0).withColumn("reject_reason", F.lit(None).cast("string")), rows
     by_chunk = "chunk" in store.columns and "chunk" in rows.columns
+    if by_chunk:
+        store = store.filter(chunks_of(rows))
     pk = PRIMARY_KEY + (["chunk"] if by_chunk else [])
     uk_cols = UK_DIGEST if TEXT_DIGEST in rows.columns else UNIQUE_KEY
     uk = uk_cols + (["chunk"] if by_chunk else [])
@@ -154,6 +158,20 @@ def _split_store_clashes(rows: DataFrame, store: DataFrame | None) -> tuple[Data
     return pk_clash.unionByName(uk_clash), rest.join(suk, uk, "left_anti")
 
 
+#: Chunks named one by one in a partition filter.
+NAMED_CHUNKS = 2_000
+
+
+def chunks_of(rows: DataFrame, named: int = NAMED_CHUNKS) -> Column:
+    """A filter on ``chunk`` that holds for every chunk of ``rows``: their
+    list, or from ``named`` chunks on their range."""
+    found = [r["chunk"] for r in rows.select("chunk").distinct().limit(named + 1).collect()]
+    if len(found) <= named:
+        return F.col("chunk").isin(found) if found else F.lit(False)
+    ends = rows.agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi")).first()
+    return F.col("chunk").between(ends["lo"], ends["hi"])
+
+
 def _round(r: DataFrame, uk: list[str]) -> DataFrame:
     """One round over undecided rows: ``_status`` = accept / pk / unique / NULL."""
     keys = r.select("seq", *dict.fromkeys(PRIMARY_KEY + uk))

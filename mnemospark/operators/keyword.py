@@ -1,8 +1,8 @@
 """Keyword search (K7, K9): BM25 over a text table, plus snippets.
 
 Plan: tags stripped and text tokenised per row (no shuffle); the
-tokens are exploded and filtered to the query terms right away, so only
-matching tokens reach the one partial aggregate ``(doc, term) -> tf``.
+tokens are filtered to the query terms before they are exploded, so only
+matching tokens become rows and reach the one partial aggregate ``(doc, term) -> tf``.
 Document frequency per term is an aggregate of those rows.  Corpus size
 and mean length are one global aggregate (two numbers on the driver).
 The final ranking is a ``TakeOrderedAndProject`` top-k.
@@ -50,8 +50,7 @@ def bm25_top_k(docs: DataFrame, id_col: str, text_col: str, query: str, k: int =
     n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
     if n_docs == 0:
         return docs.sparkSession.createDataFrame([], f"{id_col} long, score double")
-    hits = (tok.select(id_col, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-            .filter(F.col("term").isin(terms))
+    hits = (tok.select(id_col, F.size("_t").alias("dl"), F.explode(F.filter("_t", lambda x: x.isin(terms))).alias("term"))
             .groupBy(id_col, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     df_t = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(n_docs) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))

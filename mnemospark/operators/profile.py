@@ -7,6 +7,9 @@ expressions) instead of one job per column.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,8 +54,8 @@ def table_profile(name: str, df: DataFrame, keys: dict[str, list[str]] | None =
     stats = df.agg(*aggs)
     key_flags = {}
     for kname, cols in (keys or {}).items():
-        dup = df.groupBy(*cols).count().filter("count > 1").limit(1).count() > 0
-        key_flags[kname] = (cols, not dup)
+        most = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n"))
+        key_flags[kname] = (cols, F.coalesce(most.scalar(), F.lit(0)) <= 1)
     rows = []
     for i, f in enumerate(fields):
         in_keys = [k for k, (cols, _) in key_flags.items() if f.name in cols]
@@ -62,7 +65,8 @@ def table_profile(name: str, df: DataFrame, keys: dict[str, list[str]] | None =
             F.col(f"n{i}").alias("null_count"), F.col(f"d{i}").alias("approx_distinct"),
             F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value"),
             F.lit(",".join(in_keys)).alias("keys"),
-            F.lit(all(key_flags[k][1] for k in in_keys) if in_keys else None).cast("boolean").alias("keys_unique"),
+            (reduce(and_, [key_flags[k][1] for k in in_keys]) if in_keys else F.lit(None).cast("boolean"))
+            .alias("keys_unique"),
             F.lit((comments or {}).get(f.name)).cast("string").alias("comment"),
             F.col("__rows").alias("rows"),
         ))

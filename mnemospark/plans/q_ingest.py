@@ -22,6 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import integrity as I
+from ..schema import LONG_TERM_CHUNK_SECONDS
+from ..session import work_dir
+from ..sources.store import MessageStore
 from ..sources.tables import as_ntz, messages
 from .common import SHORT_TERM_FROM, SQL_MESSAGES_CTE
 from .registry import register
@@ -225,3 +228,52 @@ def promote_new_rows(spark, sf_dir):
     short_term = m.filter(F.col("timestamp") >= F.lit(dt.datetime.fromisoformat(SHORT_TERM_FROM)))
     new_rows, _ = promote(short_term, long_term)
     return as_ntz(new_rows.select("trans_id", "timestamp", "speaker"))
+
+
+@register("promote_append", ("J7", "S8", "S9", "C4", "C5", "C6"), f"""
+with {SQL_MESSAGES_CTE}
+select trans_id, timestamp, speaker, 'long' as session_id from messages where timestamp < TIMESTAMP '{LONG_TERM_UNTIL}'
+union all
+select trans_id, timestamp, speaker, 'short' from messages
+where timestamp >= TIMESTAMP '{LONG_TERM_UNTIL}'
+  and not exists (select 1 from messages l where l.timestamp < TIMESTAMP '{LONG_TERM_UNTIL}'
+                  and l.timestamp = messages.timestamp and l.speaker = messages.speaker and l.text = messages.text)
+""")
+def promote_append(spark, sf_dir):
+    """The long-term store after the short-term rows were promoted into it,
+    twice with one ingest id (the second time adds nothing)."""
+    m = I.stamp_provenance(messages(spark, sf_dir), MODEL, DIM).withColumn("seq", F.col("trans_id"))
+    store = MessageStore(spark, work_dir(spark, "promote"), LONG_TERM_CHUNK_SECONDS, MODEL, DIM)
+    store.append(m.filter(F.col("timestamp") < F.lit(dt.datetime.fromisoformat(LONG_TERM_UNTIL))), "long")
+    short_term = m.filter(F.col("timestamp") >= F.lit(dt.datetime.fromisoformat(SHORT_TERM_FROM)))
+    for _ in range(2):
+        store.promote(short_term, "short", ingest_id="promote-1")
+    return as_ntz(store.read().select("trans_id", "timestamp", "speaker", "session_id"))
+
+
+@register("json_ingest", ("C1", "C2", "P3", "P19", "S12"), f"""
+with {SQL_MESSAGES_CTE.replace("b.text, v.vec_id, v.embedding", "b.text, v.vec_id, v.embedding, e.event_type")}
+select case when event_type <> 'signup' then trans_id end as trans_id,
+       case when event_type <> 'signup' then timestamp end as timestamp,
+       case when event_type <> 'signup' then speaker end as speaker,
+       case event_type when 'click' then 'unknown_field:mood' when 'error' then 'type:embedding_dim'
+            when 'signup' then 'corrupt_record' when 'purchase' then 'null:text' else 'accepted' end as outcome
+from messages
+""")
+def json_ingest(spark, sf_dir):
+    """Messages as JSON lines; each event type but one carries a fault: a
+    field that is not stored, a length that is no number, a broken line, a
+    missing text."""
+    m = I.stamp_provenance(messages(spark, sf_dir, extra=("event_type",)), MODEL, DIM)
+    kind = F.col("event_type")
+    fields = F.struct(
+        "trans_id", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"), "speaker",
+        F.when(kind != "purchase", F.col("text")).alias("text"), "vec_id", "embedding_model",
+        F.when(kind == "error", "many").otherwise(F.col("embedding_dim").cast("string")).alias("embedding_dim"),
+        F.col("trans_id").alias("seq"), F.when(kind == "click", "calm").alias("mood"))
+    line = F.when(kind == "signup", F.concat(F.lit("{broken "), F.to_json(fields))).otherwise(F.to_json(fields))
+    rows = I.json_records(m.select(line.alias("value")))
+    accepted, rejected = I.check_batch(rows, unknown_col="_unknown", corrupt_col="_corrupt")
+    keep = ["trans_id", "timestamp", "speaker"]
+    return as_ntz(accepted.select(*keep, F.lit("accepted").alias("outcome")).unionByName(
+        rejected.select(*keep, F.col("reject_reason").alias("outcome"))))

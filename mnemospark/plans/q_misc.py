@@ -83,39 +83,85 @@ def adhoc_sql(spark, sf_dir):
     return AD.run_readonly_sql(spark, ADHOC_SQL, views)
 
 
-# Fixed: the tables profiled, their declared types and candidate keys.
+# Fixed: the given tables with their declared types and keys.
 PROFILED = {
-    "events": ([("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"),
-                ("event_type", "string"), ("value", "double"), ("props", "string")], ["event_id"]),
-    "conversations": ([("conv_id", "bigint"), ("turn", "bigint"), ("role", "string"), ("text", "string")],
-                      ["conv_id", "turn"]),
-    "labels": ([("doc_id", "bigint"), ("quality", "int"), ("toxic", "int")], ["doc_id"]),
+    "region": ("r_regionkey int, r_name string", "r_regionkey"),
+    "nation": ("n_nationkey int, n_name string, n_regionkey int", "n_nationkey"),
+    "customer": ("c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string", "c_custkey"),
+    "supplier": ("s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double", "s_suppkey"),
+    "part": ("p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+             "p_partkey"),
+    "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+               "o_orderdate timestamp_ntz, o_orderpriority string", "o_orderkey"),
+    "lineitem": ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                 "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                 "l_linestatus string, l_shipdate timestamp_ntz", "l_orderkey, l_linenumber"),
+    "events": ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+               "event_id"),
+    "documents": ("doc_id bigint, text string, lang string, source string, n_chars bigint", "doc_id"),
+    "embeddings": ("vec_id bigint, embedding array<float>, label int", "vec_id"),
+    "pages": ("page_id bigint, url string, html string", "page_id"),
+    "benchmark": ("item_id bigint, text string", "item_id"),
+    "labels": ("doc_id bigint, quality int, toxic int", "doc_id"),
+    "conversations": ("conv_id bigint, turn bigint, role string, text string", "conv_id, turn"),
 }
+#: Types whose least and greatest value have one text form.
+_PLAIN = ("int", "bigint", "string")
+
+
+def _declared(name: str) -> tuple[list[tuple[str, str]], list[str]]:
+    columns, key = PROFILED[name]
+    return [tuple(c.split(" ", 1)) for c in columns.split(", ")], key.split(", ")
+
+
+def _unique_sql(name: str, key: list[str]) -> str:
+    return f"(select count(*) = count(distinct ({', '.join(key)})) from {name})"
 
 
 def _profile_sql() -> str:
     parts = []
-    for t, (cols, key) in PROFILED.items():
-        uniq = f"(select count(*) = count(distinct ({', '.join(key)})) from {t})"
+    for t in PROFILED:
+        cols, key = _declared(t)
         for i, (c, typ) in enumerate(cols):
-            in_key = c in key
+            ends = [f"cast({f}({c}) as varchar)" if typ in _PLAIN else "cast(null as varchar)" for f in ("min", "max")]
             parts.append(
                 f"select '{t}' as table_name, {i} as position, '{c}' as column_name, '{typ}' as data_type, "
-                f"count(*) - count({c}) as null_count, count(*) as rows, "
-                f"'{'pk' if in_key else ''}' as keys, "
-                f"{uniq if in_key else 'cast(null as boolean)'} as keys_unique from {t}")
+                f"count(*) - count({c}) as null_count, count(*) as rows, {ends[0]} as min_value, "
+                f"{ends[1]} as max_value, '{'pk' if c in key else ''}' as keys, "
+                f"{_unique_sql(t, key) if c in key else 'cast(null as boolean)'} as keys_unique from {t}")
     return "\nunion all\n".join(parts)
 
 
-@register("table_profile", ("A5", "P25"), _profile_sql())
+def _profiles(spark, sf_dir):
+    return PR.profile_all({t: table(spark, sf_dir, t) for t in PROFILED},
+                          {t: {"pk": _declared(t)[1]} for t in PROFILED})
+
+
+@register("table_profile", "A5", _profile_sql())
 def table_profile(spark, sf_dir):
-    out = None
-    for t, (_, key) in PROFILED.items():
-        prof = PR.table_profile(t, table(spark, sf_dir, t), keys={"pk": key})
-        prof = prof.select("table_name", "position", "column_name", "data_type", "null_count", "rows",
-                           "keys", "keys_unique")
-        out = prof if out is None else out.unionByName(prof)
-    return out
+    plain = F.col("data_type").isin(*_PLAIN)
+    return _profiles(spark, sf_dir).select(
+        "table_name", "position", "column_name", "data_type", "null_count", "rows",
+        F.when(plain, F.col("min_value")).alias("min_value"), F.when(plain, F.col("max_value")).alias("max_value"),
+        "keys", "keys_unique")
+
+
+def _json_sql() -> str:
+    parts = []
+    for t in PROFILED:
+        cols, key = _declared(t)
+        texts = []
+        for i, (c, typ) in enumerate(cols):
+            text = (f'{{"position":{i},"c":{{"column_name":"{c}","data_type":"{typ}","nullable":true,'
+                    f'"keys":"{"pk" if c in key else ""}"')
+            texts.append(f"'{text},\"keys_unique\":' || {_unique_sql(t, key)} || '}}}}'" if c in key else f"'{text}}}}}'")
+        parts.append(f"select '{t}' as table_name, '[' || " + " || ',' || ".join(texts) + " || ']' as description")
+    return "\nunion all\n".join(parts)
+
+
+@register("table_json", ("P25", "A5"), _json_sql())
+def table_json(spark, sf_dir):
+    return PR.describe_json(_profiles(spark, sf_dir)).withColumnRenamed("_j", "description")
 
 
 @register("wrap_pages", ("M4", "P14"))

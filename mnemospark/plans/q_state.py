@@ -10,6 +10,9 @@ from ..operators import embed as E
 from ..operators import integrity as I
 from ..operators import relations as R
 from ..operators import search as S
+from ..schema import LONG_TERM_CHUNK_SECONDS
+from ..session import work_dir
+from ..sources.store import MessageStore
 from ..sources.tables import as_ntz, messages, table
 from .common import (SQL_CENTROIDS_CTE, SQL_DIST, SQL_MESSAGES_CTE, SQL_PROBE_CTE, label_centroids,
                      probe_vector, r6)
@@ -171,3 +174,60 @@ def hash_embed(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     w = E.hash_weights(d, "doc_id", "text")
     return w.select("doc_id", "bucket", r6("weight").alias("weight"))
+
+
+@register("history_rows", "A6", """
+select conv_id as thread_id, row_number() over (partition by conv_id order by turn) as position, turn as msg_id,
+       role, text from conversations
+""")
+def history_rows(spark, sf_dir):
+    return C.history_rows(C.from_turns(table(spark, sf_dir, "conversations")))
+
+
+_SQL_DENSE = f"""
+tok as (select id, unnest(regexp_split_to_array(lower(text), '[ \t\n\r]+')) as tok from src),
+bk as (select id, (('0x' || substr(md5(tok), 1, 8))::BIGINT) % {E.HASH_BUCKETS} as bucket, count(*) as n
+       from tok where tok <> '' group by all),
+w as (select id, (n / sqrt(sum(n * n) over (partition by id)))::FLOAT::DOUBLE as weight from bk),
+dense as (select id, {E.HASH_BUCKETS} as dims, count(*) as nonzero, round(sum(weight), 5) as total from w group by id)
+"""
+
+
+def _dense_columns():
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    known = F.col("embedding").isNotNull()
+    return [F.when(known, F.size("embedding")).alias("dims"),
+            F.when(known, F.size(F.filter("embedding", lambda x: x != 0))).cast("long").alias("nonzero"),
+            F.round(total, 5).alias("total")]
+
+
+@register("embed_dense", ("M1", "P10"), f"""
+with src as (select doc_id as id, text from documents), {_SQL_DENSE}
+select doc_id, dims, nonzero, total from documents left join dense on dense.id = documents.doc_id
+""")
+def embed_dense(spark, sf_dir):
+    """The vectors that the ingest stream stores."""
+    got = E.hash_embed(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return got.select("doc_id", *_dense_columns())
+
+
+REPLY_STRIDE, REPLY_START = 1 << 20, 1_704_067_200_000_000  # fixed: ids of a conversation, first time in micros
+
+
+@register("reply_store", ("M6", "M1", "P2", "F1", "S9"), f"""
+with src as (select conv_id * {REPLY_STRIDE} + turn as id, role, text from conversations
+             where role is not null and text is not null and (role = 'assistant' or text <> '')), {_SQL_DENSE}
+select src.id as trans_id, make_timestamp({REPLY_START} + src.id) as timestamp, role as speaker, text, dims, nonzero,
+       total from src left join dense using (id)
+""")
+def reply_store(spark, sf_dir):
+    """Messages and, by a second source, the replies to them: embedded,
+    checked and stored, then read back from the store."""
+    c = table(spark, sf_dir, "conversations")
+    key = F.col("conv_id") * REPLY_STRIDE + F.col("turn")
+    rows = c.select(key.alias("trans_id"), F.timestamp_micros(key + F.lit(REPLY_START)).alias("timestamp"),
+                    F.col("role").alias("speaker"), "text", key.alias("vec_id"), key.alias("seq"))
+    store = MessageStore(spark, work_dir(spark, "replies"), LONG_TERM_CHUNK_SECONDS, "hash-64", E.HASH_BUCKETS)
+    C.store_replies(store, I.keep_messages(rows, "assistant"), rows.filter("speaker = 'assistant'"), "s0",
+                    "hash-64", E.HASH_BUCKETS)
+    return as_ntz(store.read().select("trans_id", "timestamp", "speaker", "text", *_dense_columns()))

@@ -7,8 +7,11 @@ checkpoint folder (``session.work_dir``) and read the result back.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import integrity as I
 from ..operators import profile as PR
@@ -16,6 +19,7 @@ from ..schema import LONG_TERM_CHUNK_SECONDS, SHORT_TERM_CHUNK_SECONDS
 from ..session import work_dir
 from ..sources import csv_io
 from ..sources import store as ST
+from ..sources.export import export_run
 from ..sources.tables import as_ntz, messages, table
 from .common import SQL_MESSAGES_CTE, r6
 from .q_ingest import _SQL_BATCH, fault_batch
@@ -80,6 +84,31 @@ def export_gzip(spark, sf_dir):
                                        F.countDistinct("vec_id").alias("vectors"))
 
 
+EXPORT_DAY = dt.date(2024, 2, 1)
+
+
+@register("export_append", ("S5", "S4", "P21", "A1"), f"""
+with {SQL_MESSAGES_CTE}
+select 'messages_{EXPORT_DAY}' as name, case when trans_id % 2 = 0 then 1 else 2 end as run, trans_id, speaker, text
+from messages
+union all
+select 'messages_{EXPORT_DAY}', 2, trans_id, speaker, text from messages where trans_id % 4 = 0
+""")
+def export_append(spark, sf_dir):
+    """Two numbered runs of one export and one append to the newer run; the
+    name gets the date it lacks."""
+    root, rows = work_dir(spark, "runs"), _stamped(spark, sf_dir)
+    paths = [export_run(rows.filter(part), root, "messages", EXPORT_DAY, auto_increment=new)
+             for part, new in (("trans_id % 2 = 0", True), ("trans_id % 2 <> 0", True), ("trans_id % 4 = 0", False))]
+    out = None
+    for path in sorted(set(paths)):
+        part = csv_io.read_csv(spark, path).select(
+            X.append_date(F.lit("messages"), F.lit(EXPORT_DAY)).alias("name"),
+            F.lit(int(path.rsplit("=", 1)[1])).alias("run"), "trans_id", "speaker", "text")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("snapshot_manifest", ("S7", "S16"), f"""
 with {SQL_MESSAGES_CTE}
 select count(*) as rows, min(timestamp) as first_ts, max(timestamp) as last_ts, true as restored_equal

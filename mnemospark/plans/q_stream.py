@@ -13,6 +13,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import conversation as C
 from ..schema import SHORT_TERM_CHUNK_SECONDS
 from ..session import materialize, work_dir
 from ..sources.store import MessageStore
@@ -39,12 +40,24 @@ def _source(spark: SparkSession, path: str, schema, files_per_trigger: int) -> D
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-@register("stream_ingest", ("T1", "T4", "S10", "S11", "S12"), f"""
+_SINK_COLUMNS = ["seq", "trans_id", "timestamp", "speaker", "text", "vec_id", "embedding_model", "embedding_dim"]
+
+
+@register("stream_ingest", ("T1", "T4", "S9", "S10", "S11", "S12"), f"""
 with {_SQL_BATCH}
-select seq, trans_id, timestamp, speaker, text, vec_id, embedding_model, embedding_dim,
-       len(embedding) as emb_len from accepted
+select 'store' as sink, seq, trans_id, timestamp, speaker, text, vec_id, embedding_model, embedding_dim,
+       len(embedding) as emb_len, null as reason from accepted
+union all
+select 'all_records', seq, trans_id, timestamp, speaker, text, vec_id, embedding_model, embedding_dim,
+       len(embedding), null from batch
+union all
+select 'dead_letter', seq, trans_id, timestamp, speaker, text, vec_id, embedding_model, embedding_dim,
+       len(embedding), reject_reason from rejected
 """)
 def stream_ingest(spark, sf_dir):
+    """What the store, the all-records sink and the dead letter hold after
+    the stream.  A clash with an earlier micro-batch is one with the store;
+    the reasons are compared without that difference."""
     root = work_dir(spark, "stream-ingest")
     src = materialize(fault_batch(spark, sf_dir), "stream-ingest-input")  # computed once, cut into levels
     n = _write_levels(src, F.floor(F.col("seq") / REPLAY), [0, 1, 2, 3], f"{root}/src")
@@ -53,10 +66,17 @@ def stream_ingest(spark, sf_dir):
     q = J.ingest_stream(_source(spark, f"{root}/src", schema, n), store, f"{root}/dead_letter",
                         f"{root}/all_records", f"{root}/_checkpoint", "s0", BOT)
     q.awaitTermination()
-    stored = store.read()
-    return as_ntz(stored.select("seq", "trans_id", "timestamp", "speaker", "text", "vec_id", "embedding_model",
-                                "embedding_dim", F.when(F.col("embedding").isNotNull(), F.size("embedding"))
-                                .cast("long").alias("emb_len")))
+    none = F.lit(None).cast("string")
+    sinks = [("store", store.read(), none), ("all_records", spark.read.parquet(f"{root}/all_records"), none),
+             ("dead_letter", spark.read.parquet(f"{root}/dead_letter"),
+              F.regexp_replace("reject_reason", "_stored$", ""))]
+    out = None
+    for name, rows, reason in sinks:
+        part = rows.select(F.lit(name).alias("sink"), *_SINK_COLUMNS,
+                           F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("long").alias("emb_len"),
+                           reason.alias("reason"))
+        out = part if out is None else out.unionByName(part)
+    return as_ntz(out)
 
 
 @register("stream_dedupe", "T2", f"""
@@ -94,6 +114,24 @@ def stream_threads(spark, sf_dir):
     return J.latest_thread_state(spark, f"{root}/out")
 
 
+@register("stream_messages", ("T3", "A6", "M2"), """
+select conv_id as thread_id, row_number() over (partition by conv_id order by turn) as position, turn as msg_id,
+       role, text from conversations
+""")
+def stream_messages(spark, sf_dir):
+    root = work_dir(spark, "stream-messages")
+    c = C.from_turns(table(spark, sf_dir, "conversations"))
+    again = c.filter("msg_id = 0").withColumn("text", F.lit("first draft"))  # replaced by the later level
+    level = F.when(F.col("msg_id") == 0, 2).when(F.col("msg_id") < 3, 1).otherwise(2)
+    rows = c.withColumn("_lv", level).unionByName(again.withColumn("_lv", F.lit(0)).withColumn("seq", F.lit(-1).cast("long")))
+    n = _write_levels(rows, F.col("_lv"), [0, 1, 2], f"{root}/src")
+    schema = spark.read.parquet(f"{root}/src").schema
+    for _ in range(2):  # the second run starts from the checkpoint and adds nothing
+        J.thread_messages_stream(_source(spark, f"{root}/src", schema, n), f"{root}/out",
+                                 f"{root}/_checkpoint").awaitTermination()
+    return J.thread_messages(spark, f"{root}/out")
+
+
 @register("stream_chunks", ("T5", "S14"), f"""
 with {SQL_MESSAGES_CTE}
 select date_trunc('hour', timestamp) as window_start, count(*) as rows from messages group by 1

@@ -23,8 +23,10 @@ RUNS_SCHEMA = "run long, date string, rows long, created string"
 def last_run(spark, root: str, name: str) -> int | None:
     try:
         runs = spark.read.schema(RUNS_SCHEMA).json(f"{root.rstrip('/')}/{name}/_runs")
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":  # no run yet
+            return None
+        raise
     row = runs.agg(F.max("run").alias("r")).first()
     return None if row is None or row["r"] is None else int(row["r"])
 

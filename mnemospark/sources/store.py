@@ -198,6 +198,14 @@ class MessageStore:
             self._record_version(0, loaded.count(), "load", "append")
         return loaded, rejected, I.load_report(accepted, rejected, chunk_rows)
 
+    def promote(self, short_term: DataFrame, session_id: str, strict: bool = False,
+                ingest_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """Append the short-term rows that this store does not hold yet
+        (C4-C6, stored rows win).  Returns the rows added and the rest with
+        their reasons; ``strict`` adds all rows or none."""
+        cols = [c for c in STORE_FIELDS if c in short_term.columns] + ["seq"]
+        return self.append(short_term.select(*cols), session_id, strict=strict, ingest_id=ingest_id)
+
     def snapshot(self, dest: str, codec: str = "zstd") -> dict:
         """A compressed copy of the current version plus a manifest."""
         df = self.read()

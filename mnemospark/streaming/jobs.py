@@ -12,7 +12,8 @@
 * ``dedupe_stream`` (T2): bounded-state duplicate suppression on the
   unique key with ``dropDuplicatesWithinWatermark``.
 * ``thread_state_stream`` (T3): per-thread counters kept with
-  ``applyInPandasWithState`` (bounded state: three numbers per thread).
+  ``applyInPandasWithState`` (bounded state: three numbers per thread);
+  ``thread_messages_stream`` keeps the messages themselves.
 * ``chunk_count_stream`` (T5): rows per hour window.
 """
 
@@ -27,6 +28,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.window import Window
 
+from ..operators import conversation as CV
 from ..operators import embed as EM
 from ..operators import integrity as I
 from ..schema import UNIQUE_KEY
@@ -145,6 +147,26 @@ def thread_state_stream(source: DataFrame, sink: str, checkpoint: str,
     return _trigger(writer, available_now, None).start()
 
 
+def thread_messages_stream(source: DataFrame, sink: str, checkpoint: str,
+                           available_now: bool = True) -> StreamingQuery:
+    """T3, the messages: each trigger writes its rows (``thread_id, msg_id,
+    seq, role, text``) under its batch id, so a repeated batch rewrites
+    itself and no state is held.  ``thread_messages`` reads them."""
+    rows = source.select("thread_id", "msg_id", "seq", "role", "text")
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    writer = rows.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    return _trigger(writer, available_now, None).start()
+
+
+def thread_messages(spark, sink: str) -> DataFrame:
+    """The messages of each thread in order; a message id seen again has its
+    newest text (M2)."""
+    return CV.history_rows(CV.upsert(spark.read.parquet(sink).drop("batch")))
+
+
 def chunk_count_stream(source: DataFrame, sink: str, checkpoint: str, window: str = "1 hour",
                        delay: str = "40 days", available_now: bool = True) -> StreamingQuery:
     """T5: rows per time window as they arrive.  Each trigger writes the
