@@ -135,11 +135,10 @@ def json_records(df: DataFrame, json_col: str = "value") -> DataFrame:
 def _split_store_clashes(rows: DataFrame, store: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """C4/C5 against the store: ``(clashing rows with reason, the rest)``.
 
-    Semi and anti joins only, so a row is never duplicated.  Both keys hold
-    the time, so a clash lies in the row's own ``chunk``; when both sides
-    carry it, only the store's partitions of the batch's chunks are read
-    (``chunks_of``: a static partition filter, as Spark prunes no anti
-    join by itself).
+    Both keys hold the time, so a clash lies in the row's own ``chunk``; when
+    both sides carry it, only the store's partitions of the batch's chunks
+    are read (``chunks_of``: a static partition filter, as Spark prunes no
+    outer join by itself).
     """
     if store is None:
         return rows.limit(0).withColumn("reject_reason", F.lit(None).cast("string")), rows
@@ -151,11 +150,15 @@ def _split_store_clashes(rows: DataFrame, store: DataFrame | None) -> tuple[Data
     uk = uk_cols + (["chunk"] if by_chunk else [])
     if TEXT_DIGEST in rows.columns and TEXT_DIGEST not in store.columns:
         store = store.withColumn(TEXT_DIGEST, text_digest("text"))
-    spk, suk = store.select(*pk), store.select(*uk)
-    pk_clash = rows.join(spk, pk, "left_semi").withColumn("reject_reason", F.lit(R_PK_STORED))
-    rest = rows.join(spk, pk, "left_anti")
-    uk_clash = rest.join(suk, uk, "left_semi").withColumn("reject_reason", F.lit(R_UK_STORED))
-    return pk_clash.unionByName(uk_clash), rest.join(suk, uk, "left_anti")
+    # The store is read once for each key, and its keys are distinct, so that
+    # a left join adds no rows; the marks are written once for both outputs.
+    spk = store.select(*pk).distinct().withColumn("_by_pk", F.lit(R_PK_STORED))
+    suk = store.select(*uk).distinct().withColumn("_by_uk", F.lit(R_UK_STORED))
+    marked = rows.join(spk, pk, "left").join(suk, uk, "left")
+    marked = materialize(marked.withColumn("reject_reason", F.coalesce("_by_pk", "_by_uk"))
+                         .select(*rows.columns, "reject_reason"), "store-clash")
+    return (marked.filter(F.col("reject_reason").isNotNull()),
+            marked.filter(F.col("reject_reason").isNull()).drop("reject_reason"))
 
 
 #: Chunks named one by one in a partition filter.

@@ -159,3 +159,16 @@ def test_arrival_order_must_be_total(spark):
         rows(spark, [(2, 2, D1, "s", "y", VEC)]).withColumn("seq", F.lit(None).cast("long")))
     acc, rej = I.check_batch(c)
     assert acc.count() == 1 and rej.first().reject_reason == "null:seq"
+
+
+@pytest.mark.parametrize("named", [2000, 2])
+def test_store_check_reads_only_the_batchs_chunks(spark, tmp_path, named):
+    rows = spark.range(400).select(F.col("id").alias("trans_id"), (F.col("id") % 20).alias("chunk"))
+    rows.write.partitionBy("chunk").parquet(str(tmp_path / "store"))
+    batch = spark.createDataFrame([(3,), (4,), (5,)], "chunk long")
+    read = spark.read.parquet(str(tmp_path / "store")).filter(I.chunks_of(batch, named))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(chunk" in plan or "PartitionFilters: [chunk" in plan
+    assert {r["chunk"] for r in read.select("chunk").distinct().collect()} == {3, 4, 5}
+    nothing = spark.read.parquet(str(tmp_path / "store")).filter(I.chunks_of(batch.limit(0), named))
+    assert nothing.count() == 0

@@ -277,3 +277,16 @@ def test_read_errors_are_not_an_empty_store(spark, tmp_path, monkeypatch):
     store._record_version(0, 5, "create")
     with pytest.raises(Exception):
         store.read()
+
+
+def test_promote_strict_adds_all_or_none(spark):
+    root = work_dir(spark, "t-promote")
+    rows = I.stamp_provenance(messages(spark, SF_SMALL), "m", 64).withColumn("seq", F.col("trans_id"))
+    store = ST.MessageStore(spark, root, LONG_TERM_CHUNK_SECONDS, "m", 64)
+    store.append(rows.filter("trans_id < 50"), "long")
+    with pytest.raises(ValueError):
+        store.promote(rows.filter("trans_id between 40 and 60"), "short", strict=True)
+    assert store.read().count() == rows.filter("trans_id < 50").count()
+    added, rest = store.promote(rows.filter("trans_id between 40 and 60"), "short")
+    assert {r["reject_reason"] for r in rest.collect()} == {"pk_stored"}
+    assert added.count() + rows.filter("trans_id < 50").count() == store.read().count()
