@@ -1,7 +1,7 @@
 """Personal data: fixed patterns and information-theoretic sanitisation.
 
-The patterns find protected entities.  Words near an entity are terms that
-may give it away.  Over the whole corpus, a term's pointwise mutual
+The patterns find protected entities.  Words that share a document with an
+entity, wherever they stand, are terms that may give it away.  Over the whole corpus, a term's pointwise mutual
 information with an entity says how much of the entity's information the
 term carries: ``PMI = ln(N n(c,t) / (n(c) n(t)))`` against
 ``IC = ln(N / n(c))``, counted in documents.  A term that carries at least
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .base import materialize, row_key, text_or_empty, with_spans
 
@@ -29,8 +30,7 @@ PATTERNS = {
 }
 CARD = rf"[0-9][0-9{JOIN}]*[0-9]"
 TERM = r"\p{L}{3,}"
-#: Code points on both sides of an entity in which terms are sought.
-CONTEXT = 60
+#: Documents that must hold a term and an entity for the pair to be judged.
 MIN_DOCUMENTS = 3
 GENERALISE, REMOVE = 0.8, 0.95
 
@@ -76,81 +76,99 @@ def base_spans(docs: DataFrame, text: Column) -> DataFrame:
     return found.withColumn("_base", F.array_sort(spans)).drop(*PATTERNS, "card", "_joined")
 
 
-def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT) -> DataFrame:
+def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A table with a row for each document: its key ``_k1, _k2``, ``_id``,
-    ``_base`` and, for each span, the text on both sides (``_sides``)."""
+    ``_base`` and, where there are spans, the text (``_t``)."""
     text = text_or_empty(text_col)
     rows = base_spans(docs.select(F.col(id_col).alias("_id"), text.alias("_t"), *row_key(id_col, text_col)),
                       F.col("_t"))
-    sides = F.transform("_base", lambda s: F.struct(
-        F.greatest(s["start"] - context, F.lit(0)).alias("from"),
-        F.substr(F.col("_t"), F.greatest(s["start"] - context, F.lit(0)) + 1,
-                 F.least(s["start"], F.lit(context))).alias("before"),
-        F.substr(F.col("_t"), s["end"] + 1, F.lit(context)).alias("after")))
-    return materialize(rows.withColumn("_sides", sides).drop("_t"), "pii-entities")
-
-
-def nearby_terms(found: DataFrame, context: int = CONTEXT) -> DataFrame:
-    """``_k1, _k2, entity, term, start, end`` for each whole word near an
-    entity; words inside or touching a protected span do not count."""
-    near = (found.filter(F.size("_base") > 0)
-            .select("_k1", "_k2", "_base", F.explode(F.arrays_zip("_base", "_sides")).alias("x"))
-            .select("_k1", "_k2", "_base", F.concat_ws(":", "x._base.kind", F.lower("x._base.text")).alias("entity"),
-                    F.col("x._base.end").alias("after_at"), F.col("x._sides.from").alias("before_at"),
-                    F.col("x._sides.before").alias("before"), F.col("x._sides.after").alias("after")))
-    near = with_spans(with_spans(near, F.col("before"), {"left": TERM}), F.col("after"), {"right": TERM})
-    left = F.transform(F.filter("left", lambda s: (s["at"] > 0) | (F.col("before_at") == 0)), lambda s: F.struct(
-        (F.col("before_at") + s["at"]).alias("start"), s["text"].alias("text")))
-    right = F.transform(F.filter("right", lambda s: s["at"] + F.length(s["text"]) < context), lambda s: F.struct(
-        (F.col("after_at") + s["at"]).alias("start"), s["text"].alias("text")))
-    words = near.select("_k1", "_k2", "entity", "_base", F.explode(F.concat(left, right)).alias("w")).select(
-        "_k1", "_k2", "entity", "_base", F.lower("w.text").alias("term"), F.col("w.start").alias("start"),
-        (F.col("w.start") + F.length("w.text")).alias("end"))
-    return words.filter(~F.exists("_base", lambda b: (b["start"] <= F.col("end")) & (F.col("start") <= b["end"]))).drop(
-        "_base")
-
-
-def disclosure(docs: DataFrame, found: DataFrame, near: DataFrame, text_col: str = "text",
+    return materialize(rows.withColumn("_t", F.when(F.size("_base") > 0, F.col("_t"))), "pii-entities")
+
+
+def holders(found: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """The documents with an entity that ``min_documents`` documents hold:
+    key, ``_t`` and ``_classes``, structs ``(n_c, c1, c2)``.  Entities of the
+    same documents are one class, named by 128 bits over the documents'
+    keys: each term has the same count with all of them."""
+    held = (found.select("_k1", "_k2", F.explode("_base").alias("b"))
+            .select("_k1", "_k2", F.concat_ws(":", "b.kind", F.lower("b.text")).alias("entity")).distinct())
+    name = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "_k1", "_k2"))
+    of_entity = (held.groupBy("entity").agg(F.count("*").alias("n_c"), name(1).alias("c1"), name(2).alias("c2"))
+                 .filter(F.col("n_c") >= min_documents))
+    classes = (held.join(of_entity, "entity").groupBy("_k1", "_k2")
+               .agg(F.collect_set(F.struct("n_c", "c1", "c2")).alias("_classes")))
+    texts = found.filter(F.size("_base") > 0).select("_k1", "_k2", "_t").dropDuplicates(["_k1", "_k2"])
+    return materialize(texts.join(classes, ["_k1", "_k2"]), "pii-holders")
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), F.lower))
+
+
+def disclosure(docs: DataFrame, found: DataFrame, held: DataFrame, text_col: str = "text",
                min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """``entity, term, share``: the part of the entity's information that
-    the term carries, for pairs seen in ``min_documents`` documents."""
+    """``n_c, c1, c2, term, share``: the part of the information of a class's
+    entities that the term carries, for pairs that share ``min_documents``
+    documents, wherever they stand in them."""
     total = found.count()
-    together = (near.select("entity", "term", "_k1", "_k2").distinct().groupBy("entity", "term")
-                .agg(F.count("*").alias("n_ct")).filter(F.col("n_ct") >= min_documents))
-    of_entity = (found.select("_k1", "_k2", F.explode("_base").alias("b"))
-                 .select("_k1", "_k2", F.concat_ws(":", "b.kind", F.lower("b.text")).alias("entity")).distinct()
-                 .groupBy("entity").agg(F.count("*").alias("n_c")))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text_col)), F.lit(TERM), F.lit(0)))
     # The outer form keeps Spark from computing the words once more in a filter.
-    of_term = docs.select(F.explode_outer(words).alias("term")).filter("term is not null").groupBy("term").agg(F.count("*").alias("n_t"))
-    pairs = together.join(of_entity, "entity").join(of_term, "term")
+    together = (held.select("_classes", _terms(F.col("_t")).alias("w"))
+                .select(F.explode_outer("_classes").alias("c"), "w").select("c.*", F.explode_outer("w").alias("term"))
+                .filter("term is not null").groupBy("n_c", "c1", "c2", "term")
+                .agg(F.count("*").alias("n_ct")).filter(F.col("n_ct") >= min_documents))
+    of_term = (docs.select(F.explode_outer(_terms(text_or_empty(text_col))).alias("term")).filter("term is not null")
+               .groupBy("term").agg(F.count("*").alias("n_t")))
     n = F.lit(float(max(total, 1)))
     pmi = F.log(n * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
     ic = F.log(n / F.col("n_c"))
-    return pairs.select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)).alias("share"))
+    return together.join(of_term, "term").select(
+        "n_c", "c1", "c2", "term", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)).alias("share"))
+
+
+def places(held: DataFrame, marks: DataFrame) -> DataFrame:
+    """``_k1, _k2, start, end, share`` for every whole word of a document
+    that is one of its terms in ``marks``."""
+    texts = held.join(marks.select("_k1", "_k2").distinct(), ["_k1", "_k2"])
+    cut = texts.select("_k1", "_k2", F.regexp_extract_all("_t", F.lit(TERM), F.lit(0)).alias("hits"),
+                       F.transform(F.split("_t", TERM, -1), F.length).alias("gaps"))
+    pairs = F.zip_with(F.slice("gaps", F.lit(1), F.size("hits")), F.col("hits"),
+                       lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    # A window and no fold over the array, whose time grows with the square.
+    before = Window.partitionBy("_k1", "_k2").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    words = (cut.select("_k1", "_k2", F.posexplode(pairs).alias("i", "w"))
+             .select("_k1", "_k2", F.lower("w.hit").alias("term"), F.length("w.hit").alias("n"),
+                     F.sum(F.col("w.gap") + F.length("w.hit")).over(before).cast("int").alias("end")))
+    return words.join(marks, ["_k1", "_k2", "term"]).select(
+        "_k1", "_k2", (F.col("end") - F.col("n")).alias("start"), "end", "share")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE,
-         remove: float = REMOVE, min_documents: int = MIN_DOCUMENTS, context: int = CONTEXT) -> DataFrame:
+         remove: float = REMOVE, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """One row for each row of ``docs``: id, key ``_k1, _k2`` and
     ``pii_spans``, structs ``(kind, start, end, text)`` by kind, then start.
 
     Kinds 0 to 3 are the patterns' spans; kind 4 are disclosing terms, with
-    the text put in their place.  Positions count code points, ends are
-    exclusive.  Null and empty texts have no spans.  Rows that repeat id and
-    text count as one document and share the spans.  Columns other than the
-    id are left out, so their names cannot clash.
+    the text put in their place, at each place of a document that holds the
+    entity; words inside or touching a pattern's span are no terms.
+    Positions count code points, ends are exclusive.  Null and empty texts
+    have no spans.  Rows that repeat id and text count as one document and
+    share the spans.  Columns other than the id are left out, so their names
+    cannot clash.
     """
-    found = entities(docs, id_col, text_col, context)
-    near = materialize(nearby_terms(found, context), "pii-terms")
-    shares = disclosure(docs, found, near, text_col, min_documents).filter(F.col("share") >= generalise)
+    found = entities(docs, id_col, text_col)
+    held = holders(found, min_documents)
+    shares = (disclosure(docs, found, held, text_col, min_documents).filter(F.col("share") >= generalise)
+              .groupBy("n_c", "c1", "c2").agg(F.collect_list(F.struct("term", "share")).alias("x")))
+    marks = (held.select("_k1", "_k2", F.explode("_classes").alias("c")).select("_k1", "_k2", "c.*")
+             .join(shares, ["n_c", "c1", "c2"]).select("_k1", "_k2", F.explode("x").alias("x"))
+             .groupBy("_k1", "_k2", F.col("x.term").alias("term")).agg(F.max("x.share").alias("share")))
+    marks = materialize(marks, "pii-terms")
     mark = F.when(F.col("share") >= remove, F.lit("")).otherwise(F.lit("[TERM]"))
-    terms = (near.join(shares, ["entity", "term"])
-             .groupBy("_k1", "_k2", "start", "end").agg(F.max("share").alias("share"))
-             .groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct(
-                 F.lit(4).alias("kind"), "start", "end", mark.alias("text")))).alias("_terms")))
-    spans = F.when(F.col("_terms").isNull(), F.col("_base")).otherwise(F.concat("_base", "_terms"))
-    return found.join(terms, ["_k1", "_k2"], "left").select(
+    terms = places(held, marks).groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct(
+        F.lit(4).alias("kind"), "start", "end", mark.alias("text")))).alias("_terms"))
+    apart = F.filter("_terms", lambda t: ~F.exists("_base", lambda b: (b["start"] <= t["end"]) & (t["start"] <= b["end"])))
+    spans = F.when(F.col("_terms").isNull(), F.col("_base")).otherwise(F.concat("_base", apart))
+    return found.drop("_t").join(terms, ["_k1", "_k2"], "left").select(
         F.col("_id").alias(id_col), "_k1", "_k2", spans.alias("pii_spans"))
 
 

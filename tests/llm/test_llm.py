@@ -183,6 +183,19 @@ def test_pii_disclosing_terms(spark):
     assert clean[105] == dict(rows)[105]
 
 
+def test_pii_disclosing_terms_far_from_the_entity(spark):
+    """Terms count, and go, wherever they stand in a document of the entity."""
+    gap = " common words of a longer text" * 20
+    rows = [(i, f"Zorro met z@x.org here.{gap} Later Zorro left for İzmir{i}.") for i in range(2)]
+    rows += [(2, f"We met z@x.org.{gap} Then came Zorro and zorro@y.org"), (3, f"Call z@x.org.{gap} Ask Zorro")]
+    rows += [(100 + i, f"somebody else {i} met here.{gap} Later we call, ask and left") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [t[s["start"]:s["end"]] for s in r["pii_spans"] if s["kind"] == 4]
+           for r in pii.find(docs).collect() for t in [dict(rows)[r["doc_id"]]]}
+    assert [got[i] for i in range(4)] == [["Zorro"] * 2, ["Zorro"] * 2, ["Zorro"], ["Zorro"]]
+    assert not any(got[i] for i in got if i >= 100)
+
+
 def test_merkle(docs, texts, empty):
     rows = merkle.compare_neighbours(docs).collect()
     order = sorted(((i, t or "") for i, t in texts), key=lambda x: (x[0] is not None, x[0] or 0))
