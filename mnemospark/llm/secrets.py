@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import row_key, text_or_empty, with_spans
+from .base import text_or_empty, with_spans
 
 #: Fixed patterns.
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -24,9 +24,6 @@ PATTERNS = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{
 KINDS = ["assign", "access", "hex", "markov"]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
-#: Bounds of the labelled samples: rows of each class, by hash of the string.
-MAX_SAMPLES = 20_000
-SAMPLE_DOCUMENTS = 4_000
 #: A run is a secret from this ratio on, in all and for each transition.
 LEAST_TOTAL, LEAST_MEAN = math.log(1e6), 0.5
 
@@ -44,20 +41,18 @@ def base_spans(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def samples(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """Labelled strings ``s, secret`` from the documents with the smallest
-    hashes: values the patterns found, and other runs of four and more
-    letters, digits and underscores."""
-    chosen = docs.select(F.col(id_col).alias("_id"), text.alias("_t")).filter(F.length("_t") > 0)
-    keyed = chosen.select("_t", *row_key("_id", "_t"))
-    few = keyed.select("_k1", "_k2").orderBy("_k2", "_k1").limit(SAMPLE_DOCUMENTS).distinct()
-    quiet = (keyed.join(F.broadcast(few), ["_k1", "_k2"])  # at most SAMPLE_DOCUMENTS narrow rows
-             .select(F.regexp_replace("_t", "|".join(f"(?:{p})" for p in PATTERNS.values()), " ").alias("_t"))
-             .select(F.explode(F.regexp_extract_all("_t", F.lit(r"[A-Za-z0-9_]{4,}"), F.lit(0))).alias("s"))
-             .distinct().orderBy(F.xxhash64("s"), "s").limit(MAX_SAMPLES))
+    """Labelled strings ``s, secret`` from all documents, each string of a
+    class once: values the patterns found, and other runs of four and more
+    letters, digits and underscores.  Copies of a text add nothing, so its
+    id does not matter."""
+    chosen = docs.select(text.alias("_t")).filter(F.length("_t") > 0)
+    other = F.regexp_replace("_t", "|".join(f"(?:{p})" for p in PATTERNS.values()), " ")
+    runs = F.array_distinct(F.regexp_extract_all(other, F.lit(r"[A-Za-z0-9_]{4,}"), F.lit(0)))
+    # The outer form keeps Spark from computing the runs once more in a filter.
+    quiet = chosen.select(F.explode_outer(runs).alias("s")).filter("s is not null").distinct()
     hits = base_spans(chosen.filter(F.col("_t").rlike("|".join(f"(?:{p})" for p in PATTERNS.values()))), F.col("_t"))
     value = F.when(F.col("x.kind") == 0, F.regexp_extract("x.text", ASSIGN, 2)).otherwise(F.col("x.text"))
-    loud = (hits.select(F.explode("_base").alias("x")).select(value.alias("s")).distinct()
-            .orderBy(F.xxhash64("s"), "s").limit(MAX_SAMPLES))
+    loud = hits.select(F.explode("_base").alias("x")).select(value.alias("s")).distinct()
     return quiet.withColumn("secret", F.lit(0)).unionByName(loud.withColumn("secret", F.lit(1)))
 
 
@@ -70,8 +65,9 @@ def train(samples: DataFrame, smoothing: float = 0.5, backoff: float = 5.0) -> l
     pairs = (samples.filter(F.length("s") > 1)
              .select("secret", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1),
                                                      lambda i: F.substr(F.col("s"), i, F.lit(2)))).alias("p"))
-             .select("secret", place(F.substring("p", 1, 1)).alias("a"), place(F.substring("p", 2, 1)).alias("b"))
-             .filter("a >= 0 and b >= 0").groupBy("secret", "a", "b").count().collect())
+             .groupBy("secret", "p").count()
+             .select("secret", place(F.substring("p", 1, 1)).alias("a"), place(F.substring("p", 2, 1)).alias("b"), "count")
+             .filter("a >= 0 and b >= 0").collect())
     seen = {(r["secret"], r["a"], r["b"]): r["count"] for r in pairs}
     rows: dict[tuple[int, int], int] = {}
     single: dict[tuple[int, int], int] = {}

@@ -144,6 +144,16 @@ def test_secrets(spark, docs, texts, empty):
     assert secrets.scan(empty, secrets.train(secrets.samples(empty, "doc_id", F.col("text")))).count() == 0
 
 
+def test_secret_samples_are_all_strings(spark):
+    """Neither many copies of a text nor many strings push others out."""
+    rows = [(i, " ".join(f"word{i}x{j}" for j in range(250))) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lowest = docs.orderBy(F.xxhash64("text", F.col("text").isNull())).select("text").limit(1)
+    copies = spark.range(1000, 5100).withColumnRenamed("id", "doc_id").crossJoin(lowest)
+    got = secrets.samples(docs.unionByName(copies), "doc_id", F.col("text")).filter("secret = 0")
+    assert {r["s"] for r in got.collect()} == {w for _, t in rows for w in t.split()} and got.count() == 25_000
+
+
 def _pii_spans(t):
     def luhn(d):
         return sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for k, c in enumerate(reversed(d))) % 10 == 0
