@@ -43,6 +43,19 @@ def test_thread_state_matches_batch(spark):
     assert got == want
 
 
+def test_chunk_counts_keep_rows_that_come_months_late(spark):
+    root = work_dir(spark, "t-chunks")
+    rows = [(0, "2024-06-01 00:10:00"), (0, "2024-01-05 07:00:00"), (1, "2024-01-20 07:05:00"),
+            (1, "2024-01-05 07:30:00"), (2, "2024-01-20 07:59:59"), (2, "2024-06-01 00:20:00")]
+    df = spark.createDataFrame(rows, "lv int, t string").withColumn("timestamp", F.to_timestamp("t"))
+    n = _write_levels(df, F.col("lv"), [0, 1, 2], f"{root}/src")
+    schema = spark.read.parquet(f"{root}/src").schema
+    for _ in range(2):  # the second run starts from the checkpoint and adds nothing
+        J.chunk_count_stream(_source(spark, f"{root}/src", schema, n), f"{root}/out", f"{root}/ck").awaitTermination()
+    got = J.latest_chunk_counts(spark, f"{root}/out").select(F.date_format("window_start", "MM-dd HH"), "rows")
+    assert {tuple(r) for r in got.collect()} == {("06-01 00", 2), ("01-05 07", 2), ("01-20 07", 2)}
+
+
 def test_arrival_numbers_are_dense_at_any_partition_count(spark):
     rows = spark.range(1000).repartition(300)
     got = [r["seq"] for r in J._numbered(rows, 3).collect()]
