@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert, line_dedup, merkle, packing, pii, quality, secrets, simhash, suffix_array
+from . import (decontaminate, hilbert, line_dedup, manifest, maxscore, merkle, packing, pii, quality, repair, secrets,
+               simhash, suffix_array)
 from .base import documents
+from .oracles import MANIFEST_SQL, MAXSCORE_SQL, REPAIR_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -108,3 +110,35 @@ def op10_line_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"),
                       F.col("n_removed").cast("long").alias("n_removed"), runs.alias("runs"),
                       F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@_query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents by source, each row checked against the root
+    after tampering.  Null values are fields of their own, empty and very
+    long texts are hashed whole, repeated rows are leaves of their own; an
+    empty table gives no rows."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    return manifest.verify(documents(spark, sf_dir), fields, "source", "doc_id", "text")
+
+
+@_query
+def op12_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows of every vector whose id 100 divides, against all
+    rows.  Null and non-finite vectors take no part; ties go to the smaller
+    id; an empty table gives no rows."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return maxscore.top_k(vectors, lambda i: i % 100 == 0)
+
+
+@_query
+def op13_glr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cost, audit and repaired digest of every conversation after
+    damage.  Null values count as one space, null turns come first; a
+    conversation without rows has zeros; an empty table gives no rows."""
+    return repair.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLE["op11_merkle_manifest"] = MANIFEST_SQL
+ORACLE["op12_maxscore_topk"] = MAXSCORE_SQL
+ORACLE["op13_glr_repair"] = REPAIR_SQL
