@@ -83,6 +83,44 @@ def adhoc_sql(spark, sf_dir):
     return AD.run_readonly_sql(spark, ADHOC_SQL, views)
 
 
+# Fixed: queries over the one view ``messages``, with the rows they give or
+# None where they must be refused.
+GUARDED = [
+    ("SELECT trans_id FROM messages", "select count(*) from messages"),
+    ("SELECT speaker FROM IDENTIFIER('messages') GROUP BY speaker", "select count(distinct speaker) from messages"),
+    ("WITH w AS (SELECT DISTINCT text FROM messages) SELECT * FROM w", "select count(distinct text) from messages"),
+    ("SELECT * FROM embeddings", None),
+    ("SELECT * FROM IDENTIFIER('embeddings')", None),
+    ("WITH embeddings AS (SELECT * FROM embeddings) SELECT * FROM embeddings", None),
+    ("SELECT (SELECT count(*) FROM embeddings) AS n FROM messages", None),
+    ("SELECT IDENTIFIER('java_method')('java.lang.System', 'lineSeparator') AS x FROM messages", None),
+    ("DELETE FROM messages", None),
+    ("SELECT 1; DROP VIEW messages", None),
+]
+
+
+@register("adhoc_guard", ("F5", "F6", "K8"), f"""
+with {SQL_MESSAGES_CTE}
+""" + "\nunion all\n".join(
+    f"select {i} as number, {'true' if sql is None else 'false'} as refused, "
+    f"{'cast(null as bigint)' if sql is None else f'({sql})'} as rows" for i, (_, sql) in enumerate(GUARDED)))
+def adhoc_guard(spark, sf_dir):
+    """Which texts run, with their rows, when only ``messages`` is given and
+    the caller's session holds ``embeddings`` too."""
+    views = {"messages": messages(spark, sf_dir)}
+    table(spark, sf_dir, "embeddings").createOrReplaceTempView("embeddings")
+    try:
+        out = []
+        for i, (text, _) in enumerate(GUARDED):
+            try:
+                out.append((i, False, AD.run_readonly_sql(spark, text, views).count()))
+            except AD.ReadOnlyError:
+                out.append((i, True, None))
+    finally:
+        spark.catalog.dropTempView("embeddings")
+    return spark.createDataFrame(out, "number int, refused boolean, rows long")
+
+
 # Fixed: the given tables with their declared types and keys.
 PROFILED = {
     "region": ("r_regionkey int, r_name string", "r_regionkey"),
