@@ -7,26 +7,30 @@ at a time in arrival order (``seq``), so a row is accepted when no
 or its unique key ``(timestamp, speaker, text)``; a rejected row blocks
 nothing.  Stored rows always win over the batch.
 
-It is computed in rounds, all distributed:
-
-1. per key, the smallest ``seq`` among the undecided rows (two partial
-   aggregates; a hot key is combined map-side);
-2. a row that is the smallest for both of its keys is accepted (every
-   earlier row with one of its keys is already decided, and rejected);
-3. undecided rows sharing a key with a row accepted in this round are
-   rejected (``pk`` or ``unique``);
-4. the rest go to the next round.
-
-Rows without any duplicate are decided in round one; each chain of
-replays adds a round.  Each round's status is written as a table in the
-session's shared folder, which cuts the lineage and lets a lost
-executor recompute from the last round only.
+Rows that are alone on both keys are accepted and shuffled no further.  The
+rest (the *contested* rows) fall into components that share no key:
+
+1. both keys hold the time, so the contested rows of one time are a union of
+   components; they are folded once, in arrival order, by one streaming pass
+   that holds the keys of one time only;
+2. a time with more than ``FOLD_ROWS`` contested rows first has every row
+   decided that is the smallest for both of its keys, with all that share a
+   key with it (partial aggregates: a hot key is combined map-side, and a key
+   with a third of all rows is decided here);
+3. what is left there are chains.  Their components are numbered by hooking
+   and pointer jumping on the key graph, in a number of rounds that grows
+   with the logarithm of a chain's length, and each is folded once.
+
+Decisions are written as a narrow table of rejects in the session's shared
+folder; the full rows meet it once, and as it is small Spark broadcasts it
+and leaves the full rows where they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -190,48 +194,116 @@ def _round(r: DataFrame, uk: list[str]) -> DataFrame:
     return flagged.withColumn("_status", status).drop("_wpk", "_wuk")
 
 
-def resolve_keys(rows: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """C4-C6 within a batch.  ``rows`` holds ``seq`` and the key columns
-    (pass only those: every round shuffles them; the text may be given as
-    its digest column) and passed every row rule.  Returns ``(accepted, rejected, rounds)``;
-    rejected rows carry ``reject_reason``.  Runs until no row is left
-    undecided (``max_rounds`` only for tests; exceeding it raises)."""
-    uk = UK_DIGEST if TEXT_DIGEST in rows.columns else UNIQUE_KEY
-    accepted, rejected = [], []
-    undecided = rows
+#: Contested rows of one time that are folded without being told apart.
+FOLD_ROWS = 100_000
+
+
+def _contested(rows: DataFrame, uk: list[str]) -> DataFrame:
+    """Rows that share a key with another one.  The shared keys are the
+    small side of both joins."""
+    shared_pk = rows.groupBy(*PRIMARY_KEY).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(
+        *PRIMARY_KEY, F.lit(True).alias("_p"))
+    shared_uk = rows.groupBy(*uk).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*uk, F.lit(True).alias("_u"))
+    return (rows.join(shared_pk, PRIMARY_KEY, "left").join(shared_uk, uk, "left")
+            .filter("_p or _u").drop("_p", "_u"))
+
+
+def _components(rows: DataFrame, uk: list[str]) -> tuple[DataFrame, int]:
+    """``rows`` with ``_group``: the least ``seq`` of the component of rows
+    linked by shared keys.  Each round a row's label falls to the least label
+    around it, the row that is its old label follows, and labels jump to
+    their own label, so the rounds grow with the logarithm of a chain."""
+    at = rows.withColumn("_group", F.col("seq"))
     rounds = 0
     while True:
         rounds += 1
-        status = materialize(_round(undecided, uk), "key-round")
-        accepted.append(status.filter(F.col("_status") == "accept").drop("_status"))
-        rejected.append(status.filter(F.col("_status").isin(R_PK, R_UK))
-                        .withColumnRenamed("_status", "reject_reason"))
-        undecided = status.filter(F.col("_status").isNull()).drop("_status")
-        if undecided.isEmpty():
-            break
-        if max_rounds is not None and rounds >= max_rounds:
-            raise RuntimeError(f"keys still undecided after {rounds} rounds")
-    acc = accepted[0]
-    for a in accepted[1:]:
-        acc = acc.unionByName(a)
-    rej = rejected[0]
-    for x in rejected[1:]:
-        rej = rej.unionByName(x)
-    return acc, rej, rounds
+        by_pk = at.groupBy(*PRIMARY_KEY).agg(F.min("_group").alias("_a"))
+        by_uk = at.groupBy(*uk).agg(F.min("_group").alias("_b"))
+        seen = at.join(by_pk, PRIMARY_KEY).join(by_uk, uk).withColumn("_m", F.least("_a", "_b")).drop("_a", "_b")
+        # the row that a label names takes over what its members have seen
+        hooks = seen.groupBy(F.col("_group").alias("seq")).agg(F.min("_m").alias("_h"))
+        met = materialize(seen.join(hooks, "seq", "left").withColumn("_to", F.least("_m", F.coalesce("_h", "_m")))
+                          .drop("_m", "_h"), "key-labels")
+        jump = met.select(F.col("seq").alias("_to"), F.col("_to").alias("_j"))
+        done = materialize(met.join(jump, "_to", "left").withColumn("_new", F.least("_to", F.coalesce("_j", "_to")))
+                           .drop("_to", "_j"), "key-labels")
+        if done.filter("_new < _group").isEmpty():
+            return done.drop("_new"), rounds
+        at = done.withColumn("_group", F.col("_new")).drop("_new")
+
+
+def _fold(rows: DataFrame, uk: list[str]) -> DataFrame:
+    """Rejects (``seq, reject_reason``) of rows inserted one at a time: each
+    ``_group`` passes in arrival order through one task, which holds the
+    keys accepted so far in it."""
+    n_pk = len(PRIMARY_KEY)
+    narrow = rows.select("_group", "seq", *PRIMARY_KEY, *uk).repartition("_group").sortWithinPartitions("_group", "seq")
+
+    def run(batches):
+        group, held = None, (set(), set())
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            seqs, reasons = [], []
+            for g, seq, *keys in zip(*columns):
+                if g != group:
+                    group, held = g, (set(), set())
+                pk, unique = tuple(keys[:n_pk]), tuple(keys[n_pk:])
+                if pk in held[0]:
+                    seqs.append(seq)
+                    reasons.append(R_PK)
+                elif unique in held[1]:
+                    seqs.append(seq)
+                    reasons.append(R_UK)
+                else:
+                    held[0].add(pk)
+                    held[1].add(unique)
+            yield pa.RecordBatch.from_arrays([pa.array(seqs, batch.column(1).type), pa.array(reasons, pa.string())],
+                                             names=["seq", "reject_reason"])
+    seq_type = rows.schema["seq"].dataType.simpleString()
+    return narrow.mapInArrow(run, f"seq {seq_type}, reject_reason string")
+
+
+def key_rejects(rows: DataFrame) -> tuple[DataFrame, int]:
+    """C4-C6 within a batch: ``(seq, reject_reason)`` of the rows that are
+    not accepted, written, and the rounds taken.  ``rows`` holds ``seq`` and
+    the key columns (the text may be given as its digest) and passed every
+    row rule."""
+    uk = UK_DIGEST if TEXT_DIGEST in rows.columns else UNIQUE_KEY
+    contested = materialize(_contested(rows.select("seq", *dict.fromkeys(PRIMARY_KEY + uk)), uk), "contested")
+    crowded = contested.groupBy("timestamp").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > FOLD_ROWS)
+    crowded = materialize(crowded.select("timestamp", F.lit(True).alias("_crowded")), "crowded")
+    if crowded.isEmpty():
+        return materialize(_fold(contested.withColumn("_group", F.xxhash64("timestamp")), uk), "key-rejects"), 1
+    marked = contested.join(crowded, "timestamp", "left")
+    few = marked.filter(F.col("_crowded").isNull()).drop("_crowded").withColumn("_group", F.xxhash64("timestamp"))
+    many = marked.filter(F.col("_crowded")).drop("_crowded")
+    status = materialize(_round(many, uk), "key-round")
+    sure = status.filter(F.col("_status") == "accept").drop("_status")
+    lost = status.filter(F.col("_status").isin(R_PK, R_UK)).withColumnRenamed("_status", "reject_reason")
+    chains, rounds = _components(status.filter(F.col("_status").isNull()).drop("_status"), uk)
+    folded = materialize(_fold(few.unionByName(chains), uk), "key-folded")
+    held = sure.unionByName(chains.drop("_group").join(folded, "seq", "left_anti"))
+    rejects = _pk_first(lost, held).select("seq", "reject_reason").unionByName(folded)
+    return materialize(rejects, "key-rejects"), rounds + 1
+
+
+def resolve_keys(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """``(accepted, rejected, rounds)`` of ``rows``, see ``key_rejects``."""
+    rejects, rounds = key_rejects(rows)
+    return rows.join(rejects, "seq", "left_anti"), rows.join(rejects, "seq"), rounds
 
 
 def check_batch(batch: DataFrame, store: DataFrame | None = None, unknown_col: str | None = None,
-                corrupt_col: str | None = None, materialize_out: bool = False) -> tuple[DataFrame, DataFrame]:
+                corrupt_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Full ingest check of one batch (C1-C6) against an optional store.
 
     ``batch`` has the store columns and ``seq``.  Returns ``(accepted,
     rejected)``; ``accepted + rejected`` is the whole batch, rejected
     rows keep their columns and add ``reject_reason`` (the dead letter).
 
-    The key rounds run on the narrow key columns only; the decision of
-    every row is joined back to the full rows once, by ``seq``.  With
-    ``materialize_out`` the decided rows are written once so that both
-    outputs read the same files (use it when both are consumed).
+    The keys are decided on narrow columns only.  The checked rows and the
+    rejects are written tables, so both outputs stay as decided whatever is
+    appended to the store later, and neither is computed twice.
     """
     if "seq" not in batch.columns:
         raise ValueError("the batch needs a `seq` column (arrival order)")
@@ -251,31 +323,28 @@ def check_batch(batch: DataFrame, store: DataFrame | None = None, unknown_col: s
     if not keys.groupBy("seq").count().filter(F.col("count") > 1).isEmpty():
         raise ValueError("`seq` values repeat within the batch; arrival order must be unique")
     stored_clash, candidates = _split_store_clashes(keys, store)
-    acc_keys, key_rejects, _ = resolve_keys(candidates.select("seq", *DIGEST_KEY_COLS))
-    key_rejected = _pk_first(stored_clash.select("seq", *PRIMARY_KEY, "reject_reason")
-                             .unionByName(key_rejects.select("seq", *PRIMARY_KEY, "reject_reason")),
-                             acc_keys)
-    decisions = (acc_keys.select("seq", F.lit(None).cast("string").alias("reject_reason"))
-                 .unionByName(key_rejected.select("seq", "reject_reason")))
+    rejects, _ = key_rejects(candidates)
+    if store is not None:
+        held = candidates.join(rejects, "seq", "left_anti")
+        clashes = _pk_first(stored_clash.select("seq", *PRIMARY_KEY, "reject_reason"), held)
+        rejects = materialize(rejects.unionByName(clashes.select("seq", "reject_reason")), "rejects")
     cols = [c for c in batch.columns if c not in drop]
-    decided = good.join(decisions, "seq").select(*cols, "reject_reason")
-    if materialize_out:
-        decided = materialize(decided, "decided")
-    accepted = decided.filter(F.col("reject_reason").isNull()).select(*cols)
+    accepted = good.join(rejects, "seq", "left_anti").select(*cols)
     rejected = (bad_rows.select(*cols, "reject_reason")
-                .unionByName(decided.filter(F.col("reject_reason").isNotNull())))
+                .unionByName(good.join(rejects, "seq").select(*cols, "reject_reason")))
     return accepted, rejected
 
 
 def _pk_first(rejected: DataFrame, accepted: DataFrame) -> DataFrame:
     """Reason order of a one-at-a-time insert: the primary key is checked
     before the unique key.  A row rejected for its unique key whose
-    primary key is held by an earlier accepted row is a ``pk`` reject
-    (rounds can decide the unique clash first).  Accepted rows have
-    distinct primary keys, so the join adds no rows."""
-    held = accepted.select(*PRIMARY_KEY, F.col("seq").alias("_aseq"))
+    primary key is held by an earlier accepted row is a ``pk`` reject.
+    Accepted rows have distinct primary keys, so the join adds no rows; only
+    those that share one with such a reject take part."""
     uk_rej = rejected.filter(F.col("reject_reason").isin(R_UK, R_UK_STORED))
     other = rejected.filter(~F.col("reject_reason").isin(R_UK, R_UK_STORED))
+    held = (accepted.join(uk_rej.select(*PRIMARY_KEY).distinct(), PRIMARY_KEY, "left_semi")
+            .select(*PRIMARY_KEY, F.col("seq").alias("_aseq")))
     fixed = (uk_rej.join(held, PRIMARY_KEY, "left")
              .withColumn("reject_reason", F.when(F.col("_aseq") < F.col("seq"), F.lit(R_PK))
                          .otherwise(F.col("reject_reason")))

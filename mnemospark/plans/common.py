@@ -70,7 +70,7 @@ def sql_ip(a: str, b: str) -> str:
 
 SQL_DIST = {"cosine": sql_cos, "l2": sql_l2, "ip": sql_ip}
 
-SQL_MESSAGES_CTE = f"messages as ({MESSAGES_SQL.strip()})"
+SQL_MESSAGES_CTE = f"messages as materialized ({MESSAGES_SQL.strip()})"
 SQL_PROBE_CTE = (
     "q as (select list_transform(range(1, len(a.embedding) + 1), "
     "lambda i: a.embedding[i]::DOUBLE + 0.5 * b.embedding[i]::DOUBLE) as qv "

@@ -119,7 +119,7 @@ raw as (
                    embedding_dim, NULL, seq + {2 * REPLAY} from b where event_type = 'view'
   union all select trans_id + {7 * ID_SHIFT}, timestamp, speaker, '', vec_id, embedding_model,
                    embedding_dim, embedding, seq + {3 * REPLAY} from b where event_type = 'view'),
-batch as (select * from raw where not (text is not distinct from '' or speaker is not distinct from '{BOT}')),
+batch as materialized (select * from raw where not (text is not distinct from '' or speaker is not distinct from '{BOT}')),
 chk as (select *, case
     when trans_id is null then 'null:trans_id' when timestamp is null then 'null:timestamp'
     when speaker is null then 'null:speaker' when text is null then 'null:text'
@@ -130,7 +130,7 @@ chk as (select *, case
 g1 as (select * from chk where rr is null),
 w1 as (select *, seq = min(seq) over (partition by trans_id, timestamp)
                  and seq = min(seq) over (partition by timestamp, speaker, text) as w from g1),
-s1 as (select *, case when w then 'accept'
+s1 as materialized (select *, case when w then 'accept'
                       when bool_or(w) over (partition by trans_id, timestamp) then 'pk'
                       when bool_or(w) over (partition by timestamp, speaker, text) then 'unique' end as st from w1),
 g2 as (select * exclude (w, st) from s1 where st is null),
@@ -139,17 +139,16 @@ w2 as (select *, seq = min(seq) over (partition by trans_id, timestamp)
 s2 as (select *, case when w then 'accept'
                       when bool_or(w) over (partition by trans_id, timestamp) then 'pk'
                       when bool_or(w) over (partition by timestamp, speaker, text) then 'unique' end as st from w2),
-accepted as (select * exclude (w, st, rr) from s1 where st = 'accept'
+accepted as materialized (select * exclude (w, st, rr) from s1 where st = 'accept'
              union all select * exclude (w, st, rr) from s2 where st = 'accept'),
 keyrej as (select * exclude (w, st, rr), st as reject_reason from s1 where st in ('pk', 'unique')
            union all select * exclude (w, st, rr), st from s2 where st in ('pk', 'unique')),
 rejected as (select * exclude (rr), rr as reject_reason from chk where rr is not null
              union all
              select k.* exclude (reject_reason),
-                    case when k.reject_reason = 'unique' and exists (
-                           select 1 from accepted a where a.trans_id = k.trans_id and a.timestamp = k.timestamp
-                           and a.seq < k.seq) then 'pk' else k.reject_reason end
-             from keyrej k)
+                    case when k.reject_reason = 'unique' and a.seq < k.seq then 'pk' else k.reject_reason end
+             from keyrej k left join (select trans_id, timestamp, seq from accepted) a
+               on a.trans_id = k.trans_id and a.timestamp = k.timestamp)
 """
 
 
@@ -213,13 +212,11 @@ LONG_TERM_UNTIL = "2024-01-26 00:00:00"
 
 
 @register("promote_new_rows", ("J7", "C4", "C5", "C6"), f"""
-with {SQL_MESSAGES_CTE}
-select trans_id, timestamp, speaker from messages
-where timestamp >= TIMESTAMP '{SHORT_TERM_FROM}'
-  and not exists (select 1 from messages l where l.timestamp < TIMESTAMP '{LONG_TERM_UNTIL}'
-                  and l.trans_id = messages.trans_id and l.timestamp = messages.timestamp)
-  and not exists (select 1 from messages l where l.timestamp < TIMESTAMP '{LONG_TERM_UNTIL}'
-                  and l.timestamp = messages.timestamp and l.speaker = messages.speaker and l.text = messages.text)
+with {SQL_MESSAGES_CTE},
+l as materialized (select trans_id, timestamp, speaker, text from messages where timestamp < TIMESTAMP '{LONG_TERM_UNTIL}'),
+fresh as (select trans_id, timestamp, speaker, text from messages m anti join l using (trans_id, timestamp)
+          where m.timestamp >= TIMESTAMP '{SHORT_TERM_FROM}')
+select trans_id, timestamp, speaker from fresh anti join l using (timestamp, speaker, text)
 """)
 def promote_new_rows(spark, sf_dir):
     from ..sources.store import promote
@@ -231,13 +228,12 @@ def promote_new_rows(spark, sf_dir):
 
 
 @register("promote_append", ("J7", "S8", "S9", "C4", "C5", "C6"), f"""
-with {SQL_MESSAGES_CTE}
-select trans_id, timestamp, speaker, 'long' as session_id from messages where timestamp < TIMESTAMP '{LONG_TERM_UNTIL}'
+with {SQL_MESSAGES_CTE},
+l as materialized (select trans_id, timestamp, speaker, text from messages where timestamp < TIMESTAMP '{LONG_TERM_UNTIL}')
+select trans_id, timestamp, speaker, 'long' as session_id from l
 union all
-select trans_id, timestamp, speaker, 'short' from messages
-where timestamp >= TIMESTAMP '{LONG_TERM_UNTIL}'
-  and not exists (select 1 from messages l where l.timestamp < TIMESTAMP '{LONG_TERM_UNTIL}'
-                  and l.timestamp = messages.timestamp and l.speaker = messages.speaker and l.text = messages.text)
+select trans_id, timestamp, speaker, 'short' from (select * from messages where timestamp >= TIMESTAMP '{LONG_TERM_UNTIL}')
+anti join l using (timestamp, speaker, text)
 """)
 def promote_append(spark, sf_dir):
     """The long-term store after the short-term rows were promoted into it,

@@ -166,7 +166,7 @@ class MessageStore:
                 store = store.filter(F.col("ingest_id").isNull() | (F.col("ingest_id") != ingest_id))
         # Decisions are written before the store is: the clash check reads
         # the store, so outputs evaluated after the append must not see it.
-        accepted, rejected = I.check_batch(prepared, store, unknown_col, corrupt_col, materialize_out=True)
+        accepted, rejected = I.check_batch(prepared, store, unknown_col, corrupt_col)
         if strict and not rejected.isEmpty():
             raise ValueError(f"batch refused: {rejected.count()} rejected rows")
         version = 0 if current is None else current
@@ -189,7 +189,7 @@ class MessageStore:
         prepared = prepare(batch, session_id, self.chunk_seconds)
         current = self.current_version()
         store = self.read() if current is not None else None
-        accepted, rejected = I.check_batch(prepared, store, materialize_out=True)
+        accepted, rejected = I.check_batch(prepared, store)
         loaded = I.prefix_commit(accepted, rejected, chunk_rows).drop("batch_id")
         if current is None:  # before the data, so that a second attempt finds what was written
             self._record_version(0, -1, "load")

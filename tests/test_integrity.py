@@ -35,14 +35,64 @@ def test_arrival_order_fixture(spark):
     assert decided(acc, rej) == {1: "accept", 2: "pk", 3: "accept", 4: "unique", 5: "accept"}
 
 
-def test_long_chain_needs_rounds(spark):
+def test_short_chain_is_folded_at_once(spark):
     # 1:(a,x) 2:(a,y) 3:(b,y) 4:(b,z) 5:(c,z): alternate keys along a chain.
     data = [(1, 10, D1, "s", "x", VEC), (2, 10, D1, "s", "y", VEC), (3, 11, D1, "s", "y", VEC),
             (4, 11, D1, "s", "z", VEC), (5, 12, D1, "s", "z", VEC)]
     acc, rej, rounds = I.resolve_keys(rows(spark, data))
     assert sorted(r.seq for r in acc.collect()) == [1, 3, 5]
     assert {r.seq: r.reject_reason for r in rej.collect()} == {2: "pk", 4: "pk"}
-    assert rounds >= 2
+    assert rounds == 1
+
+
+def one_by_one(data):
+    pks, uks, want = set(), set(), {}
+    for seq, t, ts, s, x, _ in sorted(data):
+        if (t, ts) in pks:
+            want[seq] = "pk"
+        elif (ts, s, x) in uks:
+            want[seq] = "unique"
+        else:
+            want[seq] = "accept"
+            pks.add((t, ts))
+            uks.add((ts, s, x))
+    return want
+
+
+@pytest.mark.parametrize("order", ["along", "shuffled"])
+def test_long_chain_needs_few_rounds(spark, monkeypatch, order):
+    """A chain of 600 rows at one time with too many to fold untold."""
+    import random
+    monkeypatch.setattr(I, "FOLD_ROWS", 10)
+    n = 600
+    seqs = list(range(n))
+    if order == "shuffled":
+        random.Random(1).shuffle(seqs)
+    data = [(q, k // 2, D1, "s", f"t{(k + 1) // 2}", VEC) for k, q in enumerate(seqs)]
+    acc, rej, rounds = I.resolve_keys(rows(spark, data))
+    assert decided(acc, rej) == one_by_one(data)
+    assert rounds <= 2 + 2 * n.bit_length()
+
+
+def test_crowded_time_equals_one_by_one(spark, monkeypatch):
+    """Hot keys, chains and loners at one time, by the path of crowded times."""
+    import random
+    monkeypatch.setattr(I, "FOLD_ROWS", 20)
+    rnd = random.Random(11)
+    data = [(q, 1 if rnd.random() < 0.3 else rnd.randint(2, 90), rnd.choice([D1, D1, D1, D2]), "s",
+             "hot" if rnd.random() < 0.3 else f"t{rnd.randint(1, 80)}", VEC) for q in range(400)]
+    acc, rej = I.check_batch(rows(spark, data))
+    assert decided(acc, rej) == one_by_one(data)
+
+
+def test_uncontested_rows_are_not_shuffled(spark):
+    """Full rows meet the rejects by a broadcast and keep their partitions."""
+    b = rows(spark, [(i, i, D1, "s", f"t{i}", VEC) for i in range(50)] + [(50, 1, D1, "s", "x", VEC)])
+    acc, _ = I.check_batch(b)
+    acc.collect()
+    plan = acc._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" in final and "Exchange hashpartitioning" not in final
 
 
 def test_brute_force_equivalence(spark):
