@@ -118,8 +118,7 @@ def snapshot_manifest(spark, sf_dir):
     root = work_dir(spark, "store")
     store = ST.MessageStore(spark, root, LONG_TERM_CHUNK_SECONDS, MODEL, DIM)
     rows = ST.prepare(_stamped(spark, sf_dir).withColumn("seq", F.col("trans_id")), "s0", LONG_TERM_CHUNK_SECONDS)
-    ST.write_rows(rows, store.data_path(0), "errorifexists")
-    store._record_version(0, -1, "load")
+    store.put(rows)
     snap = store.snapshot(root + "_snapshot", codec="zstd")
     live = ST.manifest(store.read())
     restored = spark.read.parquet(root + "_snapshot")
@@ -142,8 +141,7 @@ def session_reset(spark, sf_dir):
     rows = _stamped(spark, sf_dir).withColumn("seq", F.col("trans_id"))
     sid = F.concat(F.lit("day-"), F.date_format("timestamp", "yyyy-MM-dd"))
     prepared = ST.prepare(rows, sid, LONG_TERM_CHUNK_SECONDS)
-    ST.write_rows(prepared, store.data_path(0), "errorifexists")
-    store._record_version(0, -1, "load")
+    store.put(prepared)
     store.snapshot(root + "_snapshot")
     store.reset(F.col("session_id") != f"day-{RESET_DAY}", root + "_snapshot")
     return store.read().select("trans_id", "session_id")

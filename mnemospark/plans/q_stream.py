@@ -27,12 +27,21 @@ FILES_PER_LEVEL = 4
 
 
 def _write_levels(df: DataFrame, level: F.Column, levels: list[int], path: str) -> int:
-    """Write ``df`` split by arrival level, oldest level first, each level
-    as FILES_PER_LEVEL files.  Returns the files per level."""
+    """Write ``df`` split by arrival level, each level as FILES_PER_LEVEL
+    files whose times are later than those of the level before: the file
+    source reads files in the order of their times.  Returns the files per
+    level."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    start, dated = int(time.time()) - 10 * len(levels), set()
     for i, lv in enumerate(levels):
-        if i:
-            time.sleep(1.1)  # file times order the levels for the file source
         df.filter(level == lv).repartition(FILES_PER_LEVEL).write.mode("append").parquet(path)
+        for status in fs.listStatus(folder):
+            if status.getPath().getName() not in dated:
+                dated.add(status.getPath().getName())
+                fs.setTimes(status.getPath(), (start + 10 * i) * 1000, -1)
     return FILES_PER_LEVEL
 
 

@@ -27,6 +27,7 @@ EXTRA_COLUMNS = [
     T.StructField("chunk", T.LongType(), False),
     T.StructField("sig", T.ArrayType(T.LongType(), containsNull=False), True),
     T.StructField("text_sha256", T.BinaryType(), True),
+    T.StructField("ingest_id", T.StringType(), True),
 ]
 STORED_SCHEMA = T.StructType(STORE_COLUMNS + EXTRA_COLUMNS)
 

@@ -2,26 +2,32 @@
 
 Layout of a store root::
 
-    root/data/version=<n>/session_id=<s>/chunk=<c>/part-*.parquet
+    root/data/version=<n>/ingest_id=i-<id>/session_id=<s>/chunk=<c>/part-*.parquet
     root/_versions/version=<n>/part-*.json   one row per version
 
 ``chunk = floor(epoch micros / chunk micros)`` (S14, epoch aligned).  A
 reader takes the newest version listed in ``_versions`` and prunes to
 it; time searches also prune chunks.  Every write is a Spark job; the
 driver only reads the small version table.
+
+An append owns the folder of its ``ingest_id`` and overwrites it, so a replay
+rewrites itself whatever an earlier attempt left, and nothing needs to record
+how far that one came.  (The folder's name has a prefix, so that an id of
+digits stays text.)
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import sign_words_expr
 from ..operators import integrity as I
-from ..schema import PRIMARY_KEY, SHORT_TERM_CHUNK_SECONDS, STORE_FIELDS
+from ..schema import SHORT_TERM_CHUNK_SECONDS, STORE_FIELDS
 
 WRITE_MODES = ("errorifexists", "overwrite", "append")
 MANIFEST_SCHEMA = "rows long, min_ts string, max_ts string, checksum string"
@@ -62,6 +68,12 @@ def write_rows(df: DataFrame, path: str, mode: str = "append") -> None:  # noqa:
     _layout(df).write.mode(mode).partitionBy("session_id", "chunk").parquet(path)
 
 
+def _checked_id(ingest_id: str) -> str:
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", ingest_id):
+        raise ValueError("ingest_id may hold letters, digits, '_', '.' and '-' only")
+    return ingest_id
+
+
 class MessageStore:
     """A short- or long-term message store rooted at a shared path."""
 
@@ -98,23 +110,27 @@ class MessageStore:
         row = self._versions().filter(F.col("version") == version).agg(F.max("rows").alias("n")).first()
         return -1 if row["n"] is None else int(row["n"])
 
-    def _ingest_seen(self, ingest_id: str) -> bool:
-        from pyspark.errors import AnalysisException
-        try:
-            rec = self.spark.read.schema("state string").json(f"{self.root}/_ingests/ingest={ingest_id}")
-            return not rec.isEmpty()
-        except AnalysisException as e:
-            if e.getCondition() == "PATH_NOT_FOUND":  # no record: a first attempt
-                return False
-            raise
-
-    def _mark_ingest(self, ingest_id: str, state: str) -> None:
-        (self.spark.createDataFrame([(state,)], "state string").coalesce(1).write.mode("overwrite")
-         .json(f"{self.root}/_ingests/ingest={ingest_id}"))
-
     def data_path(self, version: int) -> str:
         return f"{self.root}/data/version={version}"
 
+    def ingest_path(self, version: int, ingest_id: str) -> str:
+        return f"{self.data_path(version)}/ingest_id=i-{ingest_id}"
+
+    def _write(self, rows: DataFrame, version: int | None, ingest_id: str, reason: str, writer=None) -> None:
+        """Replaces what the ingest wrote before.  The version is recorded
+        before its first rows, so that a replay finds what was written, and
+        as holding rows once it does, so that lost files are an error."""
+        if version is None:
+            self._record_version(0, -1, reason)
+        (writer or write_rows)(rows, self.ingest_path(version or 0, ingest_id), "overwrite")
+        if self._recorded_rows(version or 0) <= 0:
+            self._record_version(version or 0, rows.count(), reason, "append")
+
+    def put(self, rows: DataFrame, ingest_id: str = "load") -> None:
+        """Prepared rows as they are, without checks, into the current
+        version (a first one if there is none)."""
+        self._write(rows, self.current_version(), _checked_id(ingest_id), "load")
+
     # ------------------------------------------------------------ read
     def read(self) -> DataFrame:
         """The current version (empty store -> empty frame)."""
@@ -140,62 +156,48 @@ class MessageStore:
         """S9/S8 + C1-C6: check a batch against the store and append the
         accepted rows.  ``strict``: any reject fails the whole batch and
         nothing is written (one transaction per frame).  ``writer``
-        (S17): a user function ``(accepted, path) -> None`` that replaces
-        the default parquet append.  Returns the accepted and rejected
-        rows (the rejects are the dead letter).
-
-        ``ingest_id`` makes the append idempotent: stored rows carry it, a
-        repeated call with the same id is checked against the store
-        without its own earlier rows (same decisions, same rejects) and
-        writes only the accepted rows not stored yet, also after a
-        partly written first attempt.
+        (S17): a user function ``(accepted, path, mode) -> None`` that
+        replaces the default parquet write; ``path`` is the ingest's own
+        folder and ``mode`` is ``overwrite``.  Returns the accepted and
+        rejected rows (the rejects are the dead letter).
+
+        ``ingest_id`` makes the append idempotent: a repeated call with the
+        same id is checked against the store without its own earlier rows
+        (same decisions, same rejects) and rewrites them.  Without one the
+        append gets an id of its own.
         """
         prepared = prepare(batch, session_id, self.chunk_seconds)
-        if ingest_id is not None:
-            prepared = prepared.withColumn("ingest_id", F.lit(ingest_id))
         current = self.current_version()
         store = self.read() if current is not None else None
-        own = None
-        if ingest_id is not None:
-            if not re.fullmatch(r"[A-Za-z0-9_.-]+", ingest_id):
-                raise ValueError("ingest_id may hold letters, digits, '_', '.' and '-' only")
-            # An intent record is written before the data: only an id seen
-            # before (a replay) pays for the own-rows check and anti-join.
-            if self._ingest_seen(ingest_id) and store is not None and "ingest_id" in store.columns:
-                own = store.filter(F.col("ingest_id") == ingest_id).select(*PRIMARY_KEY)
-                store = store.filter(F.col("ingest_id").isNull() | (F.col("ingest_id") != ingest_id))
+        if ingest_id is None:
+            ingest_id = f"auto-{uuid.uuid4().hex}"
+        elif store is not None:
+            store = store.filter(F.col("ingest_id") != f"i-{_checked_id(ingest_id)}")
         # Decisions are written before the store is: the clash check reads
         # the store, so outputs evaluated after the append must not see it.
         accepted, rejected = I.check_batch(prepared, store, unknown_col, corrupt_col)
         if strict and not rejected.isEmpty():
             raise ValueError(f"batch refused: {rejected.count()} rejected rows")
-        version = 0 if current is None else current
-        if current is None:  # before the data, so that a replay finds what was written
-            self._record_version(0, -1, "create")
-        # By primary key: arrival numbers may differ between the attempts.
-        to_write = accepted if own is None else accepted.join(own, PRIMARY_KEY, "left_anti")
-        if ingest_id is not None:
-            self._mark_ingest(ingest_id, "started")
-        (writer or write_rows)(to_write, self.data_path(version))
-        if current is None:
-            self._record_version(0, accepted.count(), "create", "append")
+        self._write(accepted, current, _checked_id(ingest_id), "create", writer)
         return accepted, rejected
 
-    def load(self, batch: DataFrame, session_id: str, chunk_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def load(self, batch: DataFrame, session_id: str, chunk_rows: int,
+             ingest_id: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Bulk load in chunks of ``chunk_rows`` arrival positions (S2, A3):
         rows of the chunks before the first chunk with a reject are
         appended, that chunk and later ones are not.  Returns ``(loaded,
-        rejected, report)`` where the report is A2 per chunk."""
+        rejected, report)`` where the report is A2 per chunk.  A repeated
+        load with the same ``ingest_id`` rewrites itself."""
         prepared = prepare(batch, session_id, self.chunk_seconds)
         current = self.current_version()
         store = self.read() if current is not None else None
+        if ingest_id is None:
+            ingest_id = f"load-{uuid.uuid4().hex}"
+        elif store is not None:
+            store = store.filter(F.col("ingest_id") != f"i-{_checked_id(ingest_id)}")
         accepted, rejected = I.check_batch(prepared, store)
         loaded = I.prefix_commit(accepted, rejected, chunk_rows).drop("batch_id")
-        if current is None:  # before the data, so that a second attempt finds what was written
-            self._record_version(0, -1, "load")
-        write_rows(loaded, self.data_path(0 if current is None else current))
-        if current is None:
-            self._record_version(0, loaded.count(), "load", "append")
+        self._write(loaded, current, _checked_id(ingest_id), "load")
         return loaded, rejected, I.load_report(accepted, rejected, chunk_rows)
 
     def promote(self, short_term: DataFrame, session_id: str, strict: bool = False,
@@ -215,22 +217,6 @@ class MessageStore:
          .write.mode("overwrite").json(dest + "_manifest"))
         return man
 
-    def compact(self) -> int:
-        """Rewrite the current version as a new one with the range layout
-        (few files per chunk after many small appends).  The new version is
-        recorded only when its manifest equals the old one; returns it."""
-        current = self.current_version()
-        if current is None:
-            raise ValueError("empty store")
-        before = manifest(self.read())
-        new = current + 1
-        write_rows(self.read(), self.data_path(new), "errorifexists")
-        after = manifest(self.spark.read.parquet(self.data_path(new)))
-        if after != before:
-            raise ValueError(f"compacted copy differs from version {current}; not switched")
-        self._record_version(new, after["rows"], "compact")
-        return new
-
     def reset(self, keep: Column, snapshot_dest: str) -> int:
         """Session reset.  Refuses unless a snapshot of the current
         version exists and matches it; then writes the kept rows as a new
@@ -242,10 +228,12 @@ class MessageStore:
         live = manifest(self.read())
         if {k: snap[k] for k in live} != live:
             raise ValueError("snapshot does not match the store; refusing to reset")
-        kept = self.read().filter(keep)
+        kept = self.read().filter(keep).drop("ingest_id")
         new = current + 1
-        write_rows(kept, self.data_path(new), "errorifexists")
-        written = self.spark.read.schema(kept.schema).parquet(self.data_path(new)).count()
+        # one folder, so that many small appends become few files a chunk
+        path = self.ingest_path(new, f"version-{new}")
+        write_rows(kept, path, "errorifexists")
+        written = self.spark.read.schema(kept.schema).parquet(path).count()
         self._record_version(new, written, "reset")
         return new
 

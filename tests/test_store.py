@@ -104,9 +104,9 @@ def test_relations_round_trip(spark):
 def test_user_writer_hook(spark):
     seen = []
 
-    def hook(df, path):
+    def hook(df, path, mode):
         seen.append(df.count())
-        ST.write_rows(df, path, "append")
+        ST.write_rows(df, path, mode)
 
     st = ST.MessageStore(spark, work_dir(spark, "t-hook"), LONG_TERM_CHUNK_SECONDS)
     st.append(stamped(spark), "s", writer=hook)
@@ -182,16 +182,17 @@ def test_append_with_ingest_id_is_idempotent(spark):
     acc2, rej2 = st.append(batch, "s", ingest_id="b0")
     assert sorted((r.seq, r.reject_reason) for r in rej2.collect()) == rej_set
     assert st.read().count() == n_acc
-    # a partly written first attempt: only the missing rows are written
+    # a partly written first attempt, with a row that the replay does not have
     st2 = ST.MessageStore(spark, work_dir(spark, "t-idem2"), LONG_TERM_CHUNK_SECONDS)
-    part = ST.prepare(rows.limit(5), "s", LONG_TERM_CHUNK_SECONDS).withColumn("ingest_id", F.lit("b0"))
-    st2._mark_ingest("b0", "started")  # the intent is written before any data
-    ST.write_rows(part, st2.data_path(0), "append")
-    st2._record_version(0, -1, "partial")
+    part = ST.prepare(rows.limit(5).withColumn("speaker", F.lit("half")), "s", LONG_TERM_CHUNK_SECONDS)
+    ST.write_rows(part, st2.ingest_path(0, "b0"), "append")
+    st2._record_version(0, -1, "create")
     _, rej3 = st2.append(batch, "s", ingest_id="b0")
     assert sorted((r.seq, r.reject_reason) for r in rej3.collect()) == rej_set
-    assert st2.read().count() == n_acc
+    assert st2.read().count() == n_acc and st2.read().filter("speaker = 'half'").count() == 0
     assert st2.read().groupBy("seq").count().filter("count > 1").count() == 0
+    with pytest.raises(ValueError):
+        st2.append(batch, "s", ingest_id="../b0")
 
 
 def test_csv_to_long_term_store(spark):
@@ -206,19 +207,20 @@ def test_csv_to_long_term_store(spark):
     assert st.read().select("trans_id").exceptAll(rows.select("trans_id")).count() == 0
 
 
-def test_compact_keeps_rows_and_cuts_files(spark):
+def test_reset_cuts_files_and_keeps_rows(spark):
     import glob
     root = work_dir(spark, "t-compact")
     st = ST.MessageStore(spark, root, LONG_TERM_CHUNK_SECONDS)
     rows = stamped(spark)
     for i in range(3):  # three appends of disjoint rows: three file sets
-        part = rows.filter(F.col("trans_id") % 3 == i)
-        st.append(part, "s", ingest_id=f"b{i}")
-    before = ST.manifest(st.read())
-    files_before = len(glob.glob(st.data_path(0) + "/*/*/*.parquet"))
-    v = st.compact()
-    assert v == 1 and ST.manifest(st.read()) == before
-    assert len(glob.glob(st.data_path(1) + "/*/*/*.parquet")) <= files_before
+        st.append(rows.filter(F.col("trans_id") % 3 == i), "s", ingest_id=f"{i}")
+    assert {r["ingest_id"] for r in st.read().select("ingest_id").distinct().collect()} == {"i-0", "i-1", "i-2"}
+    before = ST.manifest(st.read().drop("ingest_id"))
+    files_before = len(glob.glob(st.data_path(0) + "/*/*/*/*.parquet"))
+    st.snapshot(root + "_snapshot")
+    v = st.reset(F.lit(True), root + "_snapshot")
+    assert v == 1 and ST.manifest(st.read().drop("ingest_id")) == before
+    assert len(glob.glob(st.data_path(1) + "/*/*/*/*.parquet")) <= files_before
 
 
 def test_arrival_numbers_are_dense_in_file_order(spark):
@@ -254,20 +256,56 @@ def _fail_once(monkeypatch, owner, name):
     monkeypatch.setattr(owner, name, broken)
 
 
-@pytest.mark.parametrize("step", ["_record_version", "_mark_ingest"])
-def test_replay_of_a_failed_first_batch_stores_rows_once(spark, tmp_path, monkeypatch, step):
-    from mnemospark.sources.store import MessageStore
-    batch = spark.createDataFrame(
-        [(i, "2025-01-01 00:00:00", f"s{i}", "x", i, "m", 2, [1.0, 2.0], None, None, i) for i in range(20)],
+def _twenty(spark, first=0):
+    return spark.createDataFrame(
+        [(i, "2025-01-01 00:00:00", f"s{i}", "x", i, "m", 2, [1.0, 2.0], None, None, i) for i in range(first, first + 20)],
         "trans_id long, timestamp string, speaker string, text string, vec_id long, embedding_model string, "
         "embedding_dim int, embedding array<float>, index_type string, index_measurement string, seq long"
     ).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    store = MessageStore(spark, str(tmp_path / "s"), model="m", dim=2)
-    _fail_once(monkeypatch, MessageStore, step)
-    with pytest.raises(OSError):
-        store.append(batch, "a", ingest_id="b0")
+
+
+@pytest.mark.parametrize("later", [False, True])
+@pytest.mark.parametrize("step", ["check", "record", "before", "halfway", "after", "recorded"])
+def test_replay_of_a_failed_batch_stores_rows_once(spark, tmp_path, monkeypatch, step, later):
+    """A failure at every step of a first and of a later batch."""
+    store = ST.MessageStore(spark, str(tmp_path / "s"), model="m", dim=2)
+    if later:
+        store.append(_twenty(spark, 100), "a", ingest_id="earlier")
+    batch = _twenty(spark).unionByName(_twenty(spark).withColumn("seq", F.col("seq") + 1000))
+    real = ST.write_rows
+
+    def halfway(df, path, mode="append"):
+        real(df.filter("trans_id < 7"), path, mode)
+        raise OSError("lost")
+
+    def after(df, path, mode="append"):
+        real(df, path, mode)
+        raise OSError("lost")
+
+    def fail(*args, **kwargs):
+        raise OSError("lost")
+    with monkeypatch.context() as m:
+        if step == "check":
+            m.setattr(I, "check_batch", fail)
+        elif step in ("record", "recorded"):
+            _fail_once(m, ST.MessageStore, "_record_version" if step == "record" else "_recorded_rows")
+        else:
+            m.setattr(ST, "write_rows", {"before": fail, "halfway": halfway, "after": after}[step])
+        if step == "record" and later:
+            store.append(batch, "a", ingest_id="b0")  # no version is recorded then
+        else:
+            with pytest.raises(OSError):
+                store.append(batch, "a", ingest_id="b0")
     accepted, rejected = store.append(batch, "a", ingest_id="b0")
-    assert (accepted.count(), rejected.count(), store.read().count()) == (20, 0, 20)
+    assert (accepted.count(), rejected.count()) == (20, 20)
+    assert store.read().count() == (40 if later else 20)
+    assert {r["reject_reason"] for r in rejected.select("reject_reason").distinct().collect()} == {"pk"}
+    # counted as holding rows, so that losing them is an error
+    assert store._recorded_rows(store.current_version()) > 0
+    import shutil
+    shutil.copytree(tmp_path / "s" / "_versions", tmp_path / "lost" / "_versions")
+    with pytest.raises(Exception):
+        ST.MessageStore(spark, str(tmp_path / "lost"), model="m", dim=2).read()
 
 
 def test_read_errors_are_not_an_empty_store(spark, tmp_path, monkeypatch):
