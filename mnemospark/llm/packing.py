@@ -35,6 +35,16 @@ WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 
 
+def _added_tokens(path: str) -> dict[str, int]:
+    """Tokens of a tokenizer file that stand for themselves in a text."""
+    import json
+    import os
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens") or []}
+
+
 class Encoder:
     """Ids of whole texts by a byte-level BPE file.
 
@@ -46,12 +56,14 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = list(_added_tokens(path))
         self.memo: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(a in text for a in self.added):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = _GAP.split(text)
         words = [first, *[" " + w for w in rest]]
         memo = self.memo
@@ -67,7 +79,8 @@ class Encoder:
 
 class RankEncoder:
     """Ids of whole texts by a file of ranks: the same byte-level BPE in the
-    form that does not build an object for each token."""
+    form that does not build an object for each token.  Added tokens are in
+    the tokenizer file of the same name that lies beside it."""
 
     def __init__(self, path: str):
         import base64
@@ -75,9 +88,13 @@ class RankEncoder:
         import tiktoken
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.bpe = tiktoken.Encoding(path, pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+        added = _added_tokens(path.removesuffix(".tiktoken") + ".json")
+        self.added = list(added)
+        self.bpe = tiktoken.Encoding(path, pat_str=WORDS, mergeable_ranks=ranks, special_tokens=added)
 
     def __call__(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            return array("I", self.bpe.encode(text, allowed_special="all")).tobytes()
         return array("I", self.bpe.encode_ordinary(text)).tobytes()
 
 
