@@ -19,6 +19,9 @@ from pyspark.sql.window import Window
 from .base import global_rank, materialize, row_key, text_or_empty
 
 MIN_WORDS = 20
+#: Fixed: what counts as a word.
+_NO_SPACES = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+WORD = rf"[{_NO_SPACES}]|[^\s\p{{Z}}{_NO_SPACES}]+"
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -31,8 +34,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # filter on its size.
     rows = docs.select(F.col(id_col).alias("_id"), *row_key(id_col, text_col),
                        F.posexplode_outer(full).alias("pos", "s")).filter("pos is not null")
-    line = F.trim("s.line")
-    words = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    words = F.regexp_count("s.line", F.lit(WORD))
     return rows.select("_id", "_k1", "_k2", "pos", "s.line_no", F.xxhash64("s.line").alias("h1"),
                        F.xxhash64(F.lit(1), "s.line").alias("h2"), words.alias("w"))
 
@@ -105,8 +107,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with ``kept_text``, ``n_lines``, ``n_removed`` and ``runs``
     (``array<struct<start, end>>``: deleted line numbers, end exclusive).
 
-    Lines end at ``\\n``.  A run counts from ``min_words`` words (split at
-    spaces) on.  The first copy is the one with the smallest id, then the
+    Lines end at ``\\n``.  A run counts from ``min_words`` words on (runs
+    between white space; a character of a script without spaces is one).  The first copy is the one with the smallest id, then the
     smallest place in the document; null ids come last.  Blank lines inside
     a deleted run go with it and do not break a run.  A text that repeats a
     run over and over keeps its first lines only.
