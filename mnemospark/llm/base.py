@@ -65,19 +65,41 @@ def with_spans(df: DataFrame, text: Column, patterns: dict[str, str]) -> DataFra
     structs ``(at, text)`` in order; ``at`` counts code points from 0.
 
     The pieces between the matches give the positions, so a pattern must not
-    match the empty string.  Null text: no matches.
+    match the empty string.  Positions are running sums in pieces of
+    ``PIECE`` matches, so the time grows with the matches and not with their
+    square.  Null text: no matches.  Names that start with ``_`` and a
+    pattern's own name are replaced.
     """
     none = F.array().cast(SPANS)
-    step = lambda acc, pair: F.struct(
-        (acc["end"] + F.length(pair["gap"]) + F.length(pair["hit"])).alias("end"),
-        F.array_append(acc["out"], F.struct((acc["end"] + F.length(pair["gap"])).alias("at"),
-                                            pair["hit"].alias("text"))).alias("out"))
     found = df.withColumns({f"_hit_{n}": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for n, p in patterns.items()})
+    found = found.withColumns({f"_size_{n}": F.when(F.size(f"_hit_{n}") > 0, F.zip_with(
+        F.slice(F.split(text, p, -1), F.lit(1), F.size(f"_hit_{n}")), F.col(f"_hit_{n}"),
+        lambda g, h: F.length(g) + F.length(h))) for n, p in patterns.items()})
+    found = found.withColumns({f"_piece_{n}": _pieces(f"_size_{n}") for n in patterns})
+    found = found.withColumns({f"_before_{n}": _running(F.col(f"_piece_{n}"), lambda x: F.element_at(x, -1), inclusive=False)
+                               for n in patterns})
     spans = {}
-    for n, p in patterns.items():
-        hits = F.col(f"_hit_{n}")
-        pairs = F.zip_with(F.slice(F.split(text, p, -1), F.lit(1), F.size(hits)), hits,
-                           lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-        spans[n] = F.when(F.size(hits) > 0, F.aggregate(
-            pairs, F.struct(F.lit(0).alias("end"), none.alias("out")), step, lambda a: a["out"])).otherwise(none)
-    return found.withColumns(spans).drop(*[f"_hit_{n}" for n in patterns])
+    for n in patterns:
+        ends = F.flatten(F.zip_with(f"_piece_{n}", f"_before_{n}", lambda p, b: F.transform(p, lambda x: x + b)))
+        spans[n] = F.coalesce(F.zip_with(ends, f"_hit_{n}", lambda e, h: F.struct(
+            (e - F.length(h)).alias("at"), h.alias("text"))), none)
+    return found.withColumns(spans).drop(*[f"_{k}_{n}" for n in patterns for k in ("hit", "size", "piece", "before")])
+
+
+#: Matches whose positions are summed up together.
+PIECE = 64
+
+
+def _pieces(sizes: str) -> Column:
+    """Running sums of a column of sizes, apart in each piece of it."""
+    return F.transform(F.sequence(F.lit(0), F.size(sizes) - 1, F.lit(PIECE)), lambda at: _running(
+        F.slice(sizes, at + 1, F.lit(PIECE)), lambda x: x, inclusive=True))
+
+
+def _running(sizes: Column, of, inclusive: bool) -> Column:
+    """Sums of ``of`` over the items before each, itself too if ``inclusive``."""
+    def step(acc: Column, x: Column) -> Column:
+        end = acc["end"] + of(x)
+        return F.struct(end.alias("end"), F.array_append(acc["out"], end if inclusive else acc["end"]).alias("out"))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(sizes, start, step, lambda a: a["out"])

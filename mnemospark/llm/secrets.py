@@ -96,10 +96,15 @@ def scan(docs: DataFrame, table: list[float], text_col: str = "text", least_tota
     """``docs`` with ``secret_spans``: structs ``(start, kind, end, text)``
     by start, then kind.  Pattern spans are always there; runs by the models
     (kind 3) are added where they touch no pattern span.  Positions count
-    code points, ends are exclusive.  Null and empty texts have no spans;
-    all rows and columns stay (the name ``secret_spans`` is replaced)."""
-    text = text_or_empty(text_col)
-    found = with_spans(base_spans(docs, text), text, {"_run": RUN})
+    code points, ends are exclusive.  Null and empty texts have no spans, a
+    very long text is scanned whole in time that grows with its matches;
+    spans that start together go by kind; repeated rows are scanned each.
+    All rows and columns stay, whatever their names, but for one named
+    ``secret_spans``, which is replaced."""
+    columns = [c for c in docs.columns if c != "secret_spans"]
+    packed = docs.select(F.struct(*[F.col(c) for c in columns]).alias("_row"), text_or_empty(text_col).alias("_t"))
+    text = F.col("_t")
+    found = with_spans(base_spans(packed, text), text, {"_run": RUN})
     # A run of digits and signs is a number, which neither model describes.
     found = found.withColumn("_run", F.filter("_run", lambda s: s["text"].rlike("[A-Za-z]")))
     scored = F.transform("_run", lambda s: F.struct(
@@ -111,7 +116,8 @@ def scan(docs: DataFrame, table: list[float], text_col: str = "text", least_tota
     plain = F.transform(high, lambda s: F.struct(s["start"], s["kind"], s["end"], s["text"]))
     spans = F.when(F.size(F.coalesce(F.col("_scored"), F.array())) > 0,
                    F.array_sort(F.concat("_base", plain))).otherwise(F.col("_base"))
-    return found.withColumn("secret_spans", spans).drop("_base", "_run", "_scored")
+    done = found.withColumn("_spans", spans)
+    return done.select(*[F.col("_row")[c].alias(c) for c in columns], F.col("_spans").alias("secret_spans"))
 
 
 def redact(spans: str = "secret_spans", text_col: str = "text", mark: str = "[SECRET]") -> Column:
