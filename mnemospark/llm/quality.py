@@ -122,8 +122,10 @@ def score(docs: DataFrame, model: OrdinalModel, wanted: int, text_col: str = "te
           keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (default: all but the text) and ``expected_grade``,
     ``tail_probability`` = ``P(grade >= wanted)``.  Null and empty texts are
-    scored as texts without tokens.  Names of ``keep`` may not clash."""
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
+    scored as texts without tokens, very long ones whole; equal texts have
+    equal scores.  Columns of ``docs`` with one of the two names are left out."""
+    made = ("expected_grade", "tail_probability")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in made and (c != text_col or keep)]
     rows = docs.select(*keep, F.col(text_col).alias("_quality_text"))
     schema = (rows.drop("_quality_text").withColumn("expected_grade", F.lit(0.0))
               .withColumn("tail_probability", F.lit(0.0)).schema)

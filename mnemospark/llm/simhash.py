@@ -164,7 +164,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row for each row of ``docs``: its columns without the text,
     ``fp`` (signed long) and ``component_id``, the smallest id that is
-    reachable over links of at most ``max_bits`` bits.
+    reachable over links of at most ``max_bits`` bits.  Columns of these
+    names, ``_root`` and ``_min`` are left out.
 
     Null and empty texts have fingerprint zero and are linked like others.
     Null ids never win against another id; a component of null ids only has
@@ -174,7 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
-    others = [c for c in docs.columns if c != text_col]
+    others = [c for c in docs.columns if c not in (text_col, "fp", "component_id", "_root", "_min")]
     rows = materialize(fingerprints(docs, text_col, shingle, others), "simhash-fps")
     fps = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("_min")), "simhash-distinct")
     roots = components(links(fps.select("fp"), max_bits), "simhash").select(F.col("node").alias("fp"), "root")

@@ -83,7 +83,6 @@ def test_write_shards(docs, spark, tmp_path):
 def test_packing(docs, texts, empty):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer_path().replace(".tiktoken", ".json"))
-    tok.encode_special_tokens = True
     want = Counter((i, tuple(tok.encode(t or "", add_special_tokens=False).ids + [1])) for i, t in texts)
     for path in (tokenizer_path(), tokenizer_path().replace(".tiktoken", ".json")):
         rows = packing.pack(docs.repartition(2), path, with_ids=True).collect()
@@ -103,6 +102,54 @@ def test_packing(docs, texts, empty):
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
+def test_packing_of_added_tokens():
+    """Added tokens stand for themselves, as in the unaltered tokenizer."""
+    from tokenizers import Tokenizer
+    path = tokenizer_path().replace(".tiktoken", ".json")
+    tok = Tokenizer.from_file(path)
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice(["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "a", "b c", "é", "𝒳", "don't", "12"])
+                       for _ in range(rng.randrange(1, 12)))
+        want = np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert packing._encoder(tokenizer_path())(text) == want == packing._encoder(path)(text), text
+
+
+def test_positions_of_many_matches(spark):
+    """Positions in one text with many matches, and their time."""
+    import time
+
+    from mnemospark.llm.base import with_spans
+    rng = random.Random(2)
+    text = "".join(rng.choice(["ab", "𝒳", "x1", " "]) + "é" * rng.randrange(3) for _ in range(9000))
+    df = spark.createDataFrame([(text,), ("",), (None,), ("ab",)], "t string").withColumn("hit", F.lit(1))
+    got = with_spans(df, F.coalesce("t", F.lit("")), {"hit": "ab", "word": "[a-z0-9]+"}).collect()
+    for r in got:
+        for name, pattern in (("hit", "ab"), ("word", "[a-z0-9]+")):
+            assert [(s["at"], s["text"]) for s in r[name]] == [(m.start(), m[0]) for m in re.finditer(pattern, r["t"] or "")]
+
+    def seconds(n):
+        one = spark.createDataFrame([("mail a.b@c-d.org now " * n,)], "t string")
+        t = time.time()
+        assert with_spans(one, F.col("t"), {"m": pii.PATTERNS["email"]}).select(F.size("m").alias("k")).first()["k"] == n
+        return time.time() - t
+    seconds(100)
+    assert seconds(40000) < 8 * seconds(10000) + 5
+
+
+def test_scan_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "password = abcdefgh1", "h", "a", "r", "b", "x")],
+                               "doc_id long, text string, hex string, assign string, _run string, _base string, _t string")
+    r = secrets.scan(df, [0.0] * len(secrets.ALPHABET) ** 2).first()
+    assert (r["hex"], r["assign"], r["_run"], r["_base"], r["_t"]) == ("h", "a", "r", "b", "x") and len(r["secret_spans"]) == 1
+
+
+def test_words_of_a_line(spark):
+    rows = [("a" + " " * 25 + "b", 2), ("\t".join("w" * 60), 60), ("a\u00a0b", 2), ("漢字仮名", 4), ("", 0), (" x ", 1)]
+    got = spark.createDataFrame(rows, "s string, n int").select(F.regexp_count("s", F.lit(line_dedup.WORD)).alias("w"), "n")
+    assert all(r["w"] == r["n"] for r in got.collect())
+
+
 def test_packing_limits():
     rng = random.Random(3)
     sizes = np.array([rng.randrange(1, 90) for _ in range(200)])
@@ -396,7 +443,7 @@ def test_pipeline_stages(spark, docs, tmp_path):
 def test_whole_queries_at_small_scale(spark):
     import __spark_entry__ as E
     names = [n for n in E.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     d = "/root/testdata/sf0.001"
     for n in ("op1_hilbert_shards", "op7_string_tiling"):
         assert E.queries()[n](spark, d).count() > 0
