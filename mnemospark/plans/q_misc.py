@@ -9,6 +9,7 @@ from ..operators import adhoc as AD
 from ..operators import keyword as KW
 from ..operators import pages as PG
 from ..operators import profile as PR
+from ..session import work_dir
 from ..sources.tables import messages, table
 from .common import PROBE_VEC_ID, SQL_DIST, SQL_MESSAGES_CTE
 from .registry import register
@@ -64,6 +65,37 @@ def snippet_topk(spark, sf_dir):
     return sn.select("page_id", F.round("score", 6).alias("score"), "first_hit", "snippet")
 
 
+# Fixed: queries put to one stored index.
+INDEX_QUERIES = [KEYWORD_QUERY, "thanedble", "que la erst", "nowheretobefound ouier"]
+
+
+def _index(spark, sf_dir):
+    """The pages indexed in two parts, one of them twice."""
+    p = table(spark, sf_dir, "pages")
+    index = KW.Postings(spark, work_dir(spark, "postings"), "page_id", buckets=8)
+    for part in ("0", "1", "0"):
+        index.add(p.filter(F.col("page_id") % 2 == int(part)), "html", part, html=True)
+    return p, index
+
+
+def _sql_index_search(terms: list[str], rows: str) -> str:
+    named = ", ".join(f"'{t}'" for t in terms)
+    body = _SQL_BM25.replace(_sql_terms(), named)
+    return f"select * from (with {body} {rows})"
+
+
+@register("postings_topk", "K7", "\nunion all\n".join(_sql_index_search(
+    KW.query_terms(q), f"select {i} as query, page_id, round(score, 6) as score from top") for i, q in enumerate(INDEX_QUERIES)))
+def postings_topk(spark, sf_dir):
+    """Several searches of one stored index."""
+    _, index = _index(spark, sf_dir)
+    out = None
+    for i, q in enumerate(INDEX_QUERIES):
+        top = index.top_k(q).select(F.lit(i).alias("query"), "page_id", F.round("score", 6).alias("score"))
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
 ADHOC_SQL = f"""
 SELECT speaker, count(*) AS n,
        round(min(cosine_distance(embedding, (SELECT embedding FROM embeddings WHERE vec_id = {PROBE_VEC_ID}))), 6)
