@@ -104,7 +104,7 @@ class Postings:
         # by range, so that a frequent term's postings are dealt to several tasks
         (counted.repartitionByRange("bucket", "term", self.id_col).sortWithinPartitions("bucket", "term", self.id_col)
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings/part=p-{part}"))
-        stored = self.spark.read.parquet(f"{self.root}/postings/part=p-{part}")
+        stored = self.spark.read.schema(counted.schema).parquet(f"{self.root}/postings/part=p-{part}")
         (stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
          .repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term")
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/terms/part=p-{part}"))
@@ -124,9 +124,11 @@ class Postings:
             raise ValueError("query has no terms")
         totals = self.spark.read.parquet(f"{self.root}/totals").agg(F.sum("docs").alias("n"), F.sum("words").alias("w")).first()
         n_docs = int(totals["n"])
+        if not totals["w"]:  # no part has a word
+            return self.spark.createDataFrame([], f"{self.id_col} long, score double")
         df_t = self._of("terms", terms).groupBy("term").agg(F.sum("df").alias("df"))
         hits = self._of("postings", terms).select(self.id_col, "dl", "term", "tf")
-        return _best(hits, df_t, n_docs, totals["w"] / n_docs if n_docs else 0.0, self.id_col, k)
+        return _best(hits, df_t, n_docs, totals["w"] / n_docs, self.id_col, k)
 
 
 def snippets(top: DataFrame, docs: DataFrame, id_col: str, text_col: str, query: str,

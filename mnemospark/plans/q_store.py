@@ -19,7 +19,7 @@ from ..schema import LONG_TERM_CHUNK_SECONDS, SHORT_TERM_CHUNK_SECONDS
 from ..session import work_dir
 from ..sources import csv_io
 from ..sources import store as ST
-from ..sources.export import export_run
+from ..sources.export import export_run, read_run
 from ..sources.tables import as_ntz, messages, table
 from .common import SQL_MESSAGES_CTE, r6
 from .q_ingest import _SQL_BATCH, fault_batch
@@ -95,14 +95,17 @@ union all
 select 'messages_{EXPORT_DAY}', 2, trans_id, speaker, text from messages where trans_id % 4 = 0
 """)
 def export_append(spark, sf_dir):
-    """Two numbered runs of one export and one append to the newer run; the
-    name gets the date it lacks."""
+    """Two numbered runs of one export and, a day later, one append to the
+    newer run that is tried twice; the name gets the date it lacks."""
     root, rows = work_dir(spark, "runs"), _stamped(spark, sf_dir)
-    paths = [export_run(rows.filter(part), root, "messages", EXPORT_DAY, auto_increment=new)
-             for part, new in (("trans_id % 2 = 0", True), ("trans_id % 2 <> 0", True), ("trans_id % 4 = 0", False))]
+    paths = [export_run(rows.filter(part), root, "messages", EXPORT_DAY)
+             for part in ("trans_id % 2 = 0", "trans_id % 2 <> 0")]
+    later = EXPORT_DAY + dt.timedelta(days=1)
+    paths.append(export_run(rows.filter("trans_id % 4 = 0"), root, "messages", later, auto_increment=False, batch_id="b0"))
+    paths.append(export_run(rows.filter("trans_id % 4 = 0"), root, "messages", later, batch_id="b0", run=2))
     out = None
     for path in sorted(set(paths)):
-        part = csv_io.read_csv(spark, path).select(
+        part = read_run(spark, path).select(
             X.append_date(F.lit("messages"), F.lit(EXPORT_DAY)).alias("name"),
             F.lit(int(path.rsplit("=", 1)[1])).alias("run"), "trans_id", "speaker", "text")
         out = part if out is None else out.unionByName(part)

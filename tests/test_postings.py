@@ -61,5 +61,6 @@ def test_a_frequent_term_is_dealt_to_several_tasks(spark):
 def test_empty_index(spark):
     idx = KW.Postings(spark, work_dir(spark, "t-none"), "id")
     idx.add(spark.createDataFrame([(1, None)], "id long, t string"), "t", "0")
+    assert idx.top_k("one").collect() == []
     idx.add(spark.createDataFrame([(2, "one two")], "id long, t string"), "t", "1")
     assert _rows(idx.top_k("one", 3))[0][0] == 2

@@ -160,6 +160,32 @@ def test_export_runs_increment_and_append(spark):
     assert EX.last_run(spark, root, "other") is None
 
 
+def test_export_appends_to_the_newest_run_of_any_day(spark, monkeypatch):
+    import datetime as dt
+
+    from mnemospark.sources import export as EX
+    root, rows = work_dir(spark, "t-export-days"), stamped(spark).limit(10)
+    first = EX.export_run(rows, root, "m", dt.date(2024, 1, 1))
+    again = EX.export_run(rows, root, "m", dt.date(2024, 1, 2), auto_increment=False)
+    assert again == first and "date=2024-01-01" in first and EX.read_run(spark, first).count() == 20
+    # a crash halfway: the run is recorded, a retry rewrites its own batch
+
+    def broken(df, path, **options):
+        real(df.limit(3), path, **options)
+        raise OSError("lost")
+    real = csv_io.write_csv
+    with monkeypatch.context() as m:
+        m.setattr(csv_io, "write_csv", broken)
+        with pytest.raises(OSError):
+            EX.export_run(rows, root, "m", dt.date(2024, 1, 3), batch_id="b")
+    run = EX.last_run(spark, root, "m")
+    path = EX.export_run(rows, root, "m", dt.date(2024, 1, 4), batch_id="b", run=run)
+    assert run == 2 and "date=2024-01-03" in path and EX.read_run(spark, path).count() == 10
+    assert EX.export_run(rows, root, "m", dt.date(2024, 1, 4)).endswith("date=2024-01-04/run=3")
+    with pytest.raises(ValueError):
+        EX.export_run(rows, root, "m", run=9)
+
+
 def test_profile_all_and_now(spark):
     from mnemospark.operators import profile as PR
     from mnemospark.operators.search import day_bounds, now
