@@ -11,9 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import embed, integrity
+from .numbering import place_in_group
 
 BLOCK = 1024  # messages per first-level block
 
@@ -53,9 +53,11 @@ def history_text(state: DataFrame, line: Column | None = None, sep: str = "\n")
 
 def history_rows(state: DataFrame) -> DataFrame:
     """A6 without the one text per thread: a row for each message with its
-    ``position`` in the thread, from 1, for threads of any length."""
-    order = Window.partitionBy("thread_id").orderBy("seq", "msg_id")
-    return state.select("thread_id", F.row_number().over(order).alias("position"), "msg_id", "role", "text")
+    ``position`` in the thread, from 1.  A long thread is numbered by several
+    tasks."""
+    placed = place_in_group(state.select("thread_id", "seq", "msg_id", "role", "text"), ["thread_id"],
+                            ["seq", "msg_id"], "_n")
+    return placed.select("thread_id", (F.col("_n") + 1).alias("position"), "msg_id", "role", "text")
 
 
 def prompt(state: DataFrame, system: str | Column) -> DataFrame:
@@ -66,6 +68,14 @@ def prompt(state: DataFrame, system: str | Column) -> DataFrame:
                     (F.col("messages") + 1).alias("messages"))
 
 
+def prompt_rows(state: DataFrame, system: str) -> DataFrame:
+    """M3 as ordered rows for threads of any length: ``thread_id, position,
+    role, text``; position 0 is the system message of each thread."""
+    first = state.select("thread_id").distinct().select(
+        "thread_id", F.lit(0).cast("long").alias("position"), F.lit("system").alias("role"), F.lit(system).alias("text"))
+    return first.unionByName(history_rows(state).select("thread_id", "position", "role", "text"))
+
+
 def with_replies(user_rows: DataFrame, replies: DataFrame) -> DataFrame:
     """M6: replies join the stream by a second source, after the F1
     filter, so the bot's own rows are stored too."""

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .numbering import place_in_group
 
 ID_TICK_MICROS = 10_000   # 10 ms ticks
 ID_SEQ_BITS = 24          # ids per tick: 2**24
@@ -31,13 +32,12 @@ def file_numbers(listing: DataFrame, path_col: str = "path") -> tuple[DataFrame,
 def time_ordered_ids(df: DataFrame, ts_col: str, order_col: str, epoch: str) -> DataFrame:
     """64-bit ids ordered by time: ``tick << 24 | n`` where ``tick`` is
     10 ms since ``epoch`` and ``n`` numbers the rows of one tick in
-    ``order_col`` order.  More than 2**24 rows in one tick raises."""
+    ``order_col`` order.  A tick with many rows is numbered by several tasks;
+    more than 2**24 rows in one tick raises."""
     e = dt.datetime.fromisoformat(epoch)
     epoch_us = int((e - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000
     tick = F.floor((F.unix_micros(F.col(ts_col)) - F.lit(epoch_us)) / F.lit(ID_TICK_MICROS)).cast("long")
-    w = Window.partitionBy("_tick").orderBy(order_col)
-    n = F.row_number().over(w) - 1
-    return (df.withColumn("_tick", tick).withColumn("_n", n)
+    return (place_in_group(df.withColumn("_tick", tick), ["_tick"], [order_col], "_n")
             .withColumn("msg_id", F.when(F.col("_n") < F.lit(1 << ID_SEQ_BITS),
                                          F.shiftleft(F.col("_tick"), ID_SEQ_BITS) + F.col("_n"))
                         .otherwise(F.raise_error(F.lit("more than 2**24 ids in one 10 ms tick"))))

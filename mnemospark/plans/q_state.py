@@ -111,6 +111,15 @@ def prompt(spark, sf_dir):
     return C.prompt(C.from_turns(table(spark, sf_dir, "conversations")), SYSTEM)
 
 
+@register("prompt_rows", ("M3", "A6"), f"""
+select conv_id as thread_id, 0 as position, 'system' as role, '{SYSTEM}' as text from conversations group by conv_id
+union all
+select conv_id, row_number() over (partition by conv_id order by turn), role, text from conversations
+""")
+def prompt_rows(spark, sf_dir):
+    return C.prompt_rows(C.from_turns(table(spark, sf_dir, "conversations")), SYSTEM)
+
+
 EDIT_SEQ = 10**9  # fixed: seq of the re-sent (edited) assistant messages
 
 
