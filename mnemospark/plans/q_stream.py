@@ -93,18 +93,20 @@ with {SQL_MESSAGES_CTE}
 select trans_id, timestamp, speaker from messages
 """)
 def stream_dedupe(spark, sf_dir):
+    """The last twenty days come first, the others late, then replays of old
+    and new rows under other ids: every message stays once."""
     root = work_dir(spark, "stream-dedupe")
     m = messages(spark, sf_dir, extra=("event_type",))
-    replays = (m.filter(F.col("event_type") == "error")
-               .withColumn("trans_id", F.col("trans_id") + F.lit(10**9)))
-    src = (m.withColumn("_lv", F.lit(0)).unionByName(replays.withColumn("_lv", F.lit(1)))
+    replays = m.filter(F.col("event_type") == "error").withColumn("trans_id", -1 - F.col("trans_id"))
+    late = F.when(F.dayofmonth("timestamp") > 10, 0).otherwise(1)
+    src = (m.withColumn("_lv", late).unionByName(replays.withColumn("_lv", F.lit(2)))
            .drop("event_type", "embedding"))
-    n = _write_levels(src, F.col("_lv"), [0, 1], f"{root}/src")
+    n = _write_levels(src, F.col("_lv"), [0, 1, 2], f"{root}/src")
     schema = spark.read.parquet(f"{root}/src").schema
-    q = J.dedupe_stream(_source(spark, f"{root}/src", schema, n), f"{root}/out",
-                        f"{root}/_checkpoint", "40 days")
+    q = J.dedupe_stream(_source(spark, f"{root}/src", schema, n), f"{root}/out", f"{root}/_checkpoint",
+                        chunk_seconds=24 * 3600)
     q.awaitTermination()
-    return as_ntz(spark.read.parquet(f"{root}/out").select("trans_id", "timestamp", "speaker"))
+    return as_ntz(J.deduped(spark, f"{root}/out", schema).select("trans_id", "timestamp", "speaker"))
 
 
 @register("stream_threads", "T3", """

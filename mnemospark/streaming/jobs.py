@@ -9,31 +9,38 @@
   as ``ingest_id``, so a replay reaches the same decisions and stores
   only the rows a failed attempt did not (exactly once).
   Late rows are never dropped (no watermark).
-* ``dedupe_stream`` (T2): bounded-state duplicate suppression on the
-  unique key with ``dropDuplicatesWithinWatermark``.
+* ``dedupe_stream`` (T2): duplicate suppression on the unique key against
+  the stored keys of the batch's chunks, exact for rows of any age.
 * ``thread_state_stream`` (T3): per-thread counters kept with
-  ``applyInPandasWithState`` (bounded state: three numbers per thread);
+  ``applyInPandasWithState`` for the active threads (idle ones expire);
   ``thread_messages_stream`` keeps the messages themselves.
 * ``chunk_count_stream`` (T5): rows per hour window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..operators import conversation as CV
 from ..operators import embed as EM
 from ..operators import integrity as I
-from ..schema import UNIQUE_KEY
+from ..schema import LONG_TERM_CHUNK_SECONDS, UNIQUE_KEY
 from ..session import materialize
-from ..sources.store import MessageStore
+from ..sources.store import MessageStore, chunk_of
+
+
+#: A thread without messages for this long gives up its state (a day).
+THREAD_IDLE_MS = 24 * 3600 * 1000
 
 
 def _trigger(writer, available_now: bool, interval: str | None):
@@ -106,37 +113,80 @@ def ingest_stream(source: DataFrame, store: MessageStore, dead_letter: str, all_
     return _trigger(writer, available_now, interval).start()
 
 
-def dedupe_stream(source: DataFrame, sink: str, checkpoint: str, delay: str,
-                  available_now: bool = True) -> StreamingQuery:
-    """Drop rows whose unique key was seen within the watermark delay."""
-    deduped = source.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(UNIQUE_KEY)
-    writer = (deduped.writeStream.format("parquet").option("path", sink)
-              .option("checkpointLocation", checkpoint).outputMode("append"))
+def dedupe_stream(source: DataFrame, sink: str, checkpoint: str, chunk_seconds: int = LONG_TERM_CHUNK_SECONDS,
+                  order: Sequence[str] = ("trans_id",), available_now: bool = True) -> StreamingQuery:
+    """Rows whose unique key was not seen before, however long ago.
+
+    A micro-batch keeps one row of each key (the first by ``order``, then by
+    the other columns; nulls first) and drops the keys that earlier batches
+    wrote.  The key holds the time, so only the stored keys of the chunks that
+    the batch touches are read.  No state is held and no watermark drops a
+    late row.  A batch overwrites its own folder and does not look into it, so
+    a repeated batch reaches the same rows.  Columns must be orderable (no
+    maps), and none be named ``batch`` or ``chunk``.  ``deduped`` reads the
+    sink."""
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        spark, columns = batch.sparkSession, batch.columns
+        rest = [c for c in dict.fromkeys([*order, *columns]) if c not in UNIQUE_KEY]
+        # A minimum is combined before the shuffle, so a hot key costs no task its size.
+        first = batch.groupBy(*UNIQUE_KEY).agg(F.min(F.struct(*rest, F.lit(0).alias("_last"))).alias("_row"))
+        chunk = F.coalesce(chunk_of("timestamp", chunk_seconds), F.lit(-1))
+        rows = materialize(first.select(*[F.col(c) if c in UNIQUE_KEY else F.col(f"_row.{c}") for c in columns],
+                                        chunk.alias("chunk")), "dedupe-batch")
+        if batch_id > 0:
+            fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in UNIQUE_KEY]
+            stored = (spark.read.schema(", ".join([*fields, "batch long", "chunk long"])).parquet(sink)
+                      .filter((F.col("batch") < batch_id) & I.chunks_of(rows))
+                      .select(*[F.col(c).alias(f"_{c}") for c in UNIQUE_KEY]))
+            same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in UNIQUE_KEY]
+            rows = rows.join(stored, reduce(and_, same), "left_anti")
+        rows.write.mode("overwrite").partitionBy("chunk").parquet(f"{sink}/batch={batch_id}")
+
+    writer = source.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     return _trigger(writer, available_now, None).start()
 
 
-THREAD_OUT = "thread_id long, messages long, last_turn long, chars long"
-THREAD_STATE = "messages long, last_turn long, chars long"
+def deduped(spark, sink: str, schema: StructType) -> DataFrame:
+    """The rows that ``dedupe_stream`` kept, with the columns of ``schema``."""
+    return spark.read.schema(schema).parquet(sink)
+
 
+THREAD_OUT = "thread_id long, since_ms long, messages long, last_turn long, chars long"
+THREAD_STATE = "since_ms long, messages long, last_turn long, chars long"
 
-def _thread_update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    n, last, chars = state.get if state.exists else (0, -1, 0)
-    for pdf in frames:
-        n += len(pdf)
-        last = max(last, int(pdf["turn"].max()))
-        chars += int(pdf["text"].fillna("").str.len().sum())
-    state.update((n, last, chars))
-    yield pd.DataFrame({"thread_id": [key[0]], "messages": [n], "last_turn": [last], "chars": [chars]})
 
+def _thread_update(idle_ms: int):
+    def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # the sink has its last counts
+            state.remove()
+            return
+        since, n, last, chars = state.get if state.exists else (state.getCurrentProcessingTimeMs(), 0, None, 0)
+        for pdf in frames:
+            n += len(pdf)
+            turn = pdf["turn"].max()  # of the turns that are known
+            if not pd.isna(turn):
+                last = int(turn) if last is None else max(last, int(turn))
+            chars += int(pdf["text"].fillna("").str.len().sum())
+        state.update((since, n, last, chars))
+        state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({"thread_id": [key[0]], "since_ms": [since], "messages": [n],
+                            "last_turn": pd.array([last], dtype="Int64"), "chars": [chars]})
+    return update
 
-def thread_state_stream(source: DataFrame, sink: str, checkpoint: str,
-                        available_now: bool = True) -> StreamingQuery:
+
+def thread_state_stream(source: DataFrame, sink: str, checkpoint: str, available_now: bool = True,
+                        idle_ms: int = THREAD_IDLE_MS) -> StreamingQuery:
     """Running per-thread counters; each trigger writes the threads it
-    updated (the newest row per thread is the current state)."""
+    updated.  The state of a thread without messages for ``idle_ms`` is
+    removed; when it returns, a new span of counts starts (``since_ms``, the
+    time of its first trigger).  ``latest_thread_state`` adds the spans up, so
+    the counts stay exact while the state holds the active threads only.
+    Checkpoints and sinks of unbounded state cannot be continued."""
     states = (source.select(F.col("conv_id").alias("thread_id"), "turn", "text")
               .groupBy("thread_id")
-              .applyInPandasWithState(_thread_update, THREAD_OUT, THREAD_STATE, "update",
-                                      GroupStateTimeout.NoTimeout))
+              .applyInPandasWithState(_thread_update(idle_ms), THREAD_OUT, THREAD_STATE, "update",
+                                      GroupStateTimeout.ProcessingTimeTimeout))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite") \
@@ -144,7 +194,17 @@ def thread_state_stream(source: DataFrame, sink: str, checkpoint: str,
 
     writer = (states.writeStream.outputMode("update").foreachBatch(per_batch)
               .option("checkpointLocation", checkpoint))
-    return _trigger(writer, available_now, None).start()
+    if not available_now:
+        return _trigger(writer, False, None).start()
+    # Spark runs batches without data for as long as there are timeouts, so an
+    # availableNow run would not end; there, states expire in batches with data.
+    conf, name = source.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return _trigger(writer, True, None).start()  # the query copies the settings
+    finally:
+        conf.set(name, before)
 
 
 def thread_messages_stream(source: DataFrame, sink: str, checkpoint: str,
@@ -189,8 +249,10 @@ def latest_chunk_counts(spark, sink: str) -> DataFrame:
 
 
 def latest_thread_state(spark, sink: str) -> DataFrame:
-    """Current per-thread state from the update log: newest batch per thread."""
-    log = spark.read.parquet(sink)
-    return (log.groupBy("thread_id")
-            .agg(F.max_by(F.struct("messages", "last_turn", "chars"), "batch_id").alias("s"))
-            .select("thread_id", "s.messages", "s.last_turn", "s.chars"))
+    """Current per-thread counts from the update log: the newest batch of
+    each span, then the sum over a thread's spans."""
+    spans = (spark.read.parquet(sink).groupBy("thread_id", "since_ms")
+             .agg(F.max_by(F.struct("messages", "last_turn", "chars"), "batch_id").alias("s")))
+    return (spans.groupBy("thread_id")
+            .agg(F.sum("s.messages").alias("messages"), F.max("s.last_turn").alias("last_turn"),
+                 F.sum("s.chars").alias("chars")))

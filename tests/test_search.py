@@ -237,3 +237,20 @@ def test_two_stage_on_a_store_returns_each_row_once(spark):
     df = spark.createDataFrame(rows, "trans_id long, timestamp timestamp, vec_id long, embedding array<double>")
     got = S.two_stage_top_k(df, [1.0, 0.1], k=4, metric="l2", columns=["trans_id"]).collect()
     assert [r.trans_id for r in got] == [0, 2, 4, 6]
+
+
+def test_ties_at_the_last_place_keep_k_rows_a_partition(spark):
+    from mnemospark.operators import vector_batch as VB
+    df = spark.range(0, 4000, 1, 3).select((F.lit(5000) - F.col("id")).alias("id"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    held = VB.single_query_candidates(df, [1.0, 0.0], 4, "cosine", "id", "embedding", ["id"], ["id"])
+    assert held.count() == 12
+    for method in ("arrow", "jvm"):
+        got = S.exact_top_k(df, [1.0, 0.0], 4, id_col="id", columns=[], method=method).collect()
+        assert [r["id"] for r in got] == [1001, 1002, 1003, 1004]
+
+
+def test_methods_agree_on_rows_without_a_distance(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [1.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    got = [[r["id"] for r in S.exact_top_k(df, [1.0, 0.0], 9, id_col="id", columns=[], method=m).collect()] for m in ("arrow", "jvm")]
+    assert got[0] == got[1] == [None, 1]

@@ -60,3 +60,58 @@ def test_arrival_numbers_are_dense_at_any_partition_count(spark):
     rows = spark.range(1000).repartition(300)
     got = [r["seq"] for r in J._numbered(rows, 3).collect()]
     assert sorted(got) == [3 * J.BATCH_SEQS + i for i in range(1000)]
+
+
+def _files(spark, rows, schema, root, level):
+    """One batch: ``rows`` as a single file after those already there."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/src")
+    return spark.readStream.schema(schema).parquet(f"{root}/src")
+
+
+def test_dedupe_keeps_late_new_rows_and_drops_late_repeats(spark):
+    root, schema = work_dir(spark, "t-dedupe"), "trans_id long, timestamp timestamp, speaker string, text string, v array<float>"
+    day = lambda s: None if s is None else __import__("datetime").datetime.fromisoformat(s)
+    batches = [
+        [(1, "2024-06-01", "a", "x", [1.0]), (2, "2024-06-01", "a", "x", [2.0]), (3, None, "a", "x", None), (4, "2024-06-01", None, "x", None)],
+        [(5, "2020-01-01", "a", "late and new", None), (6, "2024-06-01", "a", "x", None), (7, None, "a", "x", None), (8, "2024-06-01", None, "x", None)],
+        [(9, "2020-01-01", "a", "late and new", None), (10, "2024-06-01", "a", "X", None), (11, "2024-06-01", "a", "X", None)],
+        [],
+    ]
+    kept = []
+    for i, b in enumerate(batches):
+        src = _files(spark, [(r[0], day(r[1]), *r[2:]) for r in b], schema, root, i)
+        for _ in range(2):  # the second run adds nothing
+            J.dedupe_stream(src, f"{root}/out", f"{root}/ck").awaitTermination()
+        kept.append(sorted(r["trans_id"] for r in J.deduped(spark, f"{root}/out", spark.read.parquet(f"{root}/src").schema).collect()))
+    assert kept == [[1, 3, 4], [1, 3, 4, 5], [1, 3, 4, 5, 10], [1, 3, 4, 5, 10]]
+
+
+def test_dedupe_reads_only_the_chunks_of_the_batch(spark, monkeypatch):
+    root, schema, seen = work_dir(spark, "t-dedupe-plan"), "trans_id long, timestamp timestamp, speaker string, text string", []
+    import datetime as dt
+    real = J.I.chunks_of
+    monkeypatch.setattr(J.I, "chunks_of", lambda rows: seen.append(str(real(rows))) or real(rows))
+    for i, d in enumerate([dt.datetime(2024, 6, 1), dt.datetime(2024, 6, 2)]):
+        src = _files(spark, [(i, d, "a", "x")], schema, root, i)
+        J.dedupe_stream(src, f"{root}/out", f"{root}/ck", chunk_seconds=24 * 3600).awaitTermination()
+    assert len(seen) == 1 and str(int(dt.datetime(2024, 6, 2).timestamp()) // 86400) in seen[0]
+
+
+def test_idle_thread_gives_up_its_state_and_returns_exactly(spark):
+    import time
+    root, schema = work_dir(spark, "t-expire"), "conv_id long, turn long, text string"
+
+    def run(i, rows):
+        src = _files(spark, rows, schema, root, i)
+        q = J.thread_state_stream(src, f"{root}/out", f"{root}/ck", idle_ms=1000)
+        q.awaitTermination()
+        return sum(s["numRowsTotal"] for s in q.lastProgress["stateOperators"])
+    run(0, [(1, 0, "ab"), (1, 1, None), (3, None, "z")])
+    time.sleep(1.5)
+    held = run(1, [(2, 0, "c")])
+    assert held == 1  # threads 1 and 3 are gone from the state
+    run(2, [(1, 2, "def"), (2, 1, "")])
+    got = {tuple(r) for r in J.latest_thread_state(spark, f"{root}/out").collect()}
+    assert got == {(1, 3, 2, 5), (2, 2, 1, 1), (3, 1, None, 1)}
+    spans = spark.read.parquet(f"{root}/out").filter("thread_id = 1").select("since_ms").distinct().count()
+    assert spans == 2
