@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import search as S
+from ..operators import vector_index as VI
 from ..schema import LONG_TERM_CHUNK_SECONDS
 from ..session import work_dir
 from ..sources import store as ST
@@ -246,3 +247,19 @@ def messages_topk(spark, sf_dir):
     q = probe_vector(spark, sf_dir)
     top = S.search(messages(spark, sf_dir), q, k=5)
     return as_ntz(top.select("trans_id", "timestamp", "speaker", "text", r6("distance").alias("distance")))
+
+
+@register("index_recall", ("K5", "K6"), """
+select count(*) as queries, count(*) * 10 as neighbours, true as floor_met from embeddings where vec_id % 50 = 0
+""")
+def index_recall(spark, sf_dir):
+    """The stored lists of all vectors, asked with every vector whose id 50
+    divides (none of them calibrates): do they find nine tenths of the exact
+    neighbours?"""
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    path = work_dir(spark, "vector-index")
+    VI.build(emb, path, 64, k=10, calibrate_on=F.col("vec_id") % 50 != 0)
+    queries = emb.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    rec = S.recall(VI.batch_search(path, queries, 10), S.batch_top_k(emb, queries, 10))
+    return rec.agg(F.count(F.lit(1)).alias("queries"), F.sum("k").alias("neighbours"),
+                   (F.sum(F.col("recall") * F.col("k")) >= 0.9 * F.sum("k")).alias("floor_met"))
