@@ -263,3 +263,22 @@ def index_recall(spark, sf_dir):
     rec = S.recall(VI.batch_search(path, queries, 10), S.batch_top_k(emb, queries, 10))
     return rec.agg(F.count(F.lit(1)).alias("queries"), F.sum("k").alias("neighbours"),
                    (F.sum(F.col("recall") * F.col("k")) >= 0.9 * F.sum("k")).alias("floor_met"))
+
+
+@register("around_now", ("P17", "F3"), f"""
+with {SQL_MESSAGES_CTE},
+moved as (select speaker, case when trans_id % 2 = 1 then timestamp + interval 100 year else timestamp end as ts
+          from messages)
+select speaker, count(*) filter (ts < current_timestamp::TIMESTAMP) as until_now,
+       count(*) filter (ts >= current_timestamp::TIMESTAMP) as after_now from moved group by speaker
+""")
+def around_now(spark, sf_dir):
+    """Messages on both sides of the present: every second one lies a century
+    later."""
+    ts = F.when(F.col("trans_id") % 2 == 1, F.col("timestamp") + F.make_ym_interval(F.lit(100))).otherwise(F.col("timestamp"))
+    moved = messages(spark, sf_dir).select("speaker", ts.alias("timestamp"))
+    at = S.now()
+    past = moved.filter(S.time_predicate(None, at)).groupBy("speaker").agg(F.count(F.lit(1)).alias("until_now"))
+    later = moved.filter(S.time_predicate(at, None)).groupBy("speaker").agg(F.count(F.lit(1)).alias("after_now"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return past.join(later, "speaker", "full").select("speaker", zero("until_now"), zero("after_now"))

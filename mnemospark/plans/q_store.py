@@ -194,3 +194,24 @@ from batch group by all
 """)
 def dim_audit(spark, sf_dir):
     return PR.dim_audit(fault_batch(spark, sf_dir))
+
+
+@register("writer_hook", ("S17", "S9"), f"""
+with {SQL_MESSAGES_CTE}
+select 'store' as sink, trans_id, timestamp, speaker, text from messages
+union all
+select 'copy', trans_id, timestamp, speaker, text from messages where speaker <> 'user_0'
+""")
+def writer_hook(spark, sf_dir):
+    """A user's bulk writer in place of the store's own: it writes the rows
+    with a codec of its choice and keeps a copy without one speaker."""
+    root = work_dir(spark, "writer-hook")
+
+    def bulk(rows, path, mode):
+        rows.write.mode(mode).option("compression", "zstd").partitionBy("session_id", "chunk").parquet(path)
+        rows.filter("speaker <> 'user_0'").write.mode(mode).parquet(f"{root}/copy")
+
+    store = ST.MessageStore(spark, f"{root}/store", LONG_TERM_CHUNK_SECONDS, MODEL, DIM)
+    store.append(_stamped(spark, sf_dir).withColumn("seq", F.col("trans_id")), "s0", writer=bulk)
+    part = lambda name, df: df.select(F.lit(name).alias("sink"), "trans_id", "timestamp", "speaker", "text")
+    return as_ntz(part("store", store.read()).unionByName(part("copy", spark.read.parquet(f"{root}/copy"))))
