@@ -29,7 +29,7 @@ def _rows(df, limit=None):
 def cmd_load_csv(spark, a) -> int:
     from .sources import csv_io
     from .sources.store import MessageStore
-    rows = csv_io.with_arrival(csv_io.read_csv(spark, a.csv))
+    rows = csv_io.with_arrival(csv_io.read_csv(spark, a.csv, line_safe=a.line_safe))
     store = MessageStore(spark, a.store, a.chunk_seconds)
     _, rejected, report = store.load(rows, a.session, a.chunk_rows)
     for r in _rows(report.orderBy("batch_id")):
@@ -80,6 +80,7 @@ def main(argv: list[str] | None = None) -> int:
     lc.add_argument("--session", default="load")
     lc.add_argument("--chunk-rows", type=int, default=10_000)
     lc.add_argument("--dead-letter")
+    lc.add_argument("--line-safe", action="store_true", help="the files hold escaped line breaks")
     bk = sub.add_parser("backup")
     bk.add_argument("--store", required=True)
     bk.add_argument("--out", required=True)

@@ -34,6 +34,23 @@ def place_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str], ou
             .drop("_place_at", "_place_part", "_place_local", "_place_earlier"))
 
 
+def running_total(df: DataFrame, order: Sequence[str], value: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over the rows before each in
+    ``order`` (nulls first; 0 for the first row).  Rows are summed up in ranges;
+    only the ranges' totals meet in one task.  Names that start with
+    ``_total`` are taken."""
+    ranged = materialize(df.repartitionByRange(*[F.col(c) for c in order])
+                         .withColumn("_total_part", F.spark_partition_id()), "totals")
+    earlier = Window.orderBy("_total_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = (ranged.groupBy("_total_part").agg(F.sum(value).alias("_total_n"))
+              .select("_total_part", F.coalesce(F.sum("_total_n").over(earlier), F.lit(0)).alias("_total_before")))
+    within = Window.partitionBy("_total_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (ranged.withColumn("_total_local", F.coalesce(F.sum(value).over(within), F.lit(0)))
+            .join(F.broadcast(before), "_total_part")  # a row for each range
+            .withColumn(out, F.col("_total_before") + F.col("_total_local"))
+            .drop("_total_part", "_total_local", "_total_before"))
+
+
 def _with_earlier(dealt: DataFrame, group: list[str]) -> DataFrame:
     local = Window.partitionBy(*group, "_place_part").orderBy("_place_at")
     before = Window.partitionBy(*group).orderBy("_place_part").rowsBetween(Window.unboundedPreceding, -1)

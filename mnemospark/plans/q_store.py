@@ -72,6 +72,25 @@ def csv_roundtrip(spark, sf_dir):
                               r6(_vsum(F.col("embedding"))).alias("emb_sum")))
 
 
+LOAD_ROWS = 1000  # rows of one load chunk
+
+
+@register("csv_arrival", ("S1", "S2", "S4"), f"""
+with {SQL_MESSAGES_CTE}, n as (select *, row_number() over (order by trans_id) - 1 as seq from messages)
+select trans_id, seq, seq // {LOAD_ROWS} as batch_id, ' ' || speaker || chr(10) || text || chr(92) || 'n' as text
+from n
+""")
+def csv_arrival(spark, sf_dir):
+    """Files in the order of the ids, in the line-safe form, with texts of
+    several lines; arrival numbers and load chunks follow that order."""
+    path = work_dir(spark, "csv") + "/in"
+    rows = _stamped(spark, sf_dir).withColumn("text", F.concat(F.lit(" "), "speaker", F.lit("\n"), "text", F.lit("\\n")))
+    csv_io.write_csv(rows.repartitionByRange("trans_id").sortWithinPartitions("trans_id"), path,
+                     mode="errorifexists", line_safe=True)
+    back = csv_io.with_arrival(csv_io.read_csv(spark, path, line_safe=True))
+    return back.select("trans_id", "seq", F.floor(F.col("seq") / LOAD_ROWS).alias("batch_id"), "text")
+
+
 @register("export_gzip", ("S6", "S16"), f"""
 with {SQL_MESSAGES_CTE}
 select speaker, count(*) as rows, count(distinct vec_id) as vectors from messages group by speaker

@@ -260,6 +260,37 @@ def test_arrival_numbers_are_dense_in_file_order(spark):
     assert got == sorted(got)  # f0 (ids < 300) before f1, each file in line order
 
 
+def test_line_safe_files_are_read_by_several_tasks(spark):
+    """Texts of several lines survive; one file is cut into byte ranges and
+    arrival numbers still follow its lines."""
+    path = work_dir(spark, "t-line-safe") + "/in"
+    hard = F.array(*[F.lit(t) for t in ("a\nb\r\nc", "\\n", "\\\\\n\\", "  x \t", "", "\\N", 'q","\n"', "\u2028é")])
+    rows = stamped(spark).drop("seq").withColumn(
+        "text", F.concat(F.element_at(hard, (F.col("trans_id") % 8 + 1).cast("int")),
+                         F.when(F.col("trans_id") % 16 < 8, "").otherwise(F.col("text"))))
+    rows = rows.withColumn("text", F.when(F.col("trans_id") % 50 != 0, F.col("text")))
+    csv_io.write_csv(rows.orderBy("trans_id").coalesce(1), path, mode="errorifexists", line_safe=True)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        read = csv_io.read_csv(spark, path, line_safe=True)
+        assert read.select(F.spark_partition_id()).distinct().count() > 4
+        back = csv_io.with_arrival(read).orderBy("seq").select("seq", "trans_id", "text", "_corrupt").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = rows.orderBy("trans_id").select("trans_id", "text").collect()
+    assert [(r.seq, r.trans_id, r.text, r._corrupt) for r in back] == [
+        (i, w.trans_id, w.text, None) for i, w in enumerate(want)]
+
+
+def test_running_total(spark):
+    from mnemospark.operators.numbering import running_total
+    rows = [(i * 7 % 101, i % 5) for i in range(101)]
+    got = running_total(spark.createDataFrame(rows, "at int, n long"), ["at"], "n", "before").collect()
+    values = [n for _, n in sorted(rows)]
+    assert sorted((r.at, r.before) for r in got) == [(i, sum(values[:i])) for i in range(101)]
+    assert running_total(spark.createDataFrame([], "at int, n long"), ["at"], "n", "before").count() == 0
+
+
 def test_empty_export_writes_header_only(spark):
     import glob
 
