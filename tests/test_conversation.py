@@ -1,5 +1,6 @@
 """Conversation state, prompt assembly, pages, embedding."""
 
+import random
 import textwrap
 
 import pytest
@@ -54,6 +55,24 @@ def test_pages_properties(spark):
         assert pg.filter(F.col("doc_id") == r.doc_id).first().text == r.text
 
 
+@pytest.mark.parametrize("width", [5, 7, 12])
+def test_pages_equal_textwrap(spark, width):
+    rng = random.Random(width)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))).lstrip()
+             for letters in ("ab  -", "a b-", "ab1-. ", "abcdef\t\n -", "a-", "  aé-\r\x0b", "  a𝒳é", "a--b -!", "abcdefghijk- 12")
+             for _ in range(300)] + ["", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select(
+        "t", PG.wrapped(F.col("t"), width).alias("p")).collect()
+    wrapper = textwrap.TextWrapper(width=width, break_long_words=True, break_on_hyphens=True)
+    for r in got:
+        assert r.p == (None if r.t is None else [r.t] if len(r.t) <= width else wrapper.wrap(r.t)), r.t
+
+
+def test_pages_run_without_python(spark):
+    plan = PG.pages(table(spark, SF_SMALL, "documents"), "doc_id", "text")._jdf.queryExecution().toString()
+    assert "Python" not in plan
+
+
 def test_hash_embed_unit_norm(spark):
     d = table(spark, SF_SMALL, "documents")
     e = E.hash_embed(d, "doc_id", "text")
