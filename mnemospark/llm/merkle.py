@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from base64 import b64encode
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +27,8 @@ from .base import materialize
 #: Pieces are sentences, cut every 48 code points; they join to the text.
 _PIECE = re.compile(r"[^.!?]{1,48}(?:[.!?]{1,8}\s{0,8})?|[.!?]{1,48}")
 SECTION_MOD = 8
-HASH_BYTES = 3
+#: Bytes of a leaf's hash in the tree and in the printed fingerprint.
+LEAF_BYTES, PRINTED_BYTES = 16, 3
 
 
 def _hash(kind: bytes, data: bytes, size: int = 16) -> bytes:
@@ -42,7 +44,7 @@ class Tree:
     def __init__(self, text: str):
         sections, paragraphs = [], []
         for line in text.split("\n"):
-            leaves = [(_hash(b"leaf", p.encode("utf-8", "surrogatepass"), HASH_BYTES), len(p), ())
+            leaves = [(_hash(b"leaf", p.encode("utf-8", "surrogatepass"), LEAF_BYTES), len(p), ())
                       for p in _PIECE.findall(line)]
             node = _hash(b"paragraph", line.encode("utf-8", "surrogatepass"))
             paragraphs.append((node, len(line), leaves))
@@ -66,9 +68,9 @@ def _join(paragraphs: list) -> tuple:
 
 
 def fingerprint(tree: Tree) -> str:
-    """The root in hex, then each leaf's hash and length (four bytes a leaf,
-    in base 64)."""
-    return tree.root.hex() + ":" + b64encode(b"".join(h + bytes([n]) for h, n in tree.leaves())).decode()
+    """The root in hex, then each leaf's shortened hash and length (four bytes
+    a leaf, in base 64)."""
+    return tree.root.hex() + ":" + b64encode(b"".join(h[:PRINTED_BYTES] + bytes([n]) for h, n in tree.leaves())).decode()
 
 
 def likeness(a: Tree, b: Tree) -> float:
@@ -82,41 +84,100 @@ def likeness(a: Tree, b: Tree) -> float:
     return 2 * common / total if total else 0.0
 
 
+def _aligned(old: list[bytes], new: list[bytes]) -> list[tuple[int, int]]:
+    """Places in ``old`` and ``new`` of equal hashes, ascending in both: the
+    common start and end, and between them the longest ascending run of the
+    k-th occurrences of a hash in both."""
+    head = 0
+    while head < min(len(old), len(new)) and old[head] == new[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(old), len(new)) - head and old[-1 - tail] == new[-1 - tail]:
+        tail += 1
+    places: dict[bytes, list[int]] = {}
+    for i in range(len(old) - tail - 1, head - 1, -1):
+        places.setdefault(old[i], []).append(i)
+    pairs = [(places[new[j]].pop(), j) for j in range(head, len(new) - tail) if places.get(new[j])]
+    ends: list[int] = []  # least last place of an ascending run of each length
+    last: list[int] = []  # its pair
+    before: list[int | None] = []
+    for n, (i, _) in enumerate(pairs):
+        at = bisect_left(ends, i)
+        before.append(last[at - 1] if at else None)
+        ends[at:at + 1], last[at:at + 1] = [i], [n]
+    run, n = [], last[-1] if last else None
+    while n is not None:
+        run.append(pairs[n])
+        n = before[n]
+    return [*((k, k) for k in range(head)), *reversed(run),
+            *((len(old) - k, len(new) - k) for k in range(tail, 0, -1))]
+
+
+_NEWLINE = (_hash(b"leaf", b"\n"), 1, ())
+
+
+def _placed(nodes: list, at: int, end: int) -> list[tuple]:
+    """``(node, start, end)``; a paragraph takes the line break after it."""
+    out = []
+    for node in nodes:
+        breaks = (len(node[2]) if _is_section(node) else 1) if isinstance(node[2], list) else 0
+        out.append((node, at, min(at + node[1] + breaks, end)))
+        at = out[-1][2]
+    return out
+
+
+def _below(placed: list[tuple], end: int) -> list[tuple]:
+    """The children of sections or of paragraphs, with line breaks as leaves."""
+    out = []
+    for node, start, stop in placed:
+        children = node[2]
+        if not _is_section(node) and start + node[1] < stop:
+            children = [*children, _NEWLINE]
+        out += _placed(children, start, end)
+    return out
+
+
+def _is_section(node: tuple) -> bool:
+    return isinstance(node[2], list) and bool(node[2]) and isinstance(node[2][0][2], list)
+
+
 def edits(old: str, new: str) -> list[tuple[int, int]]:
-    """Code point ranges of ``new`` (end exclusive) under branches that
-    ``old`` lacks, by descending unequal branches only; neighbours merge.
-    Texts that differ in blank lines alone may give no range."""
+    """Code point ranges of ``new`` (end exclusive) that ``old`` lacks there,
+    by descending unequal branches only; an empty range is a place where
+    something of ``old`` is gone.  Children are aligned in order, so a
+    paragraph that moved is gone in one place and new in another, and a
+    repeated one is new.  Neighbouring ranges merge.  Equal texts: no range;
+    unequal texts: at least one.  Very long texts are compared whole, in time
+    n log n of the nodes that differ."""
     a, b = Tree(old), Tree(new)
     if a.root == b.root:
         return []
     out: list[tuple[int, int]] = []
 
-    def walk(mine: list, theirs: list, at: int, gap: int) -> None:
-        known = {n[0] for n in theirs}
-        below = [c for n in theirs for c in n[2]]
-        for h, size, children in mine:
-            if h not in known:
-                if children:
-                    walk(children, below, at, 0 if not children[0][2] else 1)
-                elif size:
-                    if out and out[-1][1] >= at:
-                        out[-1] = (out[-1][0], at + size)
-                    else:
-                        out.append((at, at + size))
-            at += size + gap + (max(0, len(children) - 1) if children and children[0] and _is_section(children) else 0)
-
-    walk(b.sections, a.sections, 0, 1)
-    return out
-
+    def walk(mine: list, theirs: list, end: int) -> None:
+        pairs = _aligned([n[0][0] for n in theirs], [n[0][0] for n in mine])
+        i = j = 0
+        for their_next, my_next in [*pairs, (len(theirs), len(mine))]:
+            ours, gone = mine[j:my_next], theirs[i:their_next]
+            here = mine[j][1] if j < len(mine) else end
+            if ours and gone and isinstance(ours[0][0][2], list):
+                walk(_below(ours, b.size), _below(gone, a.size), ours[-1][2])
+            elif ours or gone:
+                start, stop = here, ours[-1][2] if ours else here
+                if out and out[-1][1] >= start:
+                    out[-1] = (out[-1][0], max(stop, out[-1][1]))
+                else:
+                    out.append((start, stop))
+            i, j = their_next + 1, my_next + 1
 
-def _is_section(children: list) -> bool:
-    """Paragraphs, in contrast to leaves, have 16-byte hashes."""
-    return len(children[0][0]) == 16
+    walk(_placed(b.sections, 0, b.size), _placed(a.sections, 0, a.size), b.size)
+    return out
 
 
 def locate_edits(pairs: DataFrame, old_col: str, new_col: str, id_col: str) -> DataFrame:
     """For each row ``id_col`` and ``edits``, an array of ``(start, end)`` in
-    ``new_col``.  Null texts are empty."""
+    ``new_col`` (see ``edits``).  Null texts are empty, repeated rows give a
+    row each, other columns are left out."""
     kind = pairs.schema[id_col].dataType.simpleString()
     picked = pairs.select(F.col(id_col), F.col(old_col).alias("_a"), F.col(new_col).alias("_b"))
 

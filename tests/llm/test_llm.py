@@ -275,6 +275,46 @@ def test_merkle_edits(spark):
     assert span["end"] - span["start"] < 30 and merkle.edits(old, old) == []
 
 
+def _kept(text, spans):
+    gone = {k for a, b in spans for k in range(a, b)}
+    return "".join(c for k, c in enumerate(text) if k not in gone)
+
+
+def test_merkle_edits_of_any_kind():
+    rng = random.Random(11)
+    lines = [_words(rng, rng.randrange(1, 14)) + rng.choice([".", "", "!"]) for _ in range(40)] + [""] * 6
+    rng.shuffle(lines)
+    old = "\n".join(lines)
+    at, other = lines.index(max(lines, key=len)), lines[-1] or "x"
+    moved = [*lines[:at], *lines[at + 1:], lines[at]]
+    for new, most in [("\n".join([*lines[:at], *lines[at + 1:]]), 0), ("\n".join(moved), len(lines[at]) + 2),
+                      ("\n".join([lines[at], *lines]), len(lines[at]) + 1), (old + "\n", 1), (old[:-3], 50)]:
+        spans = merkle.edits(old, new)
+        assert spans and sum(b - a for a, b in spans) <= most, (new, spans)
+    assert merkle.edits("", "") == [] and merkle.edits("", other) == [(0, len(other))] and merkle.edits(other, "") == [(0, 0)]
+    for _ in range(300):
+        a = [rng.choice(lines[:9]) for _ in range(rng.randrange(8))]
+        b = list(a)
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(b) + 1)
+            b[k:k + rng.randrange(2)] = rng.choice([[], [rng.choice(lines)], [_words(rng, 9)], a[:2]])
+        a, b = "\n".join(a), "\n".join(b)
+        spans = merkle.edits(a, b)
+        assert bool(spans) == (a != b) and spans == sorted(spans) and all(0 <= x <= y <= len(b) for x, y in spans)
+        chars = iter(a.replace("\n", ""))  # what is left of the new text stands in the old one, in this order
+        assert all(c in chars for c in _kept(b, spans).replace("\n", "")), (a, b, spans)
+
+
+def test_merkle_likeness_equals_brute_force():
+    rng = random.Random(12)
+    for _ in range(60):
+        a, b = (". ".join(rng.choice(["one two", "three", "x" * 60, "é!"]) for _ in range(rng.randrange(12))) for _ in "ab")
+        cut = lambda t: Counter(re.findall(r"[^.!?]{1,48}(?:[.!?]{1,8}\s{0,8})?|[.!?]{1,48}", t))
+        shared = sum(len(p) * n for p, n in (cut(a) & cut(b)).items())
+        want = 1.0 if a == b else 2 * shared / (len(a) + len(b))
+        assert merkle.likeness(merkle.Tree(a), merkle.Tree(b)) == pytest.approx(want)
+
+
 def _fingerprint(t):
     lower = (t or "").translate({c: c + 32 for c in range(65, 91)})
     words = [w for w in re.split("[\x20\x09-\x0d]+", lower) if w]
@@ -370,6 +410,77 @@ def test_tiles_are_greedy():
     assert sorted(decontaminate.tile(item, doc, seeds, 2)) == [(0, 11, 7)]
 
 
+def _greedy_tiles(item, doc, least):
+    """String tiling by its definition: the longest match of unmarked tokens,
+    the first in item and document, is marked until none is long enough."""
+    used_i, used_d, tiles = set(), set(), []
+    while True:
+        best = None
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                n = 0
+                while (i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n]
+                       and i + n not in used_i and j + n not in used_d):
+                    n += 1
+                if n >= least and (best is None or n > best[2]):
+                    best = i, j, n
+        if best is None:
+            return sorted(tiles)
+        tiles.append(best)
+        used_i.update(range(best[0], best[0] + best[2]))
+        used_d.update(range(best[1], best[1] + best[2]))
+
+
+def test_string_tiling_equals_brute_force(spark):
+    rng = random.Random(13)
+    items = [(k, " ".join(rng.choice("abc") for _ in range(rng.randrange(1, 22)))) for k in range(12)]
+    rows = [(k, " ".join(rng.choice("abcd") for _ in range(rng.randrange(0, 40)))) for k in range(25)]
+    rows += [(25, items[3][1] + " d " + items[5][1])] * 2
+    got = decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"),
+                                 spark.createDataFrame(items, "item_id long, text string"), block_tokens=40).collect()
+    want = Counter()
+    for d, text in rows:
+        for k, item in items:
+            ts = item.split()
+            tiles = _greedy_tiles(ts, text.split(), min(decontaminate.MIN_MATCH, len(ts)))
+            if tiles:
+                want[d, k, round(sum(n for _, _, n in tiles) / len(ts), 6), tuple(tiles)] += 1
+    assert Counter((r["doc_id"], r["item_id"], round(r["coverage"], 6), tuple(tuple(t) for t in r["tiles"]))
+                   for r in got) == want
+
+
+def test_quality_scores_equal_brute_force(spark, docs, texts):
+    rng = np.random.default_rng(3)
+    model = quality.OrdinalModel(rng.normal(size=quality.BUCKETS).astype(np.float32), np.array([-0.5, 0.25, 2.0]))
+    want = Counter()
+    for i, t in texts:
+        score = float(sum(float(model.weights[x]) for x in quality.features(t)))
+        above = [1 - 1 / (1 + np.exp(-min(60, max(-60, k - score)))) for k in model.thresholds]
+        want[i, round(sum(above), 3), round(above[1], 3)] += 1
+    got = Counter((r["doc_id"], round(r["expected_grade"], 3), round(r["tail_probability"], 3))
+                  for r in quality.score(docs, model, 2).collect())
+    assert got == want
+
+
+def test_quality_fit_is_a_maximum():
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 30, 6)).astype(np.int32) for _ in range(400)]
+    grades = np.array([min(2, int(np.isin(r, [1, 2, 3, 4, 5]).sum())) for r in rows])
+
+    def loss(weights, thresholds):
+        total = 0.0
+        for r, g in zip(rows, grades):
+            edge = [0.0, *(1 / (1 + np.exp(-(k - weights[r].sum()))) for k in thresholds), 1.0]
+            total -= np.log(max(edge[g + 1] - edge[g], 1e-9))
+        return total / len(rows) + 5e-4 * float((weights[:30] ** 2).sum())
+
+    model = quality.fit_ordinal(rows, grades, 3, buckets=30, steps=800)
+    least = loss(model.weights.astype(float), model.thresholds)
+    for _ in range(40):
+        step = rng.normal(size=32) * 0.3
+        assert loss(model.weights + step[:30], model.thresholds + step[30:]) > least
+
+
 def test_quality_held_out(spark):
     rng = random.Random(5)
     rows = []
