@@ -9,6 +9,7 @@ from ..operators import adhoc as AD
 from ..operators import keyword as KW
 from ..operators import pages as PG
 from ..operators import profile as PR
+from ..operators import sketches as SK
 from ..session import work_dir
 from ..sources.tables import messages, table
 from .common import PROBE_VEC_ID, SQL_DIST, SQL_MESSAGES_CTE
@@ -234,6 +235,43 @@ def table_json(spark, sf_dir):
     return PR.describe_json(_profiles(spark, sf_dir)).withColumnRenamed("_j", "description")
 
 
+#: Distinct counts that a sketch gives exactly.
+EXACT_DISTINCT = 100
+SKETCH_RANGE = ("2024-01-08", "2024-01-21")
+
+
+def _sketch_sql() -> str:
+    parts = []
+    for scope, where in (("all", "true"), ("range", "strftime(ts, '%Y-%m-%d') between '{}' and '{}'".format(*SKETCH_RANGE))):
+        for i, (c, typ) in enumerate(_declared("events")[0]):
+            ends = [f"cast({f}({c}) as varchar)" if typ in _PLAIN else "cast(null as varchar)" for f in ("min", "max")]
+            counted = f"count({c})" if typ in ("bigint", "double") else "cast(null as bigint)"
+            parts.append(f"select '{scope}' as scope, {i} as position, '{c}' as column_name, '{typ}' as data_type, "
+                         f"count(*) as rows, count(*) - count({c}) as null_count, {ends[0]} as min_value, "
+                         f"{ends[1]} as max_value, {counted} as counted, case when count(distinct {c}) <= {EXACT_DISTINCT} "
+                         f"then count(distinct {c}) end as small_distinct from events where {where}")
+    return "\nunion all\n".join(parts)
+
+
+@register("sketch_profile", "A5", _sketch_sql())
+def sketch_profile(spark, sf_dir):
+    """Events stored by day in three batches, one of them twice; the profile
+    of all days and of two weeks from the stored sketches."""
+    events = table(spark, sf_dir, "events").withColumn("_day", F.date_format("ts", "yyyy-MM-dd"))
+    store = SK.ProfileStore(spark, work_dir(spark, "sketches"))
+    for part in (0, 1, 2, 1):
+        store.put(events.filter(F.dayofmonth("ts") % 3 == part), "_day")
+    plain = F.col("data_type").isin(*_PLAIN)
+    out = None
+    for scope, bounds in (("all", ()), ("range", SKETCH_RANGE)):
+        got = store.profile(*bounds).select(
+            F.lit(scope).alias("scope"), "position", "column_name", "data_type", "rows", "null_count",
+            F.when(plain, F.col("min_value")).alias("min_value"), F.when(plain, F.col("max_value")).alias("max_value"),
+            "counted", F.when(F.col("distinct_estimate") <= EXACT_DISTINCT, F.col("distinct_estimate")).alias("small_distinct"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 _LETTER = r"[\p{L}\p{Nl}\p{No}_]"
 _HYPHEN = rf"(?:{_LETTER}{_LETTER}-|{_LETTER}-{_LETTER}-)"
 _W = PG.PAGE_WIDTH
