@@ -21,9 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.plans.broadcast import MAX_BROADCAST_ROWS
+
 from .base import materialize
 
 SHINGLE = 3
@@ -78,6 +80,18 @@ def _bit(n: int) -> int:
     return (1 << n) - (1 << 64 if n == 63 else 0)
 
 
+def _meet(left: DataFrame, right: DataFrame, on: str | Column, how: str = "inner", small: bool = False) -> DataFrame:
+    """A join that broadcasts a counted few rows only.  Spark would go by the
+    size of compressed files, and what it broadcasts stays on the driver for
+    rounds.  Both sides are dealt by the key otherwise; of a frequent key
+    Spark splits a side that was written first or comes from a shuffle."""
+    return left.join(right if small else right.hint("merge"), on, how)
+
+
+def _few(df: DataFrame) -> bool:
+    return df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+
+
 def _cells(fps: DataFrame) -> DataFrame:
     """``fp, cell, own``: a cell is a vector of 16 popcounts, written in
     three bits each (0 to 4, and a margin of one on both sides)."""
@@ -100,7 +114,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, max_cell: int = MAX_CELL) ->
     cells = _cells(fps)
     hot = cells.groupBy("cell").agg(F.count("*").alias("_n")).filter(F.col("_n") > max_cell).select("cell")
     hot = materialize(hot, "simhash-hot")
-    cold = cells.join(hot, "cell", "left_anti")
+    few = _few(hot)
+    cold = _meet(cells, hot, "cell", "left_anti", few)
     a = cold.select("cell", F.col("fp").alias("a"), (F.col("home") == F.col("cell")).alias("a_own"),
                     F.col("home").alias("a_home"))
     b = cold.select("cell", F.col("fp").alias("b"), (F.col("home") == F.col("cell")).alias("b_own"),
@@ -116,17 +131,17 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, max_cell: int = MAX_CELL) ->
         part = lambda c: F.shiftright(F.col(c), 3 * s).bitwiseAND(7)  # noqa: E731,B023
         bound = bound + F.abs(part("a_home") - part("b_home"))
     exact = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    near = (a.join(b, "cell").filter("a < b").filter(where).filter(bound <= max_bits)
+    near = (_meet(a, b, "cell").filter("a < b").filter(where).filter(bound <= max_bits)
             .filter(exact <= max_bits).select("a", "b"))
-    crowd = cells.join(hot, "cell", "left_semi").select("fp").distinct()
+    crowd = _meet(cells, hot, "cell", "left_semi", few).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(_bit(i)).cast("long") for i in range(64)])
     keyed = crowd.select("fp", F.explode(flips).alias("f")).select("fp", F.col("fp").bitwiseXOR(F.col("f")).alias("key"))
     if max_bits == 1:  # share a key that is one of the two themselves
-        stars = keyed.join(crowd.select(F.col("fp").alias("key")), "key").select(
+        stars = _meet(keyed, crowd.select(F.col("fp").alias("key")), "key").select(
             F.least("fp", "key").alias("a"), F.greatest("fp", "key").alias("b")).filter("a < b")
     else:
         least = keyed.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("_z")).filter("a < _z")
-        stars = keyed.join(least, "key").filter("fp > a").select("a", F.col("fp").alias("b"))
+        stars = _meet(keyed, least, "key").filter("fp > a").select("a", F.col("fp").alias("b"))
     return near.unionByName(stars).distinct()
 
 
@@ -139,22 +154,25 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
                        f"{name}-edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
                          .select("node", F.least("node", "m").alias("root")), f"{name}-0")
+    few = _few(labels)
     turn = 0
     while True:
         turn += 1
-        near = (both.join(labels.select(F.col("node").alias("b"), "root"), "b")
+        near = (_meet(both, labels.select(F.col("node").alias("b"), "root"), "b", small=few)
                 .groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near")))
-        least = labels.join(near, "node").select("node", F.col("root").alias("old"),
-                                                 F.least("root", "near").alias("least"))
+        least = _meet(labels, near, "node", small=few).select("node", F.col("root").alias("old"),
+                                                              F.least("root", "near").alias("least"))
         # the old root follows its members (hooking), then pointers are halved
         hooked = (least.select(F.col("old").alias("node"), "least")
                   .unionByName(least.select("node", "least"))
                   .groupBy("node").agg(F.min("least").alias("root")))
+        if not few:  # written, so that the nodes of a large component can be split
+            hooked = materialize(hooked, f"{name}-hooked-{turn}")
         up = hooked.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = (hooked.join(up, "root", "left")
+        new = (_meet(hooked, up, "root", "left", few)
                .select("node", F.least("root", F.coalesce("up", "root")).alias("root")))
         new = materialize(new, f"{name}-{turn}")
-        moved = new.join(labels.withColumnRenamed("root", "old"), "node").filter("root <> old").limit(1).count()
+        moved = _meet(new, labels.withColumnRenamed("root", "old"), "node", small=few).filter("root <> old").limit(1).count()
         labels = new
         if not moved:
             return labels
@@ -179,10 +197,13 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits
     rows = materialize(fingerprints(docs, text_col, shingle, others), "simhash-fps")
     fps = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("_min")), "simhash-distinct")
     roots = components(links(fps.select("fp"), max_bits), "simhash").select(F.col("node").alias("fp"), "root")
-    rooted = fps.join(roots, "fp", "left").withColumn("_root", F.coalesce("root", "fp")).drop("root")
+    few = _few(fps)
+    rooted = _meet(fps, roots, "fp", "left", few).withColumn("_root", F.coalesce("root", "fp")).drop("root")
     smallest = rooted.groupBy("_root").agg(F.min("_min").alias("component_id"))
-    classes = rooted.drop("_min").join(smallest, "_root")
-    return rows.join(classes, "fp")
+    if not few:
+        smallest = materialize(smallest, "simhash-smallest")
+    classes = _meet(rooted.drop("_min"), smallest, "_root", small=few)
+    return _meet(rows, classes, "fp", small=few)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -196,5 +217,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     winner = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col(name).alias("r")))
     best = classed.groupBy("_root").agg(winner.alias("w")).select(
         F.col("w.i").alias("_wi"), F.col("w.r").alias(name))
-    kept = marked.join(best, (marked[name] == best[name]) & marked[id_col].eqNullSafe(best["_wi"]), "left_semi")
+    best = materialize(best, "simhash-best")
+    kept = _meet(marked, best, (marked[name] == best[name]) & marked[id_col].eqNullSafe(best["_wi"]), "left_semi", _few(best))
     return kept.dropDuplicates([id_col, name]).drop(name)

@@ -558,3 +558,23 @@ def test_whole_queries_at_small_scale(spark):
     d = "/root/testdata/sf0.001"
     for n in ("op1_hilbert_shards", "op7_string_tiling"):
         assert E.queries()[n](spark, d).count() > 0
+
+
+def test_simhash_rounds_broadcast_few_rows_only(spark, monkeypatch):
+    """Beyond the bound, classes and rounds are joined by shuffle: the same
+    rows, and no side of a join is collected by the driver."""
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(i, f"{words} {i // 3} {words} {'x' if i % 3 == 2 else ''}" if i % 7 else None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, simhash.near_duplicates(docs).collect()))
+    kept = sorted(map(tuple, simhash.keep_one(docs).collect()))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)], "a long, b long")
+    monkeypatch.setattr(simhash, "MAX_BROADCAST_ROWS", 4, raising=False)
+    got = simhash.near_duplicates(docs)
+    assert sorted(map(tuple, got.collect())) == want
+    assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
+    one = simhash.keep_one(docs)
+    assert sorted(map(tuple, one.collect())) == kept
+    assert "BroadcastExchange" not in one._jdf.queryExecution().executedPlan().toString()
+    roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    assert roots == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
