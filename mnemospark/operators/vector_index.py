@@ -22,7 +22,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, IntegralType, StructField, StructType
 
 from ..functions import vectors as V
 from ..plans.broadcast import checked_broadcast
@@ -158,18 +158,31 @@ def batch_search(path: str, queries: DataFrame, k: int = 10, query_id: str = "qu
     spark = queries.sparkSession
     s = load(spark, path)
     p, metric, centroids = probes or s.probes, s.metric, s.centroids
-    shared = vector_batch._share(spark, centroids)
+    good = queries.filter(_usable(query_vec, centroids.shape[1], metric)).select(query_id, query_vec)
+    rows = spark.read.schema(s.schema).parquet(f"{path}/rows").select("list", s.id_col, s.vector_col)
+    whole = isinstance(s.schema[s.id_col].dataType, IntegralType)
+    # Rows with a null id, or ids that numpy cannot order, are paired one by one.
+    scored = _pairs(rows.filter(F.col(s.id_col).isNull()) if whole else rows, good, s, p, query_id, query_vec)
+    if whole:
+        found = vector_batch.listed_candidates(
+            rows.filter(F.col(s.id_col).isNotNull() & (F.col("list") != NO_LIST)), good, k, metric, s.id_col, query_id,
+            s.vector_col, query_vec, lambda q: _turns(q, centroids, metric)[:p], len(centroids))
+        scored = scored.unionByName(found.withColumn(s.id_col, F.col(s.id_col).cast(s.schema[s.id_col].dataType)))
+    w = Window.partitionBy(query_id).orderBy("distance", s.id_col)
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _pairs(rows: DataFrame, good: DataFrame, s: Settings, p: int, query_id: str, query_vec: str) -> DataFrame:
+    """The distance of every query to every row of its lists."""
+    metric, centroids = s.metric, s.centroids
+    shared = vector_batch._share(rows.sparkSession, centroids)
 
     def turns(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             f["list"] = [_turns(np.asarray(v, dtype=float), shared(), metric)[:p] for v in f[query_vec]]
             yield f.explode("list").astype({"list": "int32"})
 
-    good = queries.filter(_usable(query_vec, centroids.shape[1], metric)).select(query_id, query_vec)
     asked = good.mapInPandas(turns, StructType([*good.schema.fields, StructField("list", IntegerType())]))
     small, _, fits = checked_broadcast(asked)
-    rows = spark.read.schema(s.schema).parquet(f"{path}/rows").select("list", s.id_col, s.vector_col)
     pairs = rows.join(small if fits else asked, "list")
-    scored = pairs.select(query_id, s.id_col, V.distance(metric, F.col(s.vector_col), F.col(query_vec)).alias("distance"))
-    w = Window.partitionBy(query_id).orderBy("distance", s.id_col)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return pairs.select(query_id, s.id_col, V.distance(metric, F.col(s.vector_col), F.col(query_vec)).alias("distance"))
