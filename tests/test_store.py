@@ -385,3 +385,38 @@ def test_promote_strict_adds_all_or_none(spark):
     added, rest = store.promote(rows.filter("trans_id between 40 and 60"), "short")
     assert {r["reject_reason"] for r in rest.collect()} == {"pk_stored"}
     assert added.count() + rows.filter("trans_id < 50").count() == store.read().count()
+
+
+def _tables(spark, root, n=60):
+    spark.range(n).select(F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-10' + make_dt_interval(cast(id % 9 as int))").alias("ts"),
+                          (F.col("id") % 4).alias("user_id"), F.lit("click").alias("event_type")).write.parquet(f"{root}/events.parquet")
+    spark.range(5).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda x: (x * F.col("id")).cast("float"))
+                          .alias("embedding")).write.parquet(f"{root}/embeddings.parquet")
+    spark.range(3).select(F.col("id").alias("item_id"), F.concat(F.lit("text "), "id").alias("text")).write.parquet(f"{root}/benchmark.parquet")
+
+
+def test_arrival_writes_no_vectors_that_are_not_asked_for(spark, tmp_path, monkeypatch):
+    from mnemospark.plans import q_store
+    _tables(spark, tmp_path)
+    written, plain = [], csv_io.materialize
+    monkeypatch.setattr(csv_io, "materialize", lambda df, name: written.append((name, df.columns)) or plain(df, name))
+    rows = q_store.csv_arrival(spark, str(tmp_path)).collect()
+    assert sorted((r["trans_id"], r["seq"]) for r in rows) == [(i, i) for i in range(60)]
+    assert [("embedding" in c, "_corrupt" in c) for n, c in written if n == "arrival"] == [(False, True)]
+
+
+@pytest.mark.parametrize("ingests", [1, 2])
+def test_reset_deals_only_several_ingests_anew(spark, monkeypatch, ingests):
+    root = work_dir(spark, "t-reset-layout")
+    st = ST.MessageStore(spark, root, 86400, "m", 4)
+    rows = _twenty(spark)
+    for i in range(ingests):
+        part = rows.filter(F.col("seq") % ingests == i)
+        st.put(ST.prepare(part, F.when(F.col("seq") < 7, "a").otherwise("b"), 86400), f"p{i}")
+    st.snapshot(root + "_snap")
+    dealt, plain = [], ST._layout
+    monkeypatch.setattr(ST, "_layout", lambda df: dealt.append(1) or plain(df))
+    st.reset(F.col("session_id") != "a", root + "_snap")
+    assert len(dealt) == ingests - 1
+    assert st.read().count() == rows.filter("seq >= 7").count()
+    assert {r["session_id"] for r in st.read().select("session_id").distinct().collect()} == {"b"}
