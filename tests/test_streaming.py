@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from mnemospark.operators import integrity as I
 from mnemospark.plans.q_ingest import BOT, DIM, MODEL, REPLAY, fault_batch
 from mnemospark.plans.q_stream import _source, _write_levels
 from mnemospark.schema import LONG_TERM_CHUNK_SECONDS
@@ -115,3 +116,25 @@ def test_idle_thread_gives_up_its_state_and_returns_exactly(spark):
     assert got == {(1, 3, 2, 5), (2, 2, 1, 1), (3, 1, None, 1)}
     spans = spark.read.parquet(f"{root}/out").filter("thread_id = 1").select("since_ms").distinct().count()
     assert spans == 2
+
+
+def test_ingest_stream_writes_a_batch_once_before_the_check(spark, monkeypatch):
+    """The check reads the rows that the all-records sink holds."""
+    root = work_dir(spark, "t-stream-once")
+    rows = spark.range(30).select(
+        F.col("id").alias("trans_id"), F.expr("timestamp'2024-01-10' + make_dt_interval(cast(id % 9 as int))").alias("timestamp"),
+        F.when(F.col("id") != 3, F.lit("u")).alias("speaker"), F.concat(F.lit("text "), "id").alias("text"),
+        F.col("id").alias("vec_id"), F.lit(MODEL).alias("embedding_model"), F.lit(DIM).alias("embedding_dim"),
+        F.transform(F.sequence(F.lit(1), F.lit(DIM)), lambda x: (x + F.col("id")).cast("float")).alias("embedding"), F.col("id").alias("seq"))
+    names, plain = [], I.materialize
+    monkeypatch.setattr(I, "materialize", lambda df, name: names.append(name) or plain(df, name))
+    store = MessageStore(spark, f"{root}/store", 3600, MODEL, DIM)
+    for part in ("seq % 3 > 0", "seq % 3 = 0"):  # the second run goes on from the checkpoint
+        rows.filter(part).write.mode("append").parquet(f"{root}/src")
+        source = spark.readStream.schema(rows.schema).parquet(f"{root}/src")
+        J.ingest_stream(source, store, f"{root}/dead", f"{root}/all", f"{root}/_checkpoint", "s0", BOT).awaitTermination()
+    assert "checked" not in names and names.count("batch-keys") == 2
+    assert sorted(r["trans_id"] for r in store.read().collect()) == [i for i in range(30) if i != 3]
+    dead = spark.read.parquet(f"{root}/dead").select("trans_id", "reject_reason").collect()
+    assert [tuple(r) for r in dead] == [(3, "null:speaker")]
+    assert spark.read.parquet(f"{root}/all").count() == 30
